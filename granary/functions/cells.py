@@ -91,4 +91,4 @@ def any_of(conditions: list[Column]) -> Column:
 
 def folded_words(text: Column) -> Column:
     """Lower case, runs of anything but letters and digits become one space."""
-    return F.trim(F.regexp_replace(F.lower(text), r"(?U)[_\W]+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
