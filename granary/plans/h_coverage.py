@@ -166,14 +166,14 @@ def _(t):
 
 @query(
     "H14_caveats",
-    f"""WITH {LOSS_SQL} SELECT source, unnest(range(6)) AS caveat_no, unnest([
+    f"""WITH {LOSS_SQL} SELECT * FROM (SELECT source, unnest(range(6)) AS caveat_no, unnest([
           CASE WHEN expected_chunks % 3 > 0 THEN 'Some files were indexed partially: ' || (expected_chunks % 3) END,
           CASE WHEN retrieved_chunks = 0 THEN 'No relevant chunks were retrieved for this query.' END,
           CASE WHEN retrieved_chunks < expected_chunks THEN 'Full-file coverage is incomplete: retrieved ' || retrieved_chunks || '/' || expected_chunks || ' chunks.' END,
           CASE WHEN rows_retrieved < rows_expected THEN 'Row-level coverage is incomplete: used ' || rows_retrieved || '/' || rows_expected || ' rows.' END,
           CASE WHEN silent_row_loss THEN 'Potential silent row loss detected: chunk coverage looks high but row coverage is low.' END,
           CASE WHEN retrieved_chunks < expected_chunks THEN 'Context was truncated by retrieval limits; answer may be incomplete.' END]) AS caveat
-        FROM loss QUALIFY caveat IS NOT NULL""",
+        FROM loss) WHERE caveat IS NOT NULL""",
 )
 def _(t):
     stats = loss_of(t).withColumns(
