@@ -12,6 +12,7 @@ from granary.functions import cells, splitting
 from granary.operators import normalize
 from granary.operators.ordering import first_per_group, with_position
 from granary.operators.packing import packed
+from granary.session import spread
 
 # Chunk sizes and table limits.
 CHUNK_SIZE = 2_000
@@ -31,7 +32,7 @@ def split_documents(
 ) -> DataFrame:
     """One row per chunk: key, chunk_index, content, total_chunks, chunk_size; separators follow the kind."""
     size, overlap = splitting.limits(size, overlap)
-    slim = docs.select(F.col(key), F.col(text).alias("_text"), (F.col(kind) if kind else F.lit("txt")).alias("_kind"))
+    slim = spread(docs).select(F.col(key), F.col(text).alias("_text"), (F.col(kind) if kind else F.lit("txt")).alias("_kind"))
     schema = T.StructType(
         [
             docs.schema[key],

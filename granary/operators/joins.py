@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from granary.functions import cells
 from granary.functions.similarity import similarity_ratio
 from granary.operators.ordering import with_position
+from granary.session import spread
 
 CHILDREN_PER_PAGE = 500
 
@@ -107,7 +108,7 @@ def phrase_mentions(texts: DataFrame, key: str, text: str, terms: DataFrame, ter
     """
     known = terms.select(F.col(term), cells.folded_words(F.col(term)).alias("_phrase")).filter("_phrase <> ''").distinct()
     lengths = sorted(r[0] for r in known.select(F.size(F.split("_phrase", " "))).distinct().collect())  # few numbers
-    worded = texts.select(F.col(key), F.split(cells.folded_words(F.col(text)), " ").alias("_words"))
+    worded = spread(texts).select(F.col(key), F.split(cells.folded_words(F.col(text)), " ").alias("_words"))
     runs = F.array(*[word_runs(F.col("_words"), n) for n in lengths]).cast("array<array<string>>")
     found = worded.select(key, F.explode(F.array_distinct(F.flatten(runs))).alias("_phrase"))
     return found.join(known, "_phrase").select(key, term)
@@ -139,17 +140,31 @@ AMBIGUITY_GAP = 0.08
 
 
 def column_variants(columns: DataFrame) -> DataFrame:
-    """Folded names of each column with their kind; input has table_name, column_name, dtype, display_name, aliases."""
+    """Distinct folded names of each column with the best exact score and bonus among the kinds of name.
+
+    Input has table_name, column_name, dtype, display_name, aliases and sample_values.
+    """
     spaced = F.replace("column_name", F.lit("_"), F.lit(" "))
-    named = F.array(
-        F.struct(F.lit("raw_column_name").alias("source"), F.col("column_name").alias("variant")),
-        F.struct(F.lit("normalized_column_name").alias("source"), spaced.alias("variant")),
-        F.struct(F.lit("display_name").alias("source"), F.col("display_name").alias("variant")),
-        F.struct(F.lit("metadata_display_name").alias("source"), F.col("display_name").alias("variant")),
+
+    def named(source: str, variant: Column) -> Column:
+        return F.struct(
+            variant.alias("variant"),
+            F.lit(EXACT_SCORES[source]).alias("exact_score"),
+            F.lit(SOURCE_BONUS.get(source, 0.0)).alias("bonus"),
+        )
+
+    names = F.array(
+        named("raw_column_name", F.col("column_name")),
+        named("normalized_column_name", spaced),
+        named("display_name", F.col("display_name")),
+        named("metadata_display_name", F.col("display_name")),
+    )
+    aliased = F.transform("aliases", lambda a: named("metadata_alias", a))
+    rows = columns.select("table_name", "column_name", "dtype", "sample_values", F.inline(F.concat(names, aliased)))
+    folded = rows.withColumn("variant", cells.folded_words(F.col("variant"))).filter(F.col("variant") != "")
+    return folded.groupBy("table_name", "column_name", "dtype", "sample_values", "variant").agg(
+        F.max("exact_score").alias("exact_score"), F.max("bonus").alias("bonus")
     )
-    aliased = F.transform("aliases", lambda a: F.struct(F.lit("metadata_alias").alias("source"), a.alias("variant")))
-    rows = columns.select("table_name", "column_name", "dtype", "sample_values", F.inline(F.concat(named, aliased)))
-    return rows.withColumn("variant", cells.folded_words(F.col("variant"))).filter(F.col("variant") != "").distinct()
 
 
 def _has_word(words: Column, wanted: Sequence[str]) -> Column:
@@ -176,7 +191,8 @@ def resolve_fields(requests: DataFrame, variants: DataFrame) -> DataFrame:
         )
         .withColumn("_id_like", _has_word(F.col("_words"), ID_WORDS))
     )
-    pairs = wanted.join(variants, "table_name").withColumn("_ratio", similarity_ratio("_asked", "variant"))
+    # Python work follows the join; dealing the requests out first keeps all cores on it.
+    pairs = wanted.repartition("_asked").join(variants, "table_name").withColumn("_ratio", similarity_ratio("_asked", "variant"))
     variant_words = F.array_distinct(F.split("variant", " "))
     overlap = F.size(F.array_intersect("_words", variant_words))
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
@@ -185,12 +201,9 @@ def resolve_fields(requests: DataFrame, variants: DataFrame) -> DataFrame:
     )
     token = F.when(overlap > 0, 0.42 + 0.42 * overlap / F.size("_words")).otherwise(0.0)
     fuzzy = 0.18 + 0.68 * F.col("_ratio")
-    lookup = lambda table: F.coalesce(
-        F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("source")), F.lit(0.0)
-    )
     exact = F.col("_asked") == F.col("variant")
-    base = F.when(exact, lookup(EXACT_SCORES)).otherwise(
-        F.least(F.lit(1.0), F.greatest(inside, token, fuzzy) + lookup(SOURCE_BONUS))
+    base = F.when(exact, F.col("exact_score")).otherwise(
+        F.least(F.lit(1.0), F.greatest(inside, token, fuzzy) + F.col("bonus"))
     )
     strategy = (
         F.when(exact, "exact_match")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from granary.functions import cells
 from granary.operators import catalog, normalize
 from granary.operators.ordering import with_running_sum
+from granary.session import settle, spread
 
 # Profile limits.
 PROFILE_COLUMNS = 160
@@ -27,13 +28,14 @@ CODEGEN_CATEGORY_DISTINCT = 80
 HISTOGRAM_BINS = 20
 
 
-def _unpivot(row: DataFrame, columns: Sequence[str], facts: dict[str, str]) -> DataFrame:
+def _unpivot(row: DataFrame, columns: Sequence[str], facts: dict[str, str], shared: Sequence[str] = ()) -> DataFrame:
     """One aggregate row with columns '{column}__{fact}' turned into one row per column."""
     entries = [
         F.struct(
             F.lit(i).alias("ordinal"),
             F.lit(c).alias("column_name"),
             *[F.col(f"`{c}__{fact}`").cast(kind).alias(fact) for fact, kind in facts.items()],
+            *[F.col(name).alias(name) for name in shared],
         )
         for i, c in enumerate(columns, start=1)
     ]
@@ -50,7 +52,7 @@ def non_empty_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows per (column, value), pre-aggregated before the shuffle; the base of distinct and top values."""
     columns = list(columns or df.columns)[:PROFILE_COLUMNS]
-    return normalize.long_cells(df, columns).groupBy("ordinal", "column_name", "value").agg(F.count("*").alias("n"))
+    return normalize.long_cells(spread(df.select(*columns)), columns).groupBy("ordinal", "column_name", "value").agg(F.count("*").alias("n"))
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
@@ -150,16 +152,21 @@ def numeric_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     entries = [
         F.struct(F.lit(c).alias("column_name"), cells.tolerant_number(df, c).alias("number")) for c in columns
     ]
-    return df.select(F.inline(F.array(*entries))).filter(F.col("number").isNotNull())
+    return spread(df.select(*columns)).select(F.inline(F.array(*entries))).filter(F.col("number").isNotNull())
 
 
 def percentiles(df: DataFrame, group: Sequence[str], value: str, share: float, name: str) -> DataFrame:
-    """Exact interpolated percentile per group without gathering a group in one task.
+    """Exact interpolated percentile per group without gathering a group in one task."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
+    return percentiles_of_counts(settle(counts), group, value, share, name)
+
 
-    Equal values are counted first, the counts get running sums over range pieces, and only the two
-    rows that cover the wanted ranks are kept.
+def percentiles_of_counts(counts: DataFrame, group: Sequence[str], value: str, share: float, name: str) -> DataFrame:
+    """Percentiles of settled (group, value, _n) rows.
+
+    The counts get running sums over range pieces, and only the two rows that cover the wanted ranks
+    are kept.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
     running = with_running_sum(counts, group, [value], "_n", "_upto")
     totals = counts.groupBy(*group).agg(F.sum("_n").alias("_total"))
     if group:
@@ -177,24 +184,26 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str, share: float, n
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, scale: int | None = None) -> DataFrame:
-    """count, min, max, mean and median of columns with at least max(3, 10 %) numbers."""
+    """count, min, max, mean and median of columns with at least max(3, 10 %) numbers.
+
+    Everything comes from the counts per value, so the table is read and pre-aggregated once.
+    """
     columns = list(columns or df.columns)[:NUMERIC_COLUMNS]
     columns = [c for c in columns if cells.is_text(df, c) or isinstance(cells.data_type(df, c), T.NumericType)]
-    aggregates = []
-    for c in columns:
-        number = cells.tolerant_number(df, c)
-        mean = F.avg(number) if scale is None else F.sum(cells.cents(number, scale)).cast("double") / F.count(number)
-        facts = {"count": F.count(number), "min": F.min(number), "max": F.max(number), "mean": F.round(mean, 6)}
-        aggregates += [e.alias(f"{c}__{n}") for n, e in facts.items()]
-    row = df.agg(*aggregates, F.count("*").alias("row_count"))
-    kinds = {"count": "long", "min": "double", "max": "double", "mean": "double"}
-    total = row.select("row_count")
-    summary = _unpivot(row, columns, kinds).drop("ordinal")
-    medians = percentiles(numeric_cells(df, columns), ["column_name"], "number", 0.5, "median")
-    enough = F.greatest(F.lit(3), F.floor(F.col("row_count") * 0.1))
+    counts = settle(numeric_cells(df, columns).groupBy("column_name", "number").agg(F.count("*").alias("_n")))
+    number = F.col("number") if scale is None else cells.cents(F.col("number"), scale)
+    total = F.sum(number * F.col("_n")).cast("double")
+    facts = counts.groupBy("column_name").agg(
+        F.sum("_n").alias("count"),
+        F.min("number").alias("min"),
+        F.max("number").alias("max"),
+        F.round(total / F.sum("_n"), 6).alias("mean"),
+    )
+    medians = percentiles_of_counts(counts, ["column_name"], "number", 0.5, "median")
+    rows = df.agg(F.greatest(F.lit(3), F.floor(F.count("*") * 0.1)).alias("_enough"))
     return (
-        summary.crossJoin(F.broadcast(total))  # one row
-        .filter(F.col("count") >= enough)
+        facts.crossJoin(F.broadcast(rows))  # one row
+        .filter(F.col("count") >= F.col("_enough"))
         .join(F.broadcast(medians), "column_name")
         .select("column_name", "count", "min", "max", "mean", "median")
     )
@@ -214,12 +223,9 @@ def datetime_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
         ]
     row = df.agg(*aggregates, F.count("*").alias("row_count"))
     enough = F.greatest(F.lit(3), F.floor(F.col("row_count") * 0.1))
-    summary = _unpivot(row, columns, {"count": "long", "min": "string", "max": "string"}).drop("ordinal")
-    return (
-        summary.crossJoin(F.broadcast(row.select("row_count")))  # one row
-        .filter(F.col("count") >= enough)
-        .select("column_name", "count", "min", "max")
-    )
+    kinds = {"count": "long", "min": "string", "max": "string"}
+    summary = _unpivot(row, columns, kinds, ["row_count"])
+    return summary.filter(F.col("count") >= enough).select("column_name", "count", "min", "max")
 
 
 def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -309,7 +315,7 @@ def first_categorical_top(df: DataFrame, columns: Sequence[str] | None = None, k
 def token_frequency(df: DataFrame, column: str, k: int = 20) -> DataFrame:
     """Most frequent words of more than two letters."""
     plain = F.regexp_replace(F.lower(column), r"[^a-zа-я0-9\s]", " ")
-    words = df.select(F.explode(F.split(plain, r"\s+")).alias("token")).filter(F.length("token") > 2)
+    words = spread(df.select(column)).select(F.explode(F.split(plain, r"\s+")).alias("token")).filter(F.length("token") > 2)
     counts = words.groupBy("token").agg(F.count("*").alias("count"))
     return counts.orderBy(F.col("count").desc(), F.col("token")).limit(k)
 

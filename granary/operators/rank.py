@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from granary.operators.ordering import first_per_group
+from granary.session import settle, spread
 
 # Token pattern, fusion and hybrid weights, BM25 defaults.
 TOKEN_PATTERN = "[A-Za-zА-Яа-яЁё0-9_]+"
@@ -35,7 +36,7 @@ def words(text: Column) -> Column:
 
 def term_counts(texts: DataFrame, key: str, tokens: Column) -> DataFrame:
     """(key, token, tf, length): occurrences per text; all tokens of a text sit in one row, so they combine locally."""
-    listed = texts.select(F.col(key), tokens.alias("_tokens"))
+    listed = spread(texts).select(F.col(key), tokens.alias("_tokens"))
     exploded = listed.select(key, F.size("_tokens").alias("length"), F.explode("_tokens").alias("token"))
     return exploded.groupBy(key, "length", "token").agg(F.count("*").alias("tf"))
 
@@ -45,7 +46,7 @@ def lexical_terms(docs: DataFrame, doc: str, text: str, queries: DataFrame, quer
     doc_counts = term_counts(docs, doc, tokenize(F.col(text)))
     query_counts = term_counts(queries, query, tokenize(F.col(query_text)))
     vocabulary = query_counts.select("token").distinct()
-    found = doc_counts.join(vocabulary, "token")
+    found = settle(doc_counts.join(vocabulary, "token"))  # read twice, tokenised once
     df = found.groupBy("token").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("n"))
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -61,9 +62,10 @@ def bm25_terms(docs: DataFrame, doc: str, text: str, queries: DataFrame, query:
     """Both sides of Okapi BM25; a term in more than half of the texts gets a share of the average idf."""
     doc_counts = term_counts(docs, doc, words(F.col(text)))
     query_counts = term_counts(queries, query, words(F.col(query_text)))
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.size(words(F.col(text)))).alias("average_length"))
+    every = settle(doc_counts.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("_tf")))
+    size = docs.agg(F.count("*").alias("n")).crossJoin(every.agg(F.sum("_tf").alias("_all")))  # one row each
+    size = size.select("n", (F.col("_all") / F.col("n")).alias("average_length"))
     raw_idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    every = doc_counts.groupBy("token").agg(F.count("*").alias("df"))
     idf = every.crossJoin(F.broadcast(size)).select("token", raw_idf.alias("idf"))  # one row
     floor = idf.agg((BM25_EPSILON * F.avg("idf")).alias("_floor"))
     query_terms = (
@@ -87,6 +89,7 @@ def sparse_topk(doc_terms: DataFrame, doc: str, query_terms: DataFrame, query: s
     documents against them and keeps k per query, so a word that stands in a third of all documents
     costs a scan and not a list of pairs.
     """
+    query_terms = settle(query_terms)
     terms = query_terms.count()
     parts = max(1, math.ceil(terms / QUERY_TERMS_PER_SLICE))
     part = F.pmod(F.xxhash64(query), F.lit(parts))

@@ -155,9 +155,9 @@ def bm25_hits(t: Tables, k: int) -> DataFrame:
     return rank.sparse_topk(terms[0], "doc_id", terms[1], "item_id", k)
 
 
-@query("G07_bm25_topk", f"WITH {BM25_SQL} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 48")
+@query("G07_bm25_topk", f"WITH {BM25_SQL} SELECT item_id, doc_id, score, rank FROM bm WHERE rank <= 48")
 def _(t):
-    return bm25_hits(t, max(6 * 8, 40)).withColumn("score", F.round("score", 6))
+    return bm25_hits(t, max(6 * 8, 40))
 
 
 @query(
@@ -165,13 +165,13 @@ def _(t):
     f"""WITH {BM25_SQL}, {dense_sql(40)}, parts AS (SELECT item_id, vec_id AS id, 0.75 / (60 + rank) AS p FROM dense
           UNION ALL SELECT item_id, doc_id, 0.25 / (60 + rank) FROM bm WHERE rank <= 48),
         fused AS (SELECT item_id, id, round(sum(CAST(p AS DOUBLE)), 10) AS score FROM parts GROUP BY 1, 2)
-        SELECT item_id, id, round(score, 8) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank
+        SELECT item_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank
           FROM fused) WHERE rank <= 24""",
 )
 def _(t):
     dense = dense_hits(t, 40).withColumnRenamed("vec_id", "id")
     lexical = bm25_hits(t, 48).withColumnRenamed("doc_id", "id")
-    return rank.reciprocal_fusion(dense, lexical, "item_id", "id", 8).withColumn("score", F.round("score", 8))
+    return rank.reciprocal_fusion(dense, lexical, "item_id", "id", 8)
 
 
 HYBRID_SQL = f"""{lexical_sql(40)}, {dense_sql(40)}, rel AS (SELECT item_id, doc_id AS id, score / max(score) OVER (PARTITION BY item_id) AS lexical
@@ -191,10 +191,11 @@ def hybrid_hits(t: Tables) -> DataFrame:
 
 @query(
     "G09_hybrid_merge",
-    f"WITH {HYBRID_SQL} SELECT item_id, id, round(dense_score, 6) AS dense_score, round(lexical_score, 6) AS lexical_score, round(hybrid_score, 6) AS hybrid_score FROM hybrid",
+    f"WITH {HYBRID_SQL} SELECT item_id, id, round(dense_score, 6) AS dense_score, round(lexical_score, 6) AS lexical_score, hybrid_score FROM hybrid",
 )
 def _(t):
-    return hybrid_hits(t).select("item_id", "id", *[F.round(c, 6).alias(c) for c in ("dense_score", "lexical_score", "hybrid_score")])
+    parts = [F.round(c, 6).alias(c) for c in ("dense_score", "lexical_score")]
+    return hybrid_hits(t).select("item_id", "id", *parts, "hybrid_score")
 
 
 @query(

@@ -157,11 +157,11 @@ def _(t):
 
 @query(
     "H13_top_chunks_report",
-    f"""WITH {HITS_SQL} SELECT item_id, rank, file_id, chunk_index, round(score, 6) AS score, substr(content, 1, 220) AS preview,
+    f"""WITH {HITS_SQL} SELECT item_id, rank, file_id, chunk_index, score, substr(content, 1, 220) AS preview,
         round(avg(score) OVER (PARTITION BY item_id), 6) AS average_score FROM hits WHERE rank <= 8""",
 )
 def _(t):
-    return coverage.top_chunks(hits_of(t), "item_id", "score").withColumn("score", F.round("score", 6))
+    return coverage.top_chunks(hits_of(t), "item_id", "score")
 
 
 @query(
