@@ -191,7 +191,8 @@ def token_estimate(text: str) -> Column:
 def top_chunks(hits: DataFrame, query: str, score: str, k: int = SOURCE_LINES) -> DataFrame:
     """The first hits with a preview, and their average score."""
     top = hits.filter(F.col("rank") <= k)
-    average = top.groupBy(query).agg(F.round(F.avg(score), 6).alias("average_score"))
+    total = F.sum(F.col(score).cast("decimal(18,8)")).cast("double")
+    average = top.groupBy(query).agg((total / F.count("*")).alias("average_score"))
     return top.join(average, query).select(
         query, "rank", "file_id", "chunk_index", score, F.substring("content", 1, PREVIEW_CHARS).alias("preview"), "average_score"
     )

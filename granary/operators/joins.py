@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from granary.functions import cells
 from granary.functions.similarity import similarity_ratio
-from granary.operators.ordering import with_position
+from granary.operators.ordering import salted_join, with_position
 from granary.session import spread
 
 CHILDREN_PER_PAGE = 500
@@ -191,8 +191,8 @@ def resolve_fields(requests: DataFrame, variants: DataFrame) -> DataFrame:
         )
         .withColumn("_id_like", _has_word(F.col("_words"), ID_WORDS))
     )
-    # Python work follows the join; dealing the requests out first keeps all cores on it.
-    pairs = wanted.repartition("_asked").join(variants, "table_name").withColumn("_ratio", similarity_ratio("_asked", "variant"))
+    # Python work follows the join, and one table may be asked about most.
+    pairs = salted_join(wanted, variants, ["table_name"], "_asked").withColumn("_ratio", similarity_ratio("_asked", "variant"))
     variant_words = F.array_distinct(F.split("variant", " "))
     overlap = F.size(F.array_intersect("_words", variant_words))
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))

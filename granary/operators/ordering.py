@@ -90,6 +90,16 @@ def with_running_sum(
     )
 
 
+SALTS = 32
+
+
+def salted_join(large: DataFrame, small: DataFrame, keys: Sequence[str], deal_by: str, salts: int = SALTS) -> DataFrame:
+    """Inner join whose hot keys are dealt over ``salts`` tasks; the small side is repeated that often."""
+    dealt = large.withColumn("_salt", F.pmod(F.xxhash64(deal_by), F.lit(salts)).cast("int"))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(repeated, [*keys, "_salt"]).drop("_salt")
+
+
 def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
     """First k rows of each group; Spark cuts every map task to k rows per group before the shuffle."""
     window = Window.partitionBy(*group).orderBy(*order)

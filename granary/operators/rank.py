@@ -63,22 +63,19 @@ def bm25_terms(docs: DataFrame, doc: str, text: str, queries: DataFrame, query:
     doc_counts = term_counts(docs, doc, words(F.col(text)))
     query_counts = term_counts(queries, query, words(F.col(query_text)))
     every = settle(doc_counts.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("_tf")))
-    size = docs.agg(F.count("*").alias("n")).crossJoin(every.agg(F.sum("_tf").alias("_all")))  # one row each
-    size = size.select("n", (F.col("_all") / F.col("n")).alias("average_length"))
-    raw_idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = every.crossJoin(F.broadcast(size)).select("token", raw_idf.alias("idf"))  # one row
+    n, length = docs.count(), every.agg(F.sum("_tf")).first()[0] or 0  # two numbers
+    average_length = max(1e-9, length / max(1, n))
+    raw_idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = every.select("token", raw_idf.alias("idf"))
     floor = idf.agg((BM25_EPSILON * F.avg("idf")).alias("_floor"))
     query_terms = (
         query_counts.join(idf, "token")
         .crossJoin(F.broadcast(floor))  # one row
         .select(query, "token", (F.when(F.col("idf") < 0, F.col("_floor")).otherwise(F.col("idf")) * F.col("tf")).alias("weight"))
     )
-    pull = BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("average_length"))
-    doc_terms = (
-        doc_counts.join(query_counts.select("token").distinct(), "token")
-        .crossJoin(F.broadcast(size))  # one row
-        .select(doc, "token", (F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + pull)).alias("weight"))
-    )
+    pull = BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / average_length)
+    saturated = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + pull)
+    doc_terms = doc_counts.join(query_counts.select("token").distinct(), "token").select(doc, "token", saturated.alias("weight"))
     return doc_terms, query_terms
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from granary.functions import cells
 from granary.operators.joins import folded_file_name
-from granary.operators.ordering import PIECE, attach, carried, in_pieces, with_position
+from granary.operators.ordering import PIECE, attach, carried, in_pieces, salted_join, with_position
 
 # Words that reveal what a request wants.
 OVERVIEW = (
@@ -271,7 +271,7 @@ def select_scope(requests: DataFrame, tables: DataFrame) -> DataFrame:
         + F.least(F.lit(1.0), hits * COLUMN_WEIGHT)
     )
     bonus = lambda top: F.when(F.col(top) > 0, F.least(F.lit(ROW_BONUS), F.col("row_count") / F.col(top) * ROW_BONUS)).otherwise(0.0)
-    scored = asked.select("scope_id", "_q").distinct().join(named, "scope_id").select(
+    scored = salted_join(asked.select("scope_id", "_q").distinct(), named, ["scope_id"], "_q").select(
         "scope_id", "_q", "file_id", "table_name", "sheet_name", "_tables", "_files", "_file",
         F.round(base + bonus("_file_max"), 9).alias("_table_score"),
         F.round(base + bonus("_scope_max"), 9).alias("_for_file"),

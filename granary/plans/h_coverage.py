@@ -158,7 +158,7 @@ def _(t):
 @query(
     "H13_top_chunks_report",
     f"""WITH {HITS_SQL} SELECT item_id, rank, file_id, chunk_index, score, substr(content, 1, 220) AS preview,
-        round(avg(score) OVER (PARTITION BY item_id), 6) AS average_score FROM hits WHERE rank <= 8""",
+        CAST(sum(CAST(score AS DECIMAL(18,8))) OVER (PARTITION BY item_id) AS DOUBLE) / count(*) OVER (PARTITION BY item_id) AS average_score FROM hits WHERE rank <= 8""",
 )
 def _(t):
     return coverage.top_chunks(hits_of(t), "item_id", "score")
