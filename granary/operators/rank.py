@@ -22,6 +22,7 @@ DENSE_WEIGHT, LEXICAL_WEIGHT = 0.75, 0.25
 FUSION_CONSTANT = 60
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 QUERY_TERMS_PER_SLICE = 2_000_000
+SCORE_DIGITS = 6  # equal to six digits counts as a tie, which the document id breaks
 
 
 def tokenize(text: Column) -> Column:
@@ -134,7 +135,7 @@ def _score(doc_terms, doc, table: pd.DataFrame, query, spark, k, query_type) ->
             for one, (tokens, values) in zip(queries, per_query):
                 dense = np.zeros(size)
                 dense[tokens] = values
-                scores = np.round(np.bincount(owner, weights * dense[ids], len(pdf)), 8)
+                scores = np.round(np.bincount(owner, weights * dense[ids], len(pdf)), SCORE_DIGITS)
                 hit = np.flatnonzero(scores > 0)
                 best = hit[np.lexsort((keys[hit], -scores[hit]))[:k]]
                 out.append(pd.DataFrame({query: one, doc: keys[best], "score": scores[best]}))
@@ -278,8 +279,9 @@ def scope_from_hits(hits: DataFrame, query: str, score: str) -> DataFrame:
 
 def context_block(hits: DataFrame, query: str, score: str) -> DataFrame:
     """Ranked hits of a query as one numbered text; input is a cut list per query."""
-    text = F.concat(
-        F.format_string("[%d] file=%s chunk=%s score=%.4f\n", "rank", "filename", "chunk_index", score), F.trim("content")
-    )
+    # format_number rounds the exact value; format_string would round its shortest decimal form.
+    shown = F.call_function("format_number", F.col(score), F.lit("0.0000"))
+    head = F.format_string("[%d] file=%s chunk=%s score=%s\n", "rank", "filename", "chunk_index", shown)
+    text = F.concat(head, F.trim("content"))
     items = F.sort_array(F.collect_list(F.when(F.trim("content") != "", F.struct("rank", text.alias("text")))))
     return hits.groupBy(query).agg(F.array_join(F.transform(items, lambda s: s["text"]), "\n\n---\n\n").alias("context"))

@@ -23,7 +23,7 @@ POSTINGS_SQL = f"""tf AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_
 
 def lexical_sql(k: int = HITS) -> str:
     return f"""{POSTINGS_SQL}, scored AS (SELECT item_id, doc_id, round(sum((tf.tf / n) * ln(1.0 + ((SELECT count(*) FROM documents) - df + 0.5)
-        / (df + 0.5)) * (1.0 + 0.2 * qtf)), 8) AS score FROM qt JOIN tf USING (token) JOIN df USING (token) JOIN lens USING (doc_id) GROUP BY 1, 2),
+        / (df + 0.5)) * (1.0 + 0.2 * qtf)), 6) AS score FROM qt JOIN tf USING (token) JOIN df USING (token) JOIN lens USING (doc_id) GROUP BY 1, 2),
       lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored
         WHERE score > 0) WHERE rank <= {k})"""
 
@@ -145,7 +145,7 @@ BM25_SQL = r"""w AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, u
   idf AS (SELECT token, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM idf0) ELSE idf END AS idf FROM idf0),
   bq AS (SELECT item_id, token, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_split_to_array(text, '\s+')) AS token FROM benchmark)
     WHERE token <> '' GROUP BY 1, 2),
-  bs AS (SELECT item_id, doc_id, round(sum(idf * qtf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / avgdl))), 8) AS score
+  bs AS (SELECT item_id, doc_id, round(sum(idf * qtf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / avgdl))), 6) AS score
     FROM bq JOIN w USING (token) JOIN idf USING (token) JOIN wl USING (doc_id), c GROUP BY 1, 2),
   bm AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM bs WHERE score > 0)"""
 
@@ -301,7 +301,11 @@ def row_groups_of(t: Tables) -> DataFrame:
     )
 
 
-@query("G17_row_coverage_repass")
+@query(
+    "G17_row_coverage_repass",
+    """SELECT l_suppkey AS file_id, l_returnflag AS sheet_name, l_orderkey AS row_start, CAST(l_orderkey + l_quantity AS BIGINT) AS row_end
+       FROM lineitem ORDER BY l_suppkey, l_orderkey, l_returnflag, l_partkey, l_linenumber LIMIT 1600""",
+)
 def _(t):
     groups = row_groups_of(t).orderBy("file_id", "row_start", "sheet_name", "l_partkey", "chunk_index")
     return retrieve.with_row_repass(lambda cap: groups.limit(cap)).select("file_id", "sheet_name", "row_start", "row_end")

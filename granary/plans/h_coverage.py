@@ -103,7 +103,16 @@ def batches_of(t: Tables) -> DataFrame:
     return coverage.batch_context(t.documents.select("source", "doc_id", "text"), "source", ["doc_id"], "text")
 
 
-@query("H07_batch_context")
+PACKED_SQL = """RECURSIVE docs AS (SELECT source, doc_id, length(trim(text)) AS chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n
+    FROM documents WHERE length(trim(text)) > 0),
+  packed AS (SELECT source, doc_id, n, chars, 0 AS batch, 1 AS held, chars AS total FROM docs WHERE n = 1
+    UNION ALL SELECT d.source, d.doc_id, d.n, d.chars, p.batch + CASE WHEN p.held >= 12 OR p.total + d.chars > 25000 THEN 1 ELSE 0 END,
+      CASE WHEN p.held >= 12 OR p.total + d.chars > 25000 THEN 1 ELSE p.held + 1 END,
+      CASE WHEN p.held >= 12 OR p.total + d.chars > 25000 THEN d.chars ELSE p.total + d.chars END
+    FROM packed p JOIN docs d ON d.source = p.source AND d.n = p.n + 1)"""
+
+
+@query("H07_batch_context", f"WITH {PACKED_SQL} SELECT source, doc_id, chars, batch FROM packed")
 def _(t):
     return batches_of(t).select("source", "doc_id", "chars", "batch")
 
@@ -141,7 +150,11 @@ def _(t):
     return coverage.trim_to_budget(coverage.merge_partials(partials_of(t), "source"), "source", 60_000)
 
 
-@query("H11_batch_diagnostics")
+@query(
+    "H11_batch_diagnostics",
+    f"""WITH {PACKED_SQL} SELECT source, batch, count(*) AS docs, CAST(sum(chars) AS BIGINT) AS chars_in, sum(chars) > 25000 AS truncated
+        FROM packed GROUP BY 1, 2""",
+)
 def _(t):
     return coverage.batch_diagnostics(batches_of(t), "source")
 

@@ -45,7 +45,7 @@ def test_lexical_scores_equal_the_formula(spark):
                 counts[w] / sum(counts.values()) * math.log(1 + (4 - df[w] + 0.5) / (df[w] + 0.5)) * (1 + 0.2 * n)
                 for w, n in Counter(text.lower().split()).items()
             )
-            assert abs(got.get((qi, di), 0.0) - score) < 1e-7
+            assert abs(got.get((qi, di), 0.0) - score) < 1e-6
 
 
 def test_nearest_in_scope(spark):
