@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from granary.llm import packing, simhash
+from granary.llm import line_dedup, mixing, packing, simhash
 from granary.llm.batches import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,9 +36,20 @@ def op3(spark, folder):
     return marked.select("doc_id", simhash.as_hex("bits").alias("fingerprint"), "component_id")
 
 
+@query("op4_line_dedup", line_dedup.SQL)
+def op4(spark, folder):
+    return line_dedup.remove_repeated(read(spark, folder, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 @query("op7_concatenate_and_cut")
 def op7(spark, folder):
     packed = packing.pack(read(spark, folder, "documents"), vocabulary())
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query("op8_temperature_mixing", mixing.SQL)
+def op8(spark, folder):
+    mixed = mixing.mix(read(spark, folder, "documents"))
+    return mixed.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "epoch", "block")
