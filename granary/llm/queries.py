@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from granary.llm import line_dedup, mixing, packing, simhash
+from granary.llm import line_dedup, line_rules, mixing, neighbours, packing, simhash
 from granary.llm.batches import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,13 @@ def op7(spark, folder):
 def op8(spark, folder):
     mixed = mixing.mix(read(spark, folder, "documents"))
     return mixed.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "epoch", "block")
+
+
+@query("op9_multiprobe_neighbours")
+def op9(spark, folder):
+    return neighbours.search(read(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op6_line_first_rules")
+def op6(spark, folder):
+    return line_rules.clean_lines(read(spark, folder, "documents")).drop("rules", "clean_text")
