@@ -1,4 +1,4 @@
-"""The corpus pipeline: toxic documents go, shared lines and near-duplicates go, sources are mixed, tokens are packed."""
+"""The corpus pipeline: toxic documents go, shared passages and near-duplicates go, sources are mixed, tokens are packed."""
 
 from __future__ import annotations
 
@@ -6,17 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from granary.llm import packing, simhash
+from granary.llm import line_dedup, mixing, packing, simhash, toxicity
 from granary.llm.batches import read
-from granary.llm.queries import vocabulary
+from granary.llm.queries import held_out, vocabulary
 from granary.session import settle
 
+TOXIC_FROM = 0.3
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold; the classifier learns from the labels outside the held-out fold."""
+    labels = read(spark, sf_dir, "labels").where(~held_out(4, 2))
+    return toxicity.keep_harmless(docs, toxicity.trained(docs, labels), TOXIC_FROM)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that stand elsewhere already."""
+    return line_dedup.remove_repeated(docs).select(*docs.columns)
+
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
     return simhash.keep_one_per_group(docs)
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the weights of their sources ask, once at least."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 1024 tokens."""
     packed = packing.pack(docs, vocabulary())
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
@@ -24,11 +44,14 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_dedup_stage),
     ("simhash_near_dedup", simhash_stage),
+    ("mixing", mixing_stage),
     ("packing", packing_stage),
 ]
 
-#: Fingerprints, a fitted classifier and token ids are beyond SQL.
+#: A fitted classifier, fingerprints and token ids are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ passage is a chunk of its own.  Chunks that repeat are removed but for the first
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from granary.session import settle
 
@@ -69,9 +69,9 @@ def chunks(lines: DataFrame, min_words: int = MIN_WORDS, one_in: int = BOUNDARY_
     return heavy.withColumn("opens", opens).select(*KEY, F.explode(F.expr(cut)).alias("c")).select(*KEY, "c.*")
 
 
-def cut_out(list_: str, with_text: str) -> F.Column:
-    """``with_text`` evaluated for the items c of a list with ``lines`` bound to the text's lines, split once."""
-    return F.expr(f"transform(array(split(text, '\\n', -1)), lines -> {with_text.format(list_=list_)})[0]")
+def with_lines(expression: str) -> Column:
+    """An expression over ``lines``, the text's lines, which are split once however often it names them."""
+    return F.expr(f"transform(array(split(text, '\\n', -1)), lines -> {expression})[0]")
 
 
 def chunk_text(item: str) -> str:
@@ -85,7 +85,8 @@ def remove_repeated(docs: DataFrame, min_words: int = MIN_WORDS, one_in: int = B
     two places or more, in one document or several.  It stays at its first place, by doc_id (nulls first), text
     hash and line.  Lines are joined by ``\\n`` again, a document all of whose lines go has the empty text and
     keeps its row.  Null texts stay null with 0 lines; repeated rows (same id and text) count as one document and
-    are edited alike; other columns, whatever their names, are passed on.  An empty table gives an empty table.
+    are edited alike; other columns are passed on, and where they have the names of the
+    counts the counts are left out.  An empty table gives an empty table.
     """
     lines = settle(line_table(docs))
     found = settle(chunks(lines, min_words, one_in))
@@ -96,7 +97,7 @@ def remove_repeated(docs: DataFrame, min_words: int = MIN_WORDS, one_in: int = B
 
     texts = keyed(docs).select(*KEY, "text")
     firsts = repeated.select("chunk", "first.*").groupBy(*KEY).agg(F.collect_list(F.struct("chunk", "start", "n")).alias("at"))
-    told = cut_out("at", "transform({list_}, c -> struct(c.chunk as chunk, " + chunk_text("c") + " as passage))")
+    told = with_lines(f"transform(at, c -> struct(c.chunk as chunk, {chunk_text('c')} as passage))")
     # repeated rows tell the same passage twice
     passages = texts.dropDuplicates(list(KEY)).join(firsts, list(KEY)).select(F.explode(told).alias("p")).select("p.*")
 
@@ -104,14 +105,11 @@ def remove_repeated(docs: DataFrame, min_words: int = MIN_WORDS, one_in: int = B
     rows = keyed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")).select("_row", "text", *KEY)
     same = "filter(coalesce(at, array()), c -> " + chunk_text("c") + " = c.passage)"
     edited = rows.join(marks, list(KEY), "left").select(
-        "_row", F.expr(f"transform(array(split(text, '\\n', -1)), lines -> {rest_of(same)})[0]").alias("_new")
+        "_row", with_lines(rest_of(same)).alias("_new")
     )
     kept = [F.col(f"_row.{c}").alias(c) if c != "text" else F.col("_new.text").alias("text") for c in docs.columns]
-    return edited.select(
-        *kept,
-        F.coalesce("_new.n_lines", F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce("_new.n_removed", F.lit(0)).cast("long").alias("n_removed"),
-    )
+    counts = [F.coalesce(f"_new.{c}", F.lit(0)).cast("long").alias(c) for c in ("n_lines", "n_removed") if c not in docs.columns]
+    return edited.select(*kept, *counts)
 
 
 def rest_of(removed: str) -> str:

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from granary.llm import line_dedup, line_rules, mixing, neighbours, packing, simhash
-from granary.llm.batches import read
+from granary.llm import line_dedup, line_rules, mixing, neighbours, packing, pii, rule_ensemble, simhash, spans, toxicity
+from granary.llm.batches import crc_fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,3 +63,50 @@ def op9(spark, folder):
 @query("op6_line_first_rules")
 def op6(spark, folder):
     return line_rules.clean_lines(read(spark, folder, "documents")).drop("rules", "clean_text")
+
+
+@query("op1_disclosure_sanitiser")
+def op1(spark, folder):
+    found = pii.find(read(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    return found.select(
+        "doc_id",
+        *[pii.count_of(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.digest(base), 256).alias("base_sha256"),
+        pii.digest(F.col("spans")).alias("spans"),
+    )
+
+
+def held_out(parts: int, part: int):
+    """Whether a document's id falls in the fold labels are not learned from; rows without an id do not."""
+    return F.coalesce(crc_fold("doc_id", parts) == part, F.lit(False))
+
+
+@query("op2_rule_ensemble_quality")
+def op2(spark, folder):
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    sample = rule_ensemble.sample_of(docs, labels.where(~held_out(3, 1)), "quality")
+    model = rule_ensemble.fit(sample)
+    return rule_ensemble.score(docs, model).select(
+        "doc_id",
+        held_out(3, 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query("op10_counterfactual_toxicity")
+def op10(spark, folder):
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    model = toxicity.trained(docs, labels.where(~held_out(4, 2)))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        held_out(4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+@query("op5_offset_attribution")
+def op5(spark, folder):
+    return spans.attributed_fields(read(spark, folder, "documents"), vocabulary(), ["lang", "source", "text"])
