@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from functools import lru_cache
 
@@ -12,6 +13,8 @@ from tokenizers import Tokenizer
 # fixed values: the printable stand-ins of bytes in byte-level vocabularies, and the pattern such files split by
 PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LONG_RUN = 50_000
+BLANKS = re.compile(r"\s{%d}" % LONG_RUN)
 
 
 def stand_ins() -> dict[str, int]:
@@ -24,7 +27,8 @@ class Encoder:
     """Ids of whole texts exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
     A vocabulary whose ids follow its merges in order can also be run by tiktoken, which is several times faster;
-    other vocabularies, and texts that tiktoken refuses (very long runs of white space), go to tokenizers.
+    other vocabularies, and texts with runs of white space longer than tiktoken's pattern matcher bears, go to
+    tokenizers.
     """
 
     def __init__(self, path: str):
@@ -37,13 +41,10 @@ class Encoder:
         )
 
     def ids(self, text: str) -> list[int]:
-        if self.fast:
-            try:
-                if any(mark in text for mark in self.special):
-                    return self.fast.encode(text, allowed_special="all")
-                return self.fast.encode_ordinary(text)
-            except ValueError:
-                pass
+        if self.fast and not (len(text) >= LONG_RUN and BLANKS.search(text)):
+            if any(mark in text for mark in self.special):
+                return self.fast.encode(text, allowed_special="all")
+            return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 
     def token_bytes(self, token: int) -> bytes:
