@@ -100,6 +100,19 @@ def permuted(docs: DataFrame, seed: int) -> DataFrame:
     return docs.withColumn("_order", order).withColumn("block", F.substring("_order", 1, BLOCK_DIGITS))
 
 
+def last_blocks(counted: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """``(source, cut_block, before)``: the block in which a source's last pass ends, and the tokens of the blocks ahead.
+
+    At most 16 ** 3 rows of a source meet in one window, whatever its size.
+    """
+    part = plan.where("rest > 0").select("source", F.col("full").alias("epoch"), "rest")
+    light = permuted(counted.where("n_tokens > 0").select("source", "doc_id", "n_tokens").join(part, "source"), seed)
+    ahead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = light.groupBy("source", "rest", "block").agg(F.sum("n_tokens").alias("size"))
+    sums = sizes.withColumn("before", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
+    return sums.where("before + size > rest").groupBy("source").agg(F.min("block").alias("cut_block"), F.min("before").alias("before"))
+
+
 def mix(
     docs: DataFrame,
     max_repetition: float | None = MAX_REPETITION,
@@ -129,29 +142,20 @@ def mix(
     exponent = fitted_exponent(totals, max_repetition, target_entropy)
     plan = settle(budgets(totals, exponent).withColumns({"full": F.expr("budget div total"), "rest": F.expr("budget % total")}))
 
-    # the last pass: tokens of each block, then whether the block fits
-    light = permuted(counted.select("source", "doc_id", "n_tokens").join(plan.select("source", F.col("full").alias("epoch"), "rest"), "source").where("rest > 0 and n_tokens > 0"), seed)
-    ahead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        light.groupBy("source", "rest", "block")
-        .agg(F.sum("n_tokens").alias("size"))
-        .withColumn("before", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
-        .where("before < rest")
-        .select("source", "block", "before", "size", "rest")
-    )
-    blocks = settle(blocks)
+    # the last pass: tokens of each block, then per source the first block that does not fit whole
+    plan = settle(plan.join(last_blocks(counted, plan, seed), "source", "left"))
 
     epochs = F.when(F.col("n_tokens") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.expr("sequence(0L, full)"))
-    taken = counted.join(plan.select("source", "weight", "full"), "source", "left").select(
+    taken = counted.join(plan.drop("total", "budget"), "source", "left").select(
         "*", F.explode(F.coalesce(epochs, F.array(F.lit(0).cast("long")))).alias("epoch")
     )
-    whole = taken.where("n_tokens = 0 or epoch < full")
-    partial = permuted(taken.where("n_tokens > 0 and epoch = full"), seed).join(blocks, ["source", "block"])
+    taken = permuted(taken, seed)
+    last = (F.col("n_tokens") > 0) & (F.col("epoch") == F.col("full"))
+    out = [F.col("_row"), F.col("n_tokens"), F.col("weight"), F.col("epoch"), F.col("block")]
+    whole = taken.where(~F.coalesce(last, F.lit(False)) | (F.col("block") < F.col("cut_block"))).select(*out)
     order = Window.partitionBy("source").orderBy("_order", "doc_id", "n_tokens", F.xxhash64("_row")).rowsBetween(Window.unboundedPreceding, 0)
-    fits = partial.where("before + size <= rest")
-    last = partial.where("before + size > rest").withColumn("_sum", F.sum("n_tokens").over(order)).where("before + _sum <= rest")
-    out = [F.col("_row"), F.col("n_tokens"), F.col("weight"), F.col("epoch")]
-    every = permuted(whole, seed).select(*out, "block").unionByName(fits.select(*out, "block")).unionByName(last.select(*out, "block"))
+    some = taken.where(last & (F.col("block") == F.col("cut_block"))).withColumn("_sum", F.sum("n_tokens").over(order))
+    every = whole.unionByName(some.where("before + _sum <= rest").select(*out))
     return every.select("_row.*", *[F.col(c).alias(c) for c in ("n_tokens", "weight", "epoch", "block") if c not in names])
 
 

@@ -41,9 +41,9 @@ def test_hot_halves_lose_no_link(spark):
     random.seed(5)
     base = random.getrandbits(64)
     prints = {base}
-    for _ in range(150):  # one half is the same in most of them, so many meet at one key
+    for _ in range(60):  # one half is the same in most of them, so many meet at one key
         p = base
-        for bit in random.sample(range(12), random.randint(0, 6)):
+        for bit in random.sample(range(9), random.randint(0, 5)):
             p ^= 1 << bit
         for bit in random.sample(range(32, 64), random.choice((0, 0, 0, 1))):
             p ^= 1 << bit
@@ -51,9 +51,9 @@ def test_hot_halves_lose_no_link(spark):
     prints |= {random.getrandbits(64) for _ in range(30)}
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
     frame = spark.createDataFrame(signed, "bits long")
-    assert simhash.hot_keys(frame, 4).count() > 0
+    assert simhash.hot_keys(frame, 6).count() > 0
     want = brute.components({s[0]: s[0] & (1 << 64) - 1 for s in signed})
-    for limit in (4, 20, 512):
+    for limit in (6, 512):
         roots = {r["node"]: r["root"] for r in connected(simhash.links(frame, 3, limit)).collect()}
         got = {s[0]: roots.get(s[0], s[0]) for s in signed}
         assert got == want, limit
