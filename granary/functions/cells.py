@@ -23,17 +23,38 @@ def is_text(df: DataFrame, column: str) -> bool:
     return isinstance(data_type(df, column), T.StringType)
 
 
+# What counts as white space around a cell.
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
+def stripped(text: Column) -> Column:
+    """Text without white space at its ends, '' for null."""
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE_SPACE))
+
+
+def plain_number(number: Column) -> Column:
+    """A double's shortest exact text in plain digits: the exponent is written out, a bare ``.0`` dropped."""
+    text = number.cast("string")
+    part = lambda i: F.regexp_extract(text, r"^-?([0-9])\.([0-9]+?)0*E(-?[0-9]+)$", i)
+    frac = F.when(part(2) == "0", "").otherwise(part(2))
+    power = part(3).cast("int")
+    digits = F.concat(part(1), frac)
+    large = F.when(F.length(frac) <= power, F.concat(digits, F.repeat(F.lit("0"), power - F.length(frac)))).otherwise(
+        F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits)))
+    )
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
+    spelled = F.concat(sign, F.when(power >= 0, large).otherwise(small))
+    return F.when(F.contains(text, F.lit("E")), spelled).otherwise(F.regexp_replace(text, r"\.0$", ""))
+
+
 def cell_text(df: DataFrame, column: str) -> Column:
     """Trimmed text of a cell, '' for null."""
     c = F.col(column)
     dtype = data_type(df, column)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        # A double prints as 1.2E7 above ten million; numbers keep plain digits through a decimal.
-        plain = F.regexp_replace(F.regexp_replace(c.cast("decimal(28,6)").cast("string"), "0+$", ""), r"\.$", "")
-        return F.coalesce(plain, F.lit(""))
-    if not isinstance(dtype, T.StringType):
-        c = c.cast("string")
-    return F.trim(F.coalesce(c, F.lit("")))
+        return F.coalesce(plain_number(c), F.lit(""))
+    return stripped(c if isinstance(dtype, T.StringType) else c.cast("string"))
 
 
 def folded_cell(df: DataFrame, column: str) -> Column:
@@ -43,12 +64,12 @@ def folded_cell(df: DataFrame, column: str) -> Column:
 def non_empty(df: DataFrame, column: str) -> Column:
     """Typed columns stay a plain null test, which reaches the Parquet scan."""
     if is_text(df, column):
-        return F.trim(F.coalesce(F.col(column), F.lit(""))) != ""
+        return stripped(F.col(column)) != ""
     return F.col(column).isNotNull()
 
 
 def number_text(text: Column) -> Column:
-    return F.replace(F.nullif(F.trim(text), F.lit("")), F.lit(","), F.lit("."))
+    return F.replace(F.nullif(stripped(text), F.lit("")), F.lit(","), F.lit("."))
 
 
 def strict_number(df: DataFrame, column: str) -> Column:

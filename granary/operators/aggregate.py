@@ -11,10 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from granary.functions import cells
 from granary.operators import filters
 
-TOP_GROUPS = 50
-TOP_VALUES = 24
-MAX_BUCKETS = 120
-
 
 def measure(df: DataFrame, kind: str, column: str | None = None, scale: int | None = None) -> Column:
     """count, sum, avg, min or max of a column that may hold numbers as text, rounded to six places.
@@ -33,6 +29,11 @@ def measure(df: DataFrame, kind: str, column: str | None = None, scale: int | No
     return F.round(total if kind == "sum" else total / F.count(number), 6)
 
 
+def cut(ordered: DataFrame, top: int | None) -> DataFrame:
+    """The first ``top`` rows, or all."""
+    return ordered if top is None else ordered.limit(top)
+
+
 def scalar(df: DataFrame, kind: str, column: str | None = None, scale: int | None = None) -> DataFrame:
     rows = df if column is None else df.filter(cells.non_empty(df, column))
     return rows.agg(measure(df, kind, column, scale).alias("value"))
@@ -44,12 +45,12 @@ def grouped(
     kind: str,
     column: str | None = None,
     scale: int | None = None,
-    top: int = TOP_GROUPS,
+    top: int | None = None,
 ) -> DataFrame:
-    """Groups with the largest value first; the key breaks ties."""
+    """Groups with the largest value first, all of them or the ``top`` first; the key breaks ties."""
     rows = df if column is None else df.filter(cells.non_empty(df, column))
     out = rows.groupBy(F.col(by).alias("group_key")).agg(measure(df, kind, column, scale).alias("value"))
-    return out.orderBy(F.col("value").desc_nulls_last(), F.col("group_key").asc_nulls_last()).limit(top)
+    return cut(out.orderBy(F.col("value").desc_nulls_last(), F.col("group_key").asc_nulls_last()), top)
 
 
 def time_bucket(time: Column, grain: str) -> Column:
@@ -78,29 +79,29 @@ def trend(
     kind: str = "count",
     column: str | None = None,
     scale: int | None = None,
-    max_buckets: int = MAX_BUCKETS,
+    newest: int | None = None,
 ) -> DataFrame:
-    """A measure per time bucket, oldest first; rows without a readable time drop out."""
+    """A measure per time bucket, oldest first, of all buckets or the ``newest``; rows without a readable time drop out."""
     rows = with_bucket(df, time_column, grain)
     if column is not None:
         rows = rows.filter(cells.non_empty(df, column))
     out = rows.groupBy("bucket").agg(measure(df, kind, column, scale).alias("value"))
-    return out.orderBy("bucket").limit(max_buckets)
+    return (out if newest is None else out.orderBy(F.col("bucket").desc()).limit(newest)).orderBy("bucket")
 
 
-def _largest_first(df: DataFrame) -> DataFrame:
-    return df.orderBy(F.col("value").desc(), F.col("bucket").asc()).limit(TOP_VALUES)
+def _largest_first(df: DataFrame, top: int | None) -> DataFrame:
+    return cut(df.orderBy(F.col("value").desc(), F.col("bucket").asc()), top)
 
 
-def month_of_year(df: DataFrame, time_column: str) -> DataFrame:
+def month_of_year(df: DataFrame, time_column: str, top: int | None = None) -> DataFrame:
     time = cells.tolerant_timestamp(df, time_column)
     rows = df.filter(time.isNotNull()).select(F.date_format(time, "MM").alias("bucket"))
-    return _largest_first(rows.groupBy("bucket").agg(F.count("*").alias("value")))
+    return _largest_first(rows.groupBy("bucket").agg(F.count("*").alias("value")), top)
 
 
-def value_distribution(df: DataFrame, column: str) -> DataFrame:
+def value_distribution(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
     rows = df.filter(cells.non_empty(df, column)).select(F.col(column).cast("string").alias("bucket"))
-    return _largest_first(rows.groupBy("bucket").agg(F.count("*").alias("value")))
+    return _largest_first(rows.groupBy("bucket").agg(F.count("*").alias("value")), top)
 
 
 def comparison(

@@ -196,62 +196,50 @@ def coverage_selection(ranked: DataFrame, query: str, file: str, top_k: int) ->
     return chosen.filter(F.col("position") <= top_k).drop("_first", "_files")
 
 
-# How many hits of each kind the staged selection takes.
+# Row groups a sheet gives, and what makes a hit one of a table.
 ROW_GROUPS_PER_SHEET = 2
 TABLE_TYPES = ("file_summary", "sheet_summary", "row_group")
-
-
-def pick_stages(hits: list[dict], top_k: int) -> list[int]:
-    """Indexes of the chosen hits of one ranked list, stage by stage."""
-    if not any(h["chunk_type"] in TABLE_TYPES for h in hits):
-        return list(range(len(hits)))
-    chosen: list[int] = []
-    ranges: set = set()
-    per_sheet: dict = {}
-
-    def take(index: int, sheet_limit: int | None = None) -> None:
-        hit = hits[index]
-        group = hit["chunk_type"] == "row_group"
-        sheet = (hit["file_id"], hit["sheet_name"])
-        span = (*sheet, hit["row_start"], hit["row_end"]) if group and hit["row_start"] is not None else None
-        limit = sheet_limit if sheet_limit is not None else (ROW_GROUPS_PER_SHEET if group else None)
-        if index in chosen or span in ranges or (limit is not None and per_sheet.get(sheet, 0) >= limit):
-            return
-        if limit is not None:
-            per_sheet[sheet] = per_sheet.get(sheet, 0) + 1
-        if span:
-            ranges.add(span)
-        chosen.append(index)
-
-    by_type: dict[str, list[int]] = {}
-    for index, hit in enumerate(hits):
-        by_type.setdefault(hit["chunk_type"] if hit["chunk_type"] in TABLE_TYPES else "other", []).append(index)
-    stages = (
-        (by_type.get("file_summary", [])[: max(2, top_k // 4)], None),
-        (by_type.get("sheet_summary", [])[: max(4, top_k // 2)], 1),
-        (by_type.get("row_group", []), ROW_GROUPS_PER_SHEET),
-        (by_type.get("other", []), None),
-        (list(range(len(hits))), None),
-    )
-    for indexes, limit in stages:
-        for index in indexes:
-            if len(chosen) < top_k:
-                take(index, limit)
-    return chosen
+TABLE_FILES = ("xlsx", "xls", "csv", "tsv")
 
 
 def staged_selection(ranked: DataFrame, query: str, top_k: int) -> DataFrame:
-    """File summaries, sheet summaries, row groups, others, refill; one small cut list per query."""
-    schema = T.StructType([*ranked.schema.fields, T.StructField("position", T.IntegerType())])
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank").reset_index(drop=True)
-        fields = ["file_id", "sheet_name", "chunk_type", "row_start", "row_end"]
-        hits = pdf[fields].astype(object).where(pdf[fields].notna(), None).to_dict("records")
-        picked = pick_stages(hits, top_k)
-        return pdf.iloc[picked].assign(position=range(1, len(picked) + 1))
+    """Selection of a ranked list that holds tables: summaries of files and sheets before row groups, then the rest.
 
-    return ranked.groupBy(query).applyInPandas(choose, schema)
+    Every hit gets a stage by its place among its like: 0 the leading file summaries, 1 the first of the leading sheet
+    summaries of each sheet, 2 row groups (a range once, two places a sheet, one of which its summary takes), 3 other
+    hits, 4 what is left of the summaries; row groups beyond are out.  ``position`` follows stage and rank and ends at
+    ``top_k``.  Lists without tables stay whole and in order.
+    """
+    kind = F.lower(F.coalesce("chunk_type", F.lit("")))
+    of_table = kind.isin(*TABLE_TYPES)
+    if "file_type" in ranked.columns:
+        of_table = of_table | F.lower(F.coalesce("file_type", F.lit(""))).isin(*TABLE_FILES)
+    alike = Window.partitionBy(query, "_kind").orderBy("rank")
+    sheet = [query, F.coalesce(F.col("file_id").cast("string"), F.lit("")), F.coalesce("sheet_name", F.lit(""))]
+    placed = ranked.withColumns({"_kind": kind, "_table": F.max(of_table).over(Window.partitionBy(query))}).withColumn(
+        "_nth", F.row_number().over(alike)
+    )
+    leads = F.when(F.col("_kind") == "file_summary", F.col("_nth") <= max(2, top_k // 4)).otherwise(
+        (F.col("_kind") == "sheet_summary") & (F.col("_nth") <= max(4, top_k // 2))
+    )
+    placed = placed.withColumn("_leads", leads)
+    first_of_sheet = F.row_number().over(Window.partitionBy(*sheet, "_kind", "_leads").orderBy("rank")) == 1
+    heads_sheet = (F.col("_kind") == "sheet_summary") & F.col("_leads") & first_of_sheet
+    ranged = F.col("row_start").isNotNull() & F.col("row_end").isNotNull()
+    repeated = ranged & (F.row_number().over(Window.partitionBy(*sheet, "_kind", "row_start", "row_end").orderBy("rank")) > 1)
+    placed = placed.withColumns({"_heads": heads_sheet, "_again": repeated})
+    taken = F.max(F.col("_heads").cast("int")).over(Window.partitionBy(*sheet))
+    number = F.row_number().over(Window.partitionBy(*sheet, "_kind", "_again").orderBy("rank"))
+    stage = (
+        F.when(F.col("_kind") == "file_summary", F.when(F.col("_leads"), 0).otherwise(4))
+        .when(F.col("_kind") == "sheet_summary", F.when(F.col("_heads"), 1).otherwise(4))
+        .when(F.col("_kind") == "row_group", F.when(~F.col("_again") & (number + taken <= ROW_GROUPS_PER_SHEET), 2))
+        .otherwise(3)
+    )
+    order = Window.partitionBy(query).orderBy("_stage", "rank")
+    chosen = placed.withColumn("_stage", F.when(F.col("_table"), stage).otherwise(3)).where("_stage is not null")
+    chosen = chosen.withColumn("position", F.row_number().over(order))
+    return chosen.where((F.col("position") <= top_k) | ~F.col("_table")).select(*ranked.columns, "position")
 
 
 def merge_context(hits: DataFrame, query: str, arrival: str, score: str, max_docs: int = 64) -> DataFrame:

@@ -22,14 +22,25 @@ def catalog_of(t: Tables):
 
 @query(
     "A01_csv_tsv_source",
-    """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
-              CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer""",
+    """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey,
+              CASE WHEN c_custkey % 10 = 2 THEN c_name || chr(10) || 'Клиент' ELSE c_name END AS c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
+              CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS c_acctbal, CASE WHEN c_custkey % 10 = 0 THEN '' ELSE c_mktsegment END AS c_mktsegment,
+              (SELECT count(*) FROM customer WHERE c_custkey % 10 = 1) AS skipped
+       FROM customer WHERE c_custkey % 10 <> 1""",
 )
 def _(t):
+    """Rows with a field too few, one too many or a line break in quotes, in windows-1251."""
     path = shared_folder(t.spark, "customer-csv")
-    typed = t.customer.withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
-    typed.write.option("sep", ";").option("header", True).csv(path)
-    return files.read_delimited(t.spark, path)
+    kind = F.col("c_custkey") % 10
+    name = F.when(kind == 2, F.concat(F.lit('"'), "c_name", F.lit("\nКлиент"), F.lit('"'))).otherwise(F.col("c_name"))
+    fields = [F.col("c_custkey").cast("string"), name, F.col("c_nationkey").cast("string"), F.col("c_acctbal").cast("decimal(18,2)").cast("string")]
+    end = F.when(kind == 0, "").when(kind == 1, F.concat(F.lit(";"), "c_mktsegment", F.lit(";more"))).otherwise(F.concat(F.lit(";"), "c_mktsegment"))
+    head = t.spark.range(1).select(F.lit("c_custkey;c_name;c_nationkey;c_acctbal;c_mktsegment").alias("value"))
+    lines = head.unionByName(t.customer.select(F.concat(F.concat_ws(";", *fields), end).alias("value"))).coalesce(1)
+    t.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    lines.select(F.encode("value", "windows-1251").cast("string").alias("value")).write.text(path)
+    read = files.open_delimited(t.spark, path)
+    return read.table.crossJoin(F.broadcast(read.skipped))  # one row
 
 
 @query(

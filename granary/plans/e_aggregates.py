@@ -20,7 +20,7 @@ def _(t):
 @query(
     "E02_grouped_count",
     """SELECT o_orderpriority AS group_key, count(*) AS value FROM orders GROUP BY 1
-       ORDER BY value DESC, group_key LIMIT 50""",
+       ORDER BY value DESC, group_key""",
 )
 def _(t):
     return aggregate.grouped(t.orders, "o_orderpriority", "count")
@@ -57,7 +57,7 @@ def _(t):
 @query(
     "E07_grouped_measure",
     """SELECT l_returnflag AS group_key, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE), 6) AS value
-       FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY 1 ORDER BY value DESC, group_key LIMIT 50""",
+       FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY 1 ORDER BY value DESC, group_key""",
 )
 def _(t):
     return aggregate.grouped(t.lineitem, "l_returnflag", "sum", "l_extendedprice", scale=2)
@@ -67,7 +67,7 @@ def _(t):
     "E07_grouped_measure_avg",
     """SELECT l_suppkey AS group_key,
               round(CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(l_quantity), 6) AS value
-       FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY 1 ORDER BY value DESC, group_key LIMIT 50""",
+       FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY 1 ORDER BY value DESC, group_key""",
 )
 def _(t):
     return aggregate.grouped(t.lineitem, "l_suppkey", "avg", "l_quantity", scale=2)
@@ -130,7 +130,7 @@ for _name, _item in BUCKETS.items():
     "E14_trend",
     """SELECT strftime(o_orderdate, '%Y-%m') AS bucket,
               round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 6) AS value
-       FROM orders WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 120""",
+       FROM orders WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL GROUP BY 1 ORDER BY 1""",
 )
 def _(t):
     return aggregate.trend(t.orders, "o_orderdate", "month", "sum", "o_totalprice", scale=2)
@@ -139,7 +139,7 @@ def _(t):
 @query(
     "E15_month_of_year_distribution",
     """SELECT strftime(l_shipdate, '%m') AS bucket, count(*) AS value FROM lineitem WHERE l_shipdate IS NOT NULL
-       GROUP BY 1 ORDER BY value DESC, bucket LIMIT 24""",
+       GROUP BY 1 ORDER BY value DESC, bucket""",
 )
 def _(t):
     return aggregate.month_of_year(t.lineitem, "l_shipdate")
@@ -148,7 +148,7 @@ def _(t):
 @query(
     "E16_value_distribution",
     """SELECT p_brand AS bucket, count(*) AS value FROM part WHERE trim(coalesce(p_brand, '')) <> ''
-       GROUP BY 1 ORDER BY value DESC, bucket LIMIT 24""",
+       GROUP BY 1 ORDER BY value DESC, bucket""",
 )
 def _(t):
     return aggregate.value_distribution(t.part, "p_brand")

@@ -319,7 +319,7 @@ def _(t):
 
 @query(
     "E41_contrast",
-    ranked_sql("b AS (SELECT p_brand AS bucket, CAST(count(*) AS DOUBLE) AS value FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 24)")
+    ranked_sql("b AS (SELECT p_brand AS bucket, CAST(count(*) AS DOUBLE) AS value FROM part GROUP BY 1)")
     + f""", {SHAPE_SQL} SELECT a.bucket AS leader, s.bucket AS runner_up,
         round((a.value / a.total - s.value / s.total) * 100, 4) AS gap_points, shape,
         CASE WHEN shape IN ('concentrated', 'long_tail') AND (a.value / a.total - s.value / s.total) * 100 >= 10 THEN 'leader_ahead'

@@ -219,7 +219,26 @@ def _(t):
     return chosen.select("item_id", "doc_id", "file_id", "rank", "position")
 
 
-@query("G12_staged_selection")
+STAGED_SQL = """kinds AS (SELECT *, CASE lang WHEN 'de' THEN 'file_summary' WHEN 'fr' THEN 'sheet_summary' WHEN 'en' THEN 'row_group' ELSE 'chunk' END AS chunk_type
+    FROM (SELECT *, sheet_name AS lang FROM hits)),
+  types AS (SELECT *, row_number() OVER (PARTITION BY item_id, chunk_type ORDER BY rank) AS nth,
+    bool_or(chunk_type <> 'chunk') OVER (PARTITION BY item_id) AS has_table FROM kinds),
+  sheets AS (SELECT *, chunk_type = 'sheet_summary' AND rank = min(CASE WHEN chunk_type = 'sheet_summary' AND nth <= 4 THEN rank END)
+    OVER (PARTITION BY item_id, file_id, sheet_name) AS heads FROM types),
+  groups AS (SELECT *, count(*) FILTER (WHERE heads) OVER (PARTITION BY item_id, file_id, sheet_name) AS headed,
+    count(*) FILTER (WHERE chunk_type = 'row_group') OVER (PARTITION BY item_id, file_id, sheet_name ORDER BY rank) AS place FROM sheets),
+  staged AS (SELECT *, CASE WHEN NOT has_table OR chunk_type = 'chunk' THEN 3
+    WHEN chunk_type = 'file_summary' THEN CASE WHEN nth <= 2 THEN 0 ELSE 4 END
+    WHEN chunk_type = 'sheet_summary' THEN CASE WHEN heads THEN 1 ELSE 4 END
+    WHEN place + headed <= 2 THEN 2 END AS stage FROM groups),
+  chosen AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY stage, rank) AS position FROM staged WHERE stage IS NOT NULL)"""
+
+
+@query(
+    "G12_staged_selection",
+    f"""WITH {HITS_SQL}, {STAGED_SQL} SELECT item_id, doc_id, chunk_type, rank, position FROM chosen
+        WHERE position <= 8 OR NOT has_table""",
+)
 def _(t):
     return rank.staged_selection(hits_of(t), "item_id", 8).select("item_id", "doc_id", "chunk_type", "rank", "position")
 

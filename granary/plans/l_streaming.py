@@ -12,8 +12,12 @@ from granary.session import shared_folder
 from granary.streaming import live, sinks
 
 
+#: Bounds what one micro-batch of a backlog holds.
+FILES_PER_TRIGGER = 256
+
+
 def stream_of(t: Tables, table: str) -> DataFrame:
-    return sinks.file_stream(t.spark, t.folder, getattr(t, table).schema, f"{table}.parquet")
+    return sinks.file_stream(t.spark, t.folder, getattr(t, table).schema, f"{table}.parquet", FILES_PER_TRIGGER)
 
 
 def events_stream(t: Tables) -> DataFrame:
@@ -61,17 +65,6 @@ def _(t):
     return run_latest(t, stream, ["bucket", "provider"]).withColumn("bucket", text("bucket"))
 
 
-@query("L03_stream_breaker_state")
-def _(t):
-    # One provider per user; a day of the log passes for a minute of traffic.
-    requests = stream_of(t, "events").select(
-        F.col("user_id").cast("string").alias("provider"),
-        (live.seconds(F.col("ts")) / 1440).alias("at"),
-        (F.col("event_type") != "error").alias("ok"),
-    )
-    return run_latest(t, live.breaker_state(requests), ["provider"])
-
-
 @query(
     "L04_stream_job_dedup",
     "SELECT 'ingestion:' || event_id || ':' || substr(sha256(event_id || '|' || event_type), 1, 24) AS idempotency_key FROM events",

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from granary.plans.registry import Tables
 
-# SQL text of a double the way granary.functions.cells writes it.
+# SQL text of a double: its shortest exact form, of whole numbers without the fraction.
 def sql_plain(column: str) -> str:
-    return rf"regexp_replace(regexp_replace(CAST(CAST({column} AS DECIMAL(28,6)) AS VARCHAR), '0+$', ''), '\.$', '')"
+    return rf"regexp_replace(CAST({column} AS VARCHAR), '\.0$', '')"
 
 
 def text_orders(t: Tables) -> DataFrame:

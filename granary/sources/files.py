@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -11,11 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from granary.operators import catalog, normalize
 
 # What a delimited file may look like.
-ENCODINGS = ("utf-8", "utf-8-sig", "cp1251", "latin-1")
 DELIMITERS = (",", ";", "\t", "|")
 SNIFF_BYTES = 64 * 1024
 SNIFF_LINES = 2_000
-SPARK_CHARSETS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "cp1251": "windows-1251", "latin-1": "ISO-8859-1"}
+SPARK_CHARSETS = {"utf-8": "UTF-8", "cp1251": "windows-1251", "latin-1": "ISO-8859-1"}
 
 
 @dataclass(frozen=True)
@@ -25,18 +24,8 @@ class Dialect:
     header: bool
 
 
-def decode_first(raw: bytes, encodings: Sequence[str] = ENCODINGS) -> tuple[str, str]:
-    for encoding in encodings:
-        try:
-            return encoding, raw.decode(encoding)
-        except UnicodeDecodeError:
-            continue
-    return "latin-1", raw.decode("latin-1")
-
-
-def guess_dialect(raw: bytes) -> Dialect:
-    """Encoding, delimiter and header of a sample, with the standard sniffer and a count of signs as fallback."""
-    encoding, text = decode_first(raw)
+def guess_format(text: str) -> tuple[str, bool]:
+    """Delimiter and header of a sample, with the standard sniffer and a count of signs as fallback."""
     lines = [line for line in text.splitlines() if line.strip()]
     delimiter, header = ",", True
     if lines:
@@ -49,50 +38,78 @@ def guess_dialect(raw: bytes) -> Dialect:
             header = csv.Sniffer().has_header(text)
         except csv.Error:
             header = True
-    return Dialect(encoding, delimiter, header)
+    return delimiter, header
 
 
-def sample_bytes(spark: SparkSession, path: str) -> bytes:
-    """The first lines of a file, at most 64 KiB, byte for byte (latin-1 maps bytes to characters)."""
-    lines = (
-        spark.read.schema("line string")
-        .option("encoding", "ISO-8859-1")
-        .option("sep", "\u0001")
-        .option("quote", "")
-        .option("escape", "")
-        .csv(path)
-        .head(SNIFF_LINES)
-    )
-    out, size = [], 0
-    for row in lines:
-        raw = (row[0] or "").encode("latin-1") + b"\n"
-        if size + len(raw) > SNIFF_BYTES and out:
-            break
-        out.append(raw)
-        size += len(raw)
-    return b"".join(out)
+def whole_file_facts(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """Encoding and whether a quote is open at a line's end, from all bytes of the files in one aggregate."""
+    line = F.col("value")
+    raw = line.cast("binary")
+    facts = spark.read.text(path).agg(
+        F.coalesce(F.bool_and(F.is_valid_utf8(line)), F.lit(True)).alias("utf8"),
+        # the one byte windows-1251 has no character for
+        F.coalesce(F.bool_or(F.contains(raw, F.lit(b"\x98"))), F.lit(False)).alias("latin"),
+        F.coalesce(F.bool_or((F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1), F.lit(False)).alias("open"),
+    ).first()
+    encoding = "utf-8" if facts["utf8"] else "latin-1" if facts["latin"] else "cp1251"
+    return encoding, facts["open"]
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """A delimited file as a table of trimmed text; bad lines are skipped, headerless columns are numbered."""
-    dialect = guess_dialect(sample_bytes(spark, path))
-    charset = SPARK_CHARSETS[dialect.encoding]
+def sample_text(spark: SparkSession, path: str, encoding: str) -> str:
+    """The first lines of a file, for guesses about its format only."""
+    lines = spark.read.text(path).select(F.col("value").cast("binary")).head(SNIFF_LINES)
+    raw = b"\n".join(bytes(row[0]) for row in lines)[:SNIFF_BYTES]
+    return raw.decode(encoding, errors="ignore").lstrip("\ufeff")
+
+
+@dataclass(frozen=True)
+class Delimited:
+    """A table read from delimited files, and one row (``skipped``) that counts the rows it leaves out."""
+
+    table: DataFrame
+    skipped: DataFrame
+    dialect: Dialect
+
+
+def open_delimited(spark: SparkSession, path: str, delimiter: str | None = None) -> Delimited:
+    """Delimited files as a table of stripped text.
+
+    Short rows are filled with '', rows with more fields than the header (or the first row) are skipped and counted;
+    one empty field more is a delimiter at the end and no fault.  Line breaks inside quotes stay: files that have any are read whole, one task per file, others are split.
+    Headerless columns are numbered.
+    """
+    encoding, open_quotes = whole_file_facts(spark, path)
+    found, header = guess_format(sample_text(spark, path, encoding))
+    dialect = Dialect(encoding, delimiter or found, header)
+    charset = SPARK_CHARSETS[encoding]
     if charset == "windows-1251":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    raw = (
-        spark.read.option("sep", delimiter or dialect.delimiter)
-        .option("header", dialect.header)
+    reader = (
+        spark.read.option("sep", dialect.delimiter)
+        .option("header", header)
         .option("encoding", charset)
-        .option("inferSchema", False)
-        .option("mode", "DROPMALFORMED")
         .option("escape", '"')
+        .option("multiLine", open_quotes)
+    )
+    first = reader.option("inferSchema", False).csv(path).columns
+    names = [(c.lstrip("\ufeff").strip() if header else "") or f"col_{i}" for i, c in enumerate(first, start=1)]
+    # one field more than there should be, so that a row with too many shows; what a short row lacks is null
+    fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(len(names) + 1)]
+    raw = (
+        reader.schema(T.StructType(fields))
+        .option("mode", "PERMISSIVE")
+        .option("nullValue", "\u0001")
+        .option("emptyValue", "")
         .option("columnPruning", False)
         .csv(path)
     )
-    names = [
-        (c.lstrip("﻿").strip() if dialect.header else "") or f"col_{i}" for i, c in enumerate(raw.columns, start=1)
-    ]
-    return normalize.normalize_cells(raw.toDF(*names))
+    extra = F.col(fields[-1].name)
+    kept = raw.where(extra.isNull()).drop(fields[-1].name).toDF(*names)
+    return Delimited(normalize.normalize_cells(kept), raw.agg(F.count(extra).alias("skipped")), dialect)
+
+
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
+    return open_delimited(spark, path, delimiter).table
 
 
 @dataclass(frozen=True)

@@ -1,19 +1,16 @@
-"""Operational facts kept live: metrics, failure ratios, breaker states, file states, leases, ingestion."""
+"""Operational facts kept live: metrics, failure ratios, file states, leases, ingestion."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from granary.operators import chunk, operations
 from granary.streaming.sinks import write_batch
 
-# Failure window and breaker limits.
-WINDOW_SECONDS, MIN_REQUESTS, FAILURE_RATIO, OPEN_SECONDS, PROBES = 60, 4, 0.5, 30, 1
+# Failure window and the limits at which a breaker would open.
+WINDOW_SECONDS, MIN_REQUESTS, FAILURE_RATIO = 60, 4, 0.5
 
 
 def metric_rollup(points: DataFrame, delay: str = "10 minutes", width: str = "1 minute", scale: int = 2) -> DataFrame:
@@ -49,73 +46,6 @@ def failure_ratio(
     )
 
 
-@dataclass
-class Breaker:
-    """State of one provider: closed, open, or half open with a limited number of probes."""
-
-    state: str = "closed"
-    opened_at: float = 0.0
-    probes: int = 0
-    times: tuple[float, ...] = ()
-    oks: tuple[bool, ...] = ()
-
-    def see(self, now: float, ok: bool) -> bool:
-        """Take one request; returns whether it was let through."""
-        if self.state == "open" and now - self.opened_at >= OPEN_SECONDS:
-            self.state, self.probes = "half_open", 0
-        if self.state == "open" or (self.state == "half_open" and self.probes >= PROBES):
-            return False
-        if self.state == "half_open":
-            if ok:
-                self.state, self.opened_at, self.probes, self.times, self.oks = "closed", 0.0, 0, (), ()
-            else:
-                self.state, self.opened_at = "open", now
-            return True
-        recent = [(t, o) for t, o in zip((*self.times, now), (*self.oks, ok)) if now - t <= WINDOW_SECONDS]
-        self.times, self.oks = tuple(t for t, _ in recent), tuple(o for _, o in recent)
-        failures = sum(not o for o in self.oks)
-        if not ok and len(recent) >= MIN_REQUESTS and failures / len(recent) >= FAILURE_RATIO:
-            self.state, self.opened_at = "open", now
-        return True
-
-
-BREAKER_STATE = "state string, opened_at double, probes int, times array<double>, oks array<boolean>"
-BREAKER_OUTPUT = "provider string, at double, state string, requests long, rejected long"
-
-
-def breaker_state(requests: DataFrame) -> DataFrame:
-    """Breaker state per provider after each micro-batch; input: provider, at (seconds), ok.
-
-    Requests of one provider are replayed in time order inside a micro-batch, whose size the source
-    limits (``maxFilesPerTrigger``).  The state holds one window of requests.
-    """
-
-    def replay(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            name, opened, probes, times, oks = state.get
-            breaker = Breaker(name, opened, probes, tuple(times), tuple(oks))
-        else:
-            breaker = Breaker()
-        rows = pd.concat(list(frames)).sort_values("at")
-        rejected = sum(not breaker.see(float(at), bool(ok)) for at, ok in zip(rows["at"], rows["ok"]))
-        state.update((breaker.state, breaker.opened_at, breaker.probes, list(breaker.times), list(breaker.oks)))
-        yield pd.DataFrame(
-            {
-                "provider": [key[0]],
-                "at": [float(rows["at"].iloc[-1])],
-                "state": [breaker.state],
-                "requests": [len(rows)],
-                "rejected": [rejected],
-            }
-        )
-
-    return (
-        requests.select("provider", "at", "ok")
-        .groupBy("provider")
-        .applyInPandasWithState(replay, BREAKER_OUTPUT, BREAKER_STATE, "update", GroupStateTimeout.NoTimeout)
-    )
-
-
 def job_dedup(jobs: DataFrame, key: str = "idempotency_key", delay: str = "1 hour") -> DataFrame:
     """Each idempotency key once within the watermark; input: ts and the key."""
     return jobs.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])

@@ -38,11 +38,9 @@ def start(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def finish(query: StreamingQuery, seconds: int = 600) -> None:
-    """Wait for an available-now query and raise its error if it failed."""
-    if not query.awaitTermination(seconds):
-        query.stop()
-        raise TimeoutError("stream did not finish in time")
+def finish(query: StreamingQuery) -> None:
+    """Wait for an available-now query, however long its input takes, and raise its error if it failed."""
+    query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
 

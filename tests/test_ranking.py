@@ -1,33 +1,43 @@
-"""Ranked selections, scores and breaker states on literal cases."""
+"""Ranked selections and scores on literal cases."""
 
 import math
 from collections import Counter
 
 from granary.operators import rank, vectors
-from granary.streaming.live import Breaker
 
 
-def hit(kind, sheet="s", start=None, end=None):
-    return {"file_id": "f", "sheet_name": sheet, "chunk_type": kind, "row_start": start, "row_end": end}
+def hit(kind, sheet="s", start=None, end=None, file="f", file_type=None):
+    return (file, sheet, kind, start, end, file_type)
 
 
-def test_summaries_come_before_row_groups():
+def chosen(spark, hits, top_k):
+    schema = "q int, rank int, file_id string, sheet_name string, chunk_type string, row_start int, row_end int, file_type string"
+    frame = spark.createDataFrame([(1, i, *h) for i, h in enumerate(hits)], schema)
+    return [r["rank"] for r in rank.staged_selection(frame, "q", top_k).orderBy("position").collect()]
+
+
+def test_summaries_come_before_row_groups(spark):
     hits = [hit("row_group", start=1, end=5), hit("row_group", start=6, end=9), hit("row_group", start=10, end=12)]
     hits += [hit("sheet_summary"), hit("file_summary")]
-    chosen = rank.pick_stages(hits, 3)
-    assert {hits[i]["chunk_type"] for i in chosen[:2]} == {"file_summary", "sheet_summary"}
+    assert chosen(spark, hits, 3) == [4, 3, 0]
 
 
-def test_at_most_two_row_groups_of_a_sheet():
+def test_at_most_two_row_groups_of_a_sheet(spark):
     hits = [hit("file_summary"), hit("sheet_summary")] + [hit("row_group", start=i, end=i + 1) for i in range(0, 8, 2)]
-    chosen = rank.pick_stages(hits, 5)
-    assert sum(hits[i]["chunk_type"] == "row_group" for i in chosen) <= 2
-    assert chosen[:2] == [0, 1]
+    assert chosen(spark, hits, 5) == [0, 1, 2]
+    assert chosen(spark, hits[2:], 5) == [0, 1]
+
+
+def test_ranges_once_and_leftover_summaries_last(spark):
+    hits = [hit("row_group", start=1, end=2), hit("row_group", start=1, end=2), hit("row_group", "t", 1, 2), hit("chunk", None)]
+    hits += [hit("file_summary", None, file=f"f{i}") for i in range(4)] + [hit("sheet_summary", "t"), hit("sheet_summary", "t")]
+    assert chosen(spark, hits, 9) == [4, 5, 8, 0, 2, 3, 6, 7, 9]
 
 
-def test_lists_without_tables_stay_as_they_are():
+def test_lists_without_tables_stay_as_they_are(spark):
     hits = [hit("chunk"), hit("chunk")]
-    assert rank.pick_stages(hits, 1) == [0, 1]
+    assert chosen(spark, hits, 1) == [0, 1]
+    assert chosen(spark, [hit("chunk", file_type="csv"), hit("chunk")], 1) == [0]
 
 
 def test_lexical_scores_equal_the_formula(spark):
@@ -61,21 +71,3 @@ def test_coverage_selection_takes_every_file_once_first(spark):
     ranked = spark.createDataFrame(rows, "q long, rank int, f string")
     got = rank.coverage_selection(ranked, "q", "f", 4).orderBy("position").collect()
     assert [(r["rank"], r["f"]) for r in got] == [(1, "a"), (4, "b"), (5, "c"), (2, "a")]
-
-
-def test_breaker_opens_probes_and_closes():
-    breaker = Breaker()
-    for at in range(4):
-        assert breaker.see(float(at), at % 2 == 0)
-    assert breaker.state == "open"
-    assert not breaker.see(10.0, True)
-    assert breaker.see(40.0, False) and breaker.state == "open"
-    assert breaker.see(80.0, True) and breaker.state == "closed"
-
-
-def test_old_failures_leave_the_window():
-    breaker = Breaker()
-    for at in (0.0, 1.0, 2.0):
-        breaker.see(at, False)
-    breaker.see(100.0, False)
-    assert breaker.state == "closed"

@@ -21,6 +21,31 @@ def test_cp1251_semicolon_file(spark, tmp_path):
     assert sorted(r["сумма"] for r in df.collect()) == ["100", "200"]
 
 
+def test_ragged_rows_and_quoted_line_breaks(spark, tmp_path):
+    data = 'id,name,note\n1,a\n2,"two\nlines",x\n3,b,y,extra\n4,c,\n5,d,z,\n6,\t e ,"q""q"\n'
+    got = files.open_delimited(spark, folder(spark, tmp_path, "r.csv", data.encode()))
+    rows = sorted(map(tuple, got.table.collect()))
+    assert rows == [("1", "a", ""), ("2", "two\nlines", "x"), ("4", "c", ""), ("5", "d", "z"), ("6", "e", 'q"q')]
+    assert got.skipped.first()[0] == 1
+
+
+def test_encoding_is_judged_by_the_whole_file(spark, tmp_path):
+    head = "id,name\n" + "".join(f"{i},plain{i}\n" for i in range(20_000))
+    for tail, charset in (("Анна", "cp1251"), ("Анна", "utf-8"), ("caf\u00e9 \u0098", "latin-1")):
+        data = (head + f"99999,{tail}\n").encode(charset)
+        got = files.open_delimited(spark, folder(spark, tmp_path, f"{charset}.csv", data))
+        assert got.dialect.encoding == charset
+        assert got.table.where("id = '99999'").first()["name"] == tail.strip()
+
+
+def test_doubles_keep_their_digits(spark):
+    values = [1e-7, 2e-7, 1.0, 100.25, -1.5e-5, 12345678.9, 1e23, 1.5e300, float("nan"), 9007199254740993.0, -3e10, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "k int, v double")
+    got = [r["v"] for r in normalize.normalize_cells(df).orderBy(df["k"]).collect()]
+    assert got[0] == "0.0000001" and got[1] == "0.0000002" and got[2] == "1" and len(got[6]) in (23, 24) and got[8] == "NaN" and got[11] == ""
+    assert all(float(t) == v and "E" not in t and not t.endswith(".0") for t, v in zip(got, values) if v is not None and v == v)
+
+
 def test_headerless_pipe_file(spark, tmp_path):
     df = files.read_delimited(spark, folder(spark, tmp_path, "b.csv", b"1|2|3\n4|5|6\n"))
     assert df.columns == ["col_1", "col_2", "col_3"] and df.count() == 2
