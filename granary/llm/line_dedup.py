@@ -93,15 +93,19 @@ def remove_repeated(docs: DataFrame, min_words: int = MIN_WORDS, one_in: int = B
     place = F.struct(*KEY, "start", "n")
     repeated = found.groupBy("chunk").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1")
     repeated = settle(repeated)
-    later = found.join(repeated, "chunk").where(place != F.col("first")).select("chunk", *KEY, "start", "n")
 
     texts = keyed(docs).select(*KEY, "text")
     firsts = repeated.select("chunk", "first.*").groupBy(*KEY).agg(F.collect_list(F.struct("chunk", "start", "n")).alias("at"))
-    told = with_lines(f"transform(at, c -> struct(c.chunk as chunk, {chunk_text('c')} as passage))")
+    told = with_lines(f"transform(at, c -> struct(c.chunk as chunk, c.start as first_start, {chunk_text('c')} as passage))")
     # repeated rows tell the same passage twice
-    passages = texts.dropDuplicates(list(KEY)).join(firsts, list(KEY)).select(F.explode(told).alias("p")).select("p.*")
+    passages = texts.dropDuplicates(list(KEY)).join(firsts, list(KEY)).select(
+        F.col("_id").alias("first_id"), F.col("_hash").alias("first_hash"), F.explode(told).alias("p")
+    )
+    passages = passages.select("first_id", "first_hash", "p.*")
+    itself = (F.col("_id") == F.col("first_id")) & (F.col("_hash") == F.col("first_hash")) & (F.col("start") == F.col("first_start"))
+    later = found.join(passages, "chunk").where(~itself)
 
-    marks = later.join(passages, "chunk").groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "n", "passage"))).alias("at"))
+    marks = later.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "n", "passage"))).alias("at"))
     rows = keyed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")).select("_row", "text", *KEY)
     same = "filter(coalesce(at, array()), c -> " + chunk_text("c") + " = c.passage)"
     edited = rows.join(marks, list(KEY), "left").select(
