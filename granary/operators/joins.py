@@ -11,8 +11,6 @@ from granary.functions.similarity import similarity_ratio
 from granary.operators.ordering import salted_join, with_position
 from granary.session import spread
 
-CHILDREN_PER_PAGE = 500
-
 
 def children_per_parent(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, name: str) -> DataFrame:
     """Parents with the number of their children; children are counted before they are joined."""
@@ -36,9 +34,9 @@ def without_match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def child_pages(
-    children: DataFrame, key: Sequence[str], order: Sequence[str], fields: Sequence[str], page_size: int = CHILDREN_PER_PAGE
+    children: DataFrame, key: Sequence[str], order: Sequence[str], fields: Sequence[str], page_size: int
 ) -> DataFrame:
-    """Children as ordered nested lists, cut into pages so that no parent becomes one huge cell."""
+    """Children as ordered nested lists, in pages of ``page_size``, so that no parent becomes one huge cell."""
     placed = with_position(children, key, order, "_position")
     item = F.struct("_position", *fields)
     pages = placed.groupBy(*key, F.floor((F.col("_position") - 1) / page_size).cast("long").alias("page")).agg(
@@ -48,7 +46,7 @@ def child_pages(
     return pages.select(*key, "page", plain.alias("items"))
 
 
-def grouped_ids(parents: DataFrame, children: DataFrame, key: str, value: str, page_size: int = CHILDREN_PER_PAGE) -> DataFrame:
+def grouped_ids(parents: DataFrame, children: DataFrame, key: str, value: str, page_size: int) -> DataFrame:
     """Ids of the children per parent, page by page; a parent without children has one empty page."""
     pages = child_pages(children, [key], [value], [value], page_size)
     lists = pages.select(key, "page", F.transform("items", lambda s: s[value]).alias("ids"))

@@ -5,20 +5,17 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from granary.functions import cells
+from granary.session import settle
 
-# Metadata limits.
-KIND_SCAN_VALUES = 200
-CARDINALITY_SCAN_VALUES = 256
+# What a column's description shows.
 MAX_ALIASES = 6
 ALIAS_CHARS = 96
 MAX_SAMPLES = 5
 SAMPLE_CHARS = 80
-OBSERVED_CHARS = 320
 
 # Kind of a column and the dtype written to the catalog.
 KIND_DTYPES = {
@@ -81,8 +78,8 @@ def column_list(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return df.sparkSession.range(1).select(F.inline(F.array(*entries)))
 
 
-def long_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Non-empty cells as (ordinal, column_name, value) rows."""
+def long_cells(df: DataFrame, columns: Sequence[str], key: str | None = None) -> DataFrame:
+    """Non-empty cells as (ordinal, column_name, value) rows, with the row's key as ``_key`` if one is named."""
     entries = [
         F.struct(
             F.lit(i).alias("ordinal"),
@@ -91,52 +88,54 @@ def long_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         )
         for i, c in enumerate(columns, start=1)
     ]
-    return df.select(F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
+    keys = [] if key is None else [F.col(key).alias("_key")]
+    return df.select(*keys, F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
 
 
 def first_values(df: DataFrame, columns: Sequence[str], key: str, n: int) -> DataFrame:
     """The first n non-empty values of each column in key order, numbered.
 
-    One bounded top-n per column: each reads the key and one column and keeps n rows per task.
+    One scan for all columns; Spark cuts every map task to n values per column before the shuffle.
     """
-    parts = [
-        df.filter(cells.non_empty(df, c))
-        .select(
-            F.lit(i).alias("ordinal"),
-            F.lit(c).alias("column_name"),
-            F.col(key).alias("_key"),
-            cells.cell_text(df, c).alias("value"),
-        )
-        .orderBy(F.col("_key").asc_nulls_last())
-        .limit(n)
-        for i, c in enumerate(columns, start=1)
-    ]
-    joined = reduce(DataFrame.unionByName, parts)
-    window = Window.partitionBy("column_name").orderBy("_key")
-    return joined.withColumn("position", F.row_number().over(window)).drop("_key")
+    numbered = long_cells(df, columns, key).withColumn(
+        "position", F.row_number().over(Window.partitionBy("column_name").orderBy(F.col("_key").asc_nulls_last()))
+    )
+    return numbered.filter(F.col("position") <= n).drop("_key")
+
+
+def cell_counts(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+    """``(column_name, value, n, first)``: each value of each column, its rows and the smallest key it stands at.
 
+    One scan, counted before the shuffle; what follows reads only the distinct values.
+    """
+    return (
+        long_cells(df, columns, key)
+        .groupBy("column_name", "value")
+        .agg(F.count("*").alias("n"), F.min("_key").alias("first"))
+    )
 
-def _kind(values: DataFrame) -> Column:
-    """Aggregate: kind of a column from its sampled values."""
-    value = F.col("value")
+
+def _kind() -> Column:
+    """Aggregate: kind of a column from the counts of its values."""
+    value, rows = F.col("value"), F.col("n")
     is_bool = F.lower(value).isin(*cells.BOOLEAN_WORDS)
     is_int = ~is_bool & value.rlike(cells.INTEGER_PATTERN)
     is_float = ~is_bool & ~is_int & value.rlike(cells.NUMBER_PATTERN)
     is_time = ~is_bool & ~is_int & ~is_float & value.rlike("[-/:]")
-    total = F.count("*")
+    share = lambda test: F.sum(F.when(test, rows).otherwise(0)) / F.sum(rows)
     return (
-        F.when(F.count_if(is_bool) / total >= 0.8, "boolean")
-        .when(F.count_if(is_int) / total >= 0.8, "integer")
-        .when((F.count_if(is_int) + F.count_if(is_float)) / total >= 0.8, "number")
-        .when(F.count_if(is_time) / total >= 0.6, "datetime_like")
+        F.when(share(is_bool) >= 0.8, "boolean")
+        .when(share(is_int) >= 0.8, "integer")
+        .when(share(is_int | is_float) >= 0.8, "number")
+        .when(share(is_time) >= 0.6, "datetime_like")
         .otherwise("text")
     )
 
 
 def column_kinds(df: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Kind of each column, judged by all its values."""
     columns = list(columns or df.columns)
-    values = first_values(df, columns, key, KIND_SCAN_VALUES)
-    kinds = values.groupBy("column_name").agg(_kind(values).alias("kind"))
+    kinds = cell_counts(df, columns, key).groupBy("column_name").agg(_kind().alias("kind"))
     return (
         column_list(df, columns)
         .join(F.broadcast(kinds), "column_name", "left")
@@ -161,10 +160,8 @@ def cardinality(unique: Column, total: Column) -> Column:
 
 def cardinality_hints(df: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
     columns = list(columns or df.columns)
-    values = first_values(df, columns, key, CARDINALITY_SCAN_VALUES)
-    counts = values.groupBy("column_name").agg(
-        F.countDistinct(folded_value(F.col("value"))).alias("unique_count"), F.count("*").alias("value_count")
-    )
+    folded = cell_counts(df, columns, key).groupBy("column_name", folded_value(F.col("value"))).agg(F.sum("n").alias("n"))
+    counts = folded.groupBy("column_name").agg(F.count("*").alias("unique_count"), F.sum("n").alias("value_count"))
     zero = F.lit(0)
     return (
         column_list(df, columns)
@@ -197,22 +194,15 @@ def column_metadata(
     """Names, aliases, dtype, cardinality hint and the first distinct sample values of each column."""
     columns = list(columns or df.columns)
     raw = {c: (aliases or {}).get(c, c) for c in columns}
-    values = first_values(df, columns, key, CARDINALITY_SCAN_VALUES).withColumn(
-        "value", F.rtrim(F.substring(F.trim(F.regexp_replace("value", r"\s+", " ")), 1, OBSERVED_CHARS))
-    )
-    profile = values.groupBy("column_name").agg(
-        F.countDistinct(F.lower("value")).alias("unique_count"), F.count("*").alias("value_count")
-    )
-    kinds = (
-        values.filter(F.col("position") <= KIND_SCAN_VALUES)
-        .groupBy("column_name")
-        .agg(_kind(values).alias("kind"))
-    )
+    values = settle(cell_counts(df, columns, key).withColumn("value", F.trim(F.regexp_replace("value", r"\s+", " "))))
+    folded = values.groupBy("column_name", F.lower("value")).agg(F.sum("n").alias("n"))
+    profile = folded.groupBy("column_name").agg(F.count("*").alias("unique_count"), F.sum("n").alias("value_count"))
+    kinds = values.groupBy("column_name").agg(_kind().alias("kind"))
     short = F.rtrim(F.substring("value", 1, SAMPLE_CHARS))
     distinct = (
         values.withColumn("sample", short)
         .groupBy("column_name", F.lower("sample").alias("_folded"))
-        .agg(F.min_by("sample", "position").alias("sample"), F.min("position").alias("position"))
+        .agg(F.min_by("sample", "first").alias("sample"), F.min("first").alias("position"))
     )
     rank = Window.partitionBy("column_name").orderBy("position")
     samples = (

@@ -14,16 +14,9 @@ from granary.operators.ordering import with_running_sum
 from granary.session import settle, spread
 
 # Profile limits.
-PROFILE_COLUMNS = 160
-REPORT_COLUMNS = 80
-NUMERIC_COLUMNS = 20
-TIME_COLUMNS = 20
-CATEGORY_COLUMNS = 30
-RELATION_COLUMNS = 40
 CATEGORY_MAX_DISTINCT = 60
 CATEGORY_TOP = 8
 RELATION_TOP = 8
-CODEGEN_SCAN_VALUES = 2_500
 CODEGEN_CATEGORY_DISTINCT = 80
 HISTOGRAM_BINS = 20
 
@@ -44,19 +37,19 @@ def _unpivot(row: DataFrame, columns: Sequence[str], facts: dict[str, str], shar
 
 def non_empty_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Filled cells per column, all in one pass."""
-    columns = list(columns or df.columns)[:PROFILE_COLUMNS]
+    columns = list(columns or df.columns)
     row = df.agg(*[F.count_if(cells.non_empty(df, c)).alias(f"{c}__non_empty_count") for c in columns])
     return _unpivot(row, columns, {"non_empty_count": "long"}).drop("ordinal")
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows per (column, value), pre-aggregated before the shuffle; the base of distinct and top values."""
-    columns = list(columns or df.columns)[:PROFILE_COLUMNS]
+    columns = list(columns or df.columns)
     return normalize.long_cells(spread(df.select(*columns)), columns).groupBy("ordinal", "column_name", "value").agg(F.count("*").alias("n"))
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
-    columns = list(columns or df.columns)[:PROFILE_COLUMNS]
+    columns = list(columns or df.columns)
     if approximate:
         row = df.agg(
             *[
@@ -87,7 +80,7 @@ def top_values(counts: DataFrame, k: int = 3) -> DataFrame:
 
 def table_profile(df: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Per column: rows, filled, distinct, the three most frequent values; one counted pass for all."""
-    columns = list(columns or df.columns)[:PROFILE_COLUMNS]
+    columns = list(columns or df.columns)
     counts = value_counts(df, columns)
     facts = counts.groupBy("column_name").agg(
         F.sum("n").alias("non_empty_count"), F.count("*").alias("distinct_count")
@@ -123,7 +116,7 @@ def _listed(df: DataFrame, order: str, text: Column, name: str) -> DataFrame:
 
 def column_profile(df: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
     """dtype, purpose, non-null, null and unique counts and three samples of each column."""
-    columns = list(columns or df.columns)[:REPORT_COLUMNS]
+    columns = list(columns or df.columns)
     total = df.agg(F.count("*").alias("row_count"))
     facts = value_counts(df, columns).groupBy("column_name").agg(
         F.sum("n").alias("filled"), F.count("*").alias("distinct")
@@ -188,7 +181,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, scale:
 
     Everything comes from the counts per value, so the table is read and pre-aggregated once.
     """
-    columns = list(columns or df.columns)[:NUMERIC_COLUMNS]
+    columns = list(columns or df.columns)
     columns = [c for c in columns if cells.is_text(df, c) or isinstance(cells.data_type(df, c), T.NumericType)]
     counts = settle(numeric_cells(df, columns).groupBy("column_name", "number").agg(F.count("*").alias("_n")))
     number = F.col("number") if scale is None else cells.cents(F.col("number"), scale)
@@ -210,7 +203,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, scale:
 
 
 def datetime_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    columns = list(columns or df.columns)[:TIME_COLUMNS]
+    columns = list(columns or df.columns)
     columns = [c for c in columns if cells.is_text(df, c) or isinstance(cells.data_type(df, c), T.DatetimeType)]
     aggregates = []
     for c in columns:
@@ -230,7 +223,7 @@ def datetime_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
 def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Top eight values of columns with 2 to 60 distinct ones."""
-    columns = list(columns or df.columns)[:CATEGORY_COLUMNS]
+    columns = list(columns or df.columns)
     counts = value_counts(df, columns)
     wanted = (
         counts.groupBy("column_name")
@@ -255,7 +248,7 @@ def _correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def relation_columns(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
-    columns = list(columns or df.columns)[:RELATION_COLUMNS]
+    columns = list(columns or df.columns)
     return [c for c in columns if cells.is_text(df, c) or isinstance(cells.data_type(df, c), T.NumericType)]
 
 
@@ -356,11 +349,10 @@ def entity_metrics(df: DataFrame, entity: str, category: str, time: str, k: int
 
 
 def codegen_profile(df: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """dtype, non-null count, distinct values among the first 2500, samples and class of each column."""
-    columns = list(columns or df.columns)[:REPORT_COLUMNS]
-    values = normalize.first_values(df, columns, key, CODEGEN_SCAN_VALUES)
-    seen = values.groupBy("column_name").agg(F.countDistinct("value").alias("distinct"))
-    sample = _listed(values.filter(F.col("position") <= 4), "position", F.col("value"), "sample_values")
+    """dtype, non-null count, distinct values, samples and class of each column."""
+    columns = list(columns or df.columns)
+    seen = value_counts(df, columns).groupBy("column_name").agg(F.count("*").alias("distinct"))
+    sample = _listed(normalize.first_values(df, columns, key, 4), "position", F.col("value"), "sample_values")
     dtype, name = F.col("type_name"), F.lower("column_name")
     kind = (
         F.when(dtype.rlike("int|float|double|decimal"), "numeric")

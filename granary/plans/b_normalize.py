@@ -13,7 +13,7 @@ from granary.plans.shapes import (
     SQL_FOLD,
     SQL_KIND,
     TABLE_COLUMNS,
-    sql_first,
+    sql_placed,
     sql_hint,
     sql_metadata,
     sql_text,
@@ -71,7 +71,7 @@ def _(t):
 def _kinds(name, table, key):
     columns = list(TABLE_COLUMNS[table])
 
-    @query(name, f"SELECT column_name, {SQL_KIND} AS kind FROM ({sql_first(table, columns, key, 200)}) GROUP BY 1")
+    @query(name, f"SELECT column_name, {SQL_KIND} AS kind FROM ({sql_placed(table, columns, key)}) GROUP BY 1")
     def _(t):
         return normalize.column_kinds(getattr(t, table), key)
 
@@ -107,10 +107,10 @@ def _(t):
     "B06_cardinality_hint",
     f"""SELECT column_name, value_count, unique_count, {sql_hint()} AS cardinality_hint FROM (
         SELECT column_name, count(*) AS value_count, count(DISTINCT {SQL_FOLD}) AS unique_count
-        FROM ({sql_first("customer", list(TABLE_COLUMNS["customer"]), "c_custkey", 256)}) GROUP BY 1)
+        FROM ({sql_placed("customer", list(TABLE_COLUMNS["customer"]), "c_custkey")}) GROUP BY 1)
         UNION ALL SELECT column_name, value_count, unique_count, {sql_hint()} FROM (
         SELECT column_name, count(*) AS value_count, count(DISTINCT {SQL_FOLD}) AS unique_count
-        FROM ({sql_first("orders", list(TABLE_COLUMNS["orders"]), "o_orderkey", 256)}) GROUP BY 1)""",
+        FROM ({sql_placed("orders", list(TABLE_COLUMNS["orders"]), "o_orderkey")}) GROUP BY 1)""",
 )
 def _(t):
     customers = normalize.cardinality_hints(t.customer, "c_custkey")

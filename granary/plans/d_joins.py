@@ -60,11 +60,12 @@ def _(t):
 
 @query(
     "D05_eager_child_load",
-    r"""SELECT conv_id, 0 AS page, count(*) AS messages, CAST(sum(length(text)) AS BIGINT) AS chars,
-          string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY 1""",
+    r"""SELECT conv_id, page, count(*) AS messages, CAST(sum(length(text)) AS BIGINT) AS chars,
+          string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript
+        FROM (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 4 AS page FROM conversations) GROUP BY 1, 2""",
 )
 def _(t):
-    pages = joins.child_pages(t.conversations, ["conv_id"], ["turn"], ["turn", "role", "text"])
+    pages = joins.child_pages(t.conversations, ["conv_id"], ["turn"], ["turn", "role", "text"], 4)
     lines = F.transform("items", lambda m: F.concat(m["role"], F.lit(": "), m["text"]))
     return pages.select(
         "conv_id",
@@ -77,14 +78,15 @@ def _(t):
 
 @query(
     "D06_group_map_join",
-    """SELECT n_nationkey, 0 AS page, coalesce(string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey), '') AS ids
+    """SELECT n_nationkey, coalesce(page, 0) AS page, coalesce(string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey), '') AS ids
        FROM (SELECT n_nationkey FROM nation UNION ALL SELECT 100 + r_regionkey FROM region)
-       LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1""",
+       LEFT JOIN (SELECT *, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 50 AS page FROM supplier)
+         ON n_nationkey = s_nationkey GROUP BY 1, 2""",
 )
 def _(t):
     parents = t.nation.select("n_nationkey").unionByName(t.region.select((F.col("r_regionkey") + 100).alias("n_nationkey")))
     children = t.supplier.select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey")
-    lists = joins.grouped_ids(parents, children, "n_nationkey", "s_suppkey")
+    lists = joins.grouped_ids(parents, children, "n_nationkey", "s_suppkey", 50)
     return lists.select("n_nationkey", "page", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 

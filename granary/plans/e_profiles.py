@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.operators import aggregate, insight, profile
 from granary.plans.registry import query
-from granary.plans.shapes import TABLE_COLUMNS, sql_first, sql_long, sql_plain, sql_text, text_orders, TEXT_ORDERS_SQL
+from granary.plans.shapes import TABLE_COLUMNS, sql_long, sql_placed, sql_plain, sql_text, text_orders, TEXT_ORDERS_SQL
 
 CUSTOMER, ORDERS, PART = (list(TABLE_COLUMNS[t]) for t in ("customer", "orders", "part"))
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -53,7 +53,7 @@ def _(t):
         listed AS (SELECT column_name, string_agg(value || ' (' || n || ')', ' | ' ORDER BY value_rank) AS top_values
                    FROM tops WHERE value_rank <= 3 GROUP BY 1),
         sample AS (SELECT column_name, string_agg(value, ' | ' ORDER BY k) AS sample_values
-                   FROM ({sql_first('orders', ORDERS, 'o_orderkey', 3)}) GROUP BY 1)
+                   FROM ({sql_placed('orders', ORDERS, 'o_orderkey')}) WHERE position <= 3 GROUP BY 1)
         SELECT column_name, (SELECT count(*) FROM orders) AS row_count, non_empty_count, distinct_count, top_values,
                sample_values FROM facts JOIN listed USING (column_name) JOIN sample USING (column_name)""",
 )
@@ -68,7 +68,7 @@ COLUMN_PROFILE_SQL = f"""SELECT column_name, CASE column_name {PART_TYPES} END A
     non_null, (SELECT count(*) FROM part) - non_null AS null_count, unique_count, sample_values
     FROM (SELECT column_name, CAST(sum(n) AS BIGINT) AS non_null, count(*) AS unique_count FROM counts GROUP BY 1)
     JOIN (SELECT column_name, string_agg(value, ' | ' ORDER BY k) AS sample_values
-          FROM ({sql_first('part', PART, 'p_partkey', 3)}) GROUP BY 1) USING (column_name)"""
+          FROM ({sql_placed('part', PART, 'p_partkey')}) WHERE position <= 3 GROUP BY 1) USING (column_name)"""
 
 
 @query("E24_column_profile", f"WITH {counts_sql('part', PART)} {COLUMN_PROFILE_SQL}")
@@ -202,7 +202,7 @@ CUSTOMER_TYPES = " ".join(f"WHEN '{c}' THEN '{k}'" for c, k in TABLE_COLUMNS["cu
 
 @query(
     "E35_codegen_profile",
-    f"""WITH {counts_sql('customer', CUSTOMER)}, firsts AS ({sql_first('customer', CUSTOMER, 'c_custkey', 2500)}),
+    f"""WITH {counts_sql('customer', CUSTOMER)}, firsts AS ({sql_placed('customer', CUSTOMER, 'c_custkey')}),
         facts AS (SELECT column_name, CAST(sum(n) AS BIGINT) AS non_null FROM counts GROUP BY 1),
         seen AS (SELECT column_name, count(DISTINCT value) AS sample_unique,
                    string_agg(value, ' | ' ORDER BY k) FILTER (WHERE position <= 4) AS sample_values FROM firsts GROUP BY 1)

@@ -8,7 +8,7 @@ from granary.operators import catalog, chunk, normalize, vectors
 from granary.operators.ordering import with_position
 from granary.plans.a_sources import CATALOG_SQL, catalog_of
 from granary.plans.registry import Tables, query
-from granary.plans.shapes import SQL_KIND, TABLE_COLUMNS, sql_first, sql_plain
+from granary.plans.shapes import SQL_KIND, TABLE_COLUMNS, sql_placed, sql_plain
 from granary.session import shared_folder
 from granary.sources import artifacts
 
@@ -131,7 +131,7 @@ def _(t):
 
 SUMMARISED = {"orders": "o_orderkey", "events": "event_id", "nation": "n_nationkey"}
 KINDS_SQL = "kinds AS (" + " UNION ALL ".join(
-    f"SELECT '{name}' AS table_name, ordinal, column_name, {SQL_KIND} AS kind FROM ({sql_first(name, list(TABLE_COLUMNS[name]), key, 200)}) GROUP BY 1, 2, 3"
+    f"SELECT '{name}' AS table_name, ordinal, column_name, {SQL_KIND} AS kind FROM ({sql_placed(name, list(TABLE_COLUMNS[name]), key)}) GROUP BY 1, 2, 3"
     for name, key in SUMMARISED.items()
 ) + ")"
 

@@ -107,9 +107,9 @@ def sql_long(table: str, columns: list[str], key: str = "NULL") -> str:
     )
 
 
-def sql_first(table: str, columns: list[str], key: str, n: int) -> str:
-    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY k) AS position
-               FROM ({sql_long(table, columns, key)})) WHERE position <= {n}"""
+def sql_placed(table: str, columns: list[str], key: str) -> str:
+    """Non-empty cells with their place in the column."""
+    return f"SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY k) AS position FROM ({sql_long(table, columns, key)})"
 
 
 SQL_KIND = r"""CASE
@@ -136,14 +136,14 @@ def sql_metadata(table: str, columns: list[str], key: str) -> str:
         samples, CASE WHEN replace(column_name, '_', ' ') = column_name THEN column_name
                  ELSE column_name || ' | ' || replace(column_name, '_', ' ') END AS aliases
       FROM (SELECT ordinal, column_name, {sql_hint("count(DISTINCT lower(v))", "count(*)")} AS hint
-            FROM (SELECT *, rtrim(substr(trim(regexp_replace(value, '\\s+', ' ', 'g')), 1, 320)) AS v
-                  FROM ({sql_first(table, columns, key, 256)})) GROUP BY 1, 2)
+            FROM (SELECT *, trim(regexp_replace(value, '\\s+', ' ', 'g')) AS v
+                  FROM ({sql_placed(table, columns, key)})) GROUP BY 1, 2)
       JOIN (SELECT column_name, CASE {SQL_KIND} WHEN 'number' THEN 'numeric' WHEN 'datetime_like' THEN 'datetime'
               ELSE {SQL_KIND} END AS dtype
-            FROM ({sql_first(table, columns, key, 200)}) GROUP BY 1) USING (column_name)
+            FROM ({sql_placed(table, columns, key)}) GROUP BY 1) USING (column_name)
       JOIN (SELECT column_name, string_agg(s, ' | ' ORDER BY p) AS samples
             FROM (SELECT column_name, s, p, row_number() OVER (PARTITION BY column_name ORDER BY p) AS r
                   FROM (SELECT column_name, arg_min(s, position) AS s, min(position) AS p
                         FROM (SELECT *, rtrim(substr(trim(regexp_replace(value, '\\s+', ' ', 'g')), 1, 80)) AS s
-                              FROM ({sql_first(table, columns, key, 256)})) GROUP BY column_name, lower(s)))
+                              FROM ({sql_placed(table, columns, key)})) GROUP BY column_name, lower(s)))
             WHERE r <= 5 GROUP BY 1) USING (column_name)"""
