@@ -69,9 +69,9 @@ def chunks(lines: DataFrame, min_words: int = MIN_WORDS, one_in: int = BOUNDARY_
     return heavy.withColumn("opens", opens).select(*KEY, F.explode(F.expr(cut)).alias("c")).select(*KEY, "c.*")
 
 
-def with_lines(expression: str) -> Column:
+def with_lines(expression: str, text: str = "text") -> Column:
     """An expression over ``lines``, the text's lines, which are split once however often it names them."""
-    return F.expr(f"transform(array(split(text, '\\n', -1)), lines -> {expression})[0]")
+    return F.expr(f"transform(array(split({text}, '\\n', -1)), lines -> {expression})[0]")
 
 
 def chunk_text(item: str) -> str:
@@ -106,10 +106,10 @@ def remove_repeated(docs: DataFrame, min_words: int = MIN_WORDS, one_in: int = B
     later = found.join(passages, "chunk").where(~itself)
 
     marks = later.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "n", "passage"))).alias("at"))
-    rows = keyed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")).select("_row", "text", *KEY)
+    rows = keyed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")).select("_row", *KEY)
     same = "filter(coalesce(at, array()), c -> " + chunk_text("c") + " = c.passage)"
     edited = rows.join(marks, list(KEY), "left").select(
-        "_row", with_lines(rest_of(same)).alias("_new")
+        "_row", with_lines(rest_of(same), "_row.text").alias("_new")
     )
     kept = [F.col(f"_row.{c}").alias(c) if c != "text" else F.col("_new.text").alias("text") for c in docs.columns]
     counts = [F.coalesce(f"_new.{c}", F.lit(0)).cast("long").alias(c) for c in ("n_lines", "n_removed") if c not in docs.columns]
