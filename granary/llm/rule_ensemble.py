@@ -32,6 +32,7 @@ STATISTICS = (
 
 #: Labelled rows the model is fitted on: those with the smallest hash of their id.
 SAMPLE_ROWS = 12_000
+PARTITIONS = 8
 
 
 def statistics(text: str | None) -> list[float]:
@@ -175,7 +176,8 @@ def fit(sample: DataFrame, how: Fit = Fit()) -> Ensemble:
     if not count or positive in (0, count):
         share = (positive + 1) / (count + 2)
         return Ensemble(math.log(share / (1 - share)), ())
-    train = settle(known.withColumn("weight", F.when(F.col("label") == 1, F.lit(count / (2 * positive))).otherwise(F.lit(count / (2 * (count - positive))))))
+    # a bounded sample: more partitions would only lengthen every step of the fit
+    train = settle(known.coalesce(PARTITIONS).withColumn("weight", F.when(F.col("label") == 1, F.lit(count / (2 * positive))).otherwise(F.lit(count / (2 * (count - positive))))))
     vectors = VectorAssembler(inputCols=STATISTICS, outputCol="features").transform(train)
     forest = RandomForestClassifier(numTrees=how.trees, maxDepth=how.depth, featureSubsetStrategy="onethird", minInstancesPerNode=5, seed=how.seed, weightCol="weight")
     rules = sorted(tree_rules(forest.fit(vectors).toDebugString), key=str)

@@ -152,7 +152,7 @@ def matrices(sample: DataFrame, names: list[str]) -> tuple[list[list[int]], np.n
         return run
 
     present, labels, pairs = [], [], []
-    for row in map_rows(sample.select("label", "text"), make, schema).toLocalIterator():
+    for row in map_rows(sample.select("label", "text"), make, schema).collect():  # a bounded sample of short lists
         present.append(row["present"])
         labels.append(row["label"])
         other: list[int] = []
