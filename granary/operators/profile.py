@@ -16,6 +16,7 @@ from granary.session import settle, spread
 # Profile limits.
 CATEGORY_MAX_DISTINCT = 60
 CATEGORY_TOP = 8
+MIN_NUMBERS = 3
 RELATION_TOP = 8
 CODEGEN_CATEGORY_DISTINCT = 80
 HISTOGRAM_BINS = 20
@@ -235,11 +236,18 @@ def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None) ->
 
 
 def _correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson of every pair over rows where both are numbers, in one aggregate."""
+    """Pearson of every pair over rows where both are numbers, in one aggregate.
+
+    Columns with fewer than ``MIN_NUMBERS`` numbers, and so pairs with fewer rows, have no correlation.
+    """
     number = {c: cells.tolerant_number(df, c) for c in columns}
     pairs = list(combinations(columns, 2))
     # A column without spread has no correlation; dividing by its zero deviation gives NaN.
-    row = df.agg(*[F.nanvl(F.corr(number[a], number[b]), F.lit(None).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    none = F.lit(None).cast("double")
+    enough = lambda a, b: F.count_if(number[a].isNotNull() & number[b].isNotNull()) >= MIN_NUMBERS
+    row = df.agg(
+        *[F.when(enough(a, b), F.nanvl(F.corr(number[a], number[b]), none)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
+    )
     entries = [
         F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"c{i}").alias("correlation"))
         for i, (a, b) in enumerate(pairs)

@@ -185,15 +185,15 @@ def above(scored: DataFrame, query: str, score: str, threshold: float) -> tuple[
     return scored.filter(good), counts
 
 
-def coverage_selection(ranked: DataFrame, query: str, file: str, top_k: int) -> DataFrame:
-    """The best hit of every file first when k allows it, then the rest by rank; input is a cut list per query."""
+def coverage_selection(ranked: DataFrame, query: str, file: str, top_k: int, per_file_min: int = 1) -> DataFrame:
+    """The ``per_file_min`` best hits of every file first when k allows it, then the rest by rank; input is a cut list per query."""
     per_file = Window.partitionBy(query, file).orderBy("rank")
-    marked = ranked.withColumn("_first", F.row_number().over(per_file) == 1)
-    files = F.sum(F.col("_first").cast("int")).over(Window.partitionBy(query))
-    ahead = F.col("_first") & (F.lit(top_k) >= F.col("_files"))
+    marked = ranked.withColumn("_nth", F.row_number().over(per_file))
+    files = F.sum((F.col("_nth") == 1).cast("int")).over(Window.partitionBy(query))
+    ahead = (F.col("_nth") <= per_file_min) & (F.lit(top_k) >= F.col("_files") * per_file_min)
     order = Window.partitionBy(query).orderBy(F.when(ahead, 0).otherwise(1), "rank")
     chosen = marked.withColumn("_files", files).withColumn("position", F.row_number().over(order))
-    return chosen.filter(F.col("position") <= top_k).drop("_first", "_files")
+    return chosen.filter(F.col("position") <= top_k).drop("_nth", "_files")
 
 
 # Row groups a sheet gives, and what makes a hit one of a table.

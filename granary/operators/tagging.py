@@ -210,10 +210,13 @@ def file_mentions(requests: DataFrame, key: str, text: str, attached: DataFrame
         key,
         body.rlike(FILE_CONTEXT).alias("_file_context"),
         body.rlike(TECHNICAL_CONTEXT).alias("_technical"),
-        F.explode(F.array_distinct(found)).alias("_raw"),
+        F.posexplode(F.array_distinct(found)).alias("_at", "_raw"),
     )
     rows = rows.withColumn("candidate", F.regexp_replace(F.trim("_raw"), r"^[.,;:!?)\]}»]+|[.,;:!?)\]}»]+$", ""))
-    rows = rows.withColumn("name", folded_file_name(F.col("candidate"))).filter("name <> ''").dropDuplicates([key, "name"])
+    rows = rows.withColumn("name", folded_file_name(F.col("candidate"))).filter("name <> ''")
+    # of several spellings the first stays
+    rows = rows.groupBy(key, "name").agg(F.min_by(F.struct("_file_context", "_technical", "candidate"), "_at").alias("_first"))
+    rows = rows.select(key, "name", "_first.*")
     if attached is not None:
         known = attached.select(key, "name").distinct().withColumn("_known", F.lit(True))
         rows = rows.join(known, [key, "name"], "left").withColumn("_known", F.coalesce("_known", F.lit(False)))

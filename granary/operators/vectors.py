@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from granary.operators.ordering import first_per_group
 
-QUERY_BYTES = 32 * 1024 * 1024
+#: Vectors one task compares with the queries sent to it.
+BLOCK_ROWS = 4096
 
 
 def dimension(vectors: DataFrame, vector: str) -> int:
@@ -82,62 +82,48 @@ def nearest(
 ) -> DataFrame:
     """The k nearest vectors of each query by squared L2: query, id, distance, rank.
 
-    Every task keeps k rows per query and batch of vectors, so what is shuffled grows with the number of
-    tasks and not with queries times vectors.  Queries travel in slices of a fixed size in bytes.  With
-    ``scope`` a query only meets vectors of its own scope value.
+    Vectors are dealt over blocks of about ``BLOCK_ROWS`` per scope value and dimension; a query goes to the blocks of
+    its own scope and dimension only and brings k rows back from each, whatever the number of vectors.  Both sides
+    are distributed.  Null vectors, null scopes and vectors of another dimension take no part.
     """
-    wanted = [query_key, query_vector, *([scope] if scope else [])]
-    size = dimension(vectors, vector)
-    slice_rows = max(1, QUERY_BYTES // (8 * max(1, size)))
-    count = queries.count()
-    parts = max(1, math.ceil(count / slice_rows))
-    numbered = queries.select(*wanted, F.pmod(F.xxhash64(query_key), F.lit(parts)).alias("_part"))
-    found = None
-    for part in range(parts):
-        table = numbered.filter(F.col("_part") == part).drop("_part").toArrow()
-        hits = _scan(vectors, key, vector, table, query_key, query_vector, k, scope)
-        found = hits if found is None else found.unionByName(hits)
+    own = F.col(scope) if scope else F.lit(0)
+    place = ["_scope", "_size"]
+    rows = vectors.select(F.col(key), F.col(vector).cast("array<double>").alias("_x"), own.alias("_scope"))
+    rows = rows.where(F.col("_x").isNotNull()).withColumn("_size", F.size("_x"))
+    asked = queries.select(F.col(query_key), F.col(query_vector).cast("array<double>").alias("_q"), own.alias("_scope"))
+    asked = asked.where(F.col("_q").isNotNull()).withColumn("_size", F.size("_q"))
+    blocks = rows.groupBy(*place).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_blocks"))
+    block = F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int").alias("_block")
+    dealt = rows.join(blocks, place).select(*place, block, key, "_x")
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")
+    sent = asked.join(blocks, place).select(*place, every, query_key, "_q")
+    schema = T.StructType(
+        [queries.schema[query_key], vectors.schema[key], T.StructField("distance", T.DoubleType())]
+    )
+    found = (
+        dealt.groupBy(*place, "_block")
+        .cogroup(sent.groupBy(*place, "_block"))
+        .applyInPandas(_nearest_in_block(key, query_key, k), schema)
+    )
     order = [F.col("distance").asc(), F.col(key).asc()]
     ranked = first_per_group(found, [query_key], order, k)
     rank = Window.partitionBy(query_key).orderBy(*order)  # at most k rows per query
     return ranked.withColumn("rank", F.row_number().over(rank))
 
 
-def _scan(vectors, key, vector, table: pa.Table, query_key, query_vector, k, scope) -> DataFrame:
-    points = np.array(table.column(query_vector).to_pylist(), dtype="float64")
-    ids = table.column(query_key).combine_chunks()
-    scopes = np.array(table.column(scope).to_pylist(), dtype=object) if scope else None
-    key_type = vectors.schema[key].dataType
-    id_type = T.LongType() if pa.types.is_integer(ids.type) else T.StringType()
-    schema = T.StructType(
-        [T.StructField(query_key, id_type), T.StructField(key, key_type), T.StructField("distance", T.DoubleType())]
-    )
-    ids = ids.cast(pa.int64() if id_type == T.LongType() else pa.string())
-    columns = [key, vector, *([scope] if scope else [])]
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0 or len(points) == 0:
-                continue
-            keys = batch.column(0)
-            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(batch.num_rows, -1)
-            own = np.array(batch.column(2).to_pylist(), dtype=object) if scope else None
-            order_keys = keys.to_numpy(zero_copy_only=False)
-            squares = (rows * rows).sum(axis=1)
-            out_q, out_r, out_d = [], [], []
-            for q, point in enumerate(points):
-                distance = np.round(np.maximum(squares + point @ point - 2.0 * (rows @ point), 0.0), 6)
-                at = np.arange(len(distance)) if own is None else np.flatnonzero(own == scopes[q])
-                best = at[np.lexsort((order_keys[at], distance[at]))[:k]]
-                out_q.append(np.full(len(best), q))
-                out_r.append(best)
-                out_d.append(distance[best])
-            take_q, take_r = pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_r))
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(take_q), keys.take(take_r), pa.array(np.concatenate(out_d))], names=schema.names
-            )
-
-    return vectors.select(*columns).mapInArrow(search, schema)
+def _nearest_in_block(key: str, query_key: str, k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def search(block: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        if block.empty or asking.empty:
+            return pd.DataFrame({query_key: [], key: [], "distance": []})
+        rows, ids = np.array(block["_x"].tolist(), dtype="float64"), block[key].to_numpy()
+        parts = []
+        for query, point in zip(asking[query_key], asking["_q"]):
+            distance = np.round(((rows - np.asarray(point, dtype="float64")) ** 2).sum(axis=1), 6)
+            best = np.lexsort((ids, distance))[:k]
+            parts.append(pd.DataFrame({query_key: query, key: ids[best], "distance": distance[best]}))
+        return pd.concat(parts, ignore_index=True)
+
+    return search
 
 
 def with_distance(vectors: DataFrame, vector: str, point: Sequence[float], name: str = "distance") -> DataFrame:

@@ -149,15 +149,15 @@ def _(t):
 
 @query(
     "D10_hits_to_sources_join",
-    """WITH d AS (SELECT vec_id AS id, round(1.0 / (1.0 + label), 6) AS dense FROM embeddings WHERE label % 2 = 0),
-       l AS (SELECT doc_id AS id, lang, CAST(n_chars AS DOUBLE) AS lexical FROM documents WHERE lang IN ('en', 'de'))
+    """WITH d AS (SELECT vec_id AS id, round(1.0 / (1.0 + label), 6) AS dense FROM embeddings),
+       l AS (SELECT doc_id AS id, lang, CAST(n_chars AS DOUBLE) AS lexical FROM documents)
        SELECT coalesce(d.id, l.id) AS id, dense, lexical, lang FROM d FULL JOIN l ON d.id = l.id""",
 )
 def _(t):
-    dense = t.embeddings.filter("label % 2 = 0").select(
+    dense = t.embeddings.select(
         F.col("vec_id").alias("id"), F.round(1.0 / (1.0 + F.col("label")), 6).alias("dense")
     )
-    lexical = t.documents.filter("lang IN ('en', 'de')").select(
+    lexical = t.documents.select(
         F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("lexical"), "lang"
     )
     return joins.merge_scores(dense, lexical, "id")

@@ -256,7 +256,7 @@ def requests_of(t: Tables) -> DataFrame:
     """Every user turn and benchmark text as a request over the chunks of one source."""
     sizes = chunks_of(t).groupBy("source").agg(F.count("*").alias("expected_chunks"))
     sources = sizes.select((F.substring("source", 4, 9).cast("int")).alias("n"), "expected_chunks")
-    turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.substring("text", 1, 40).alias("text"))
+    turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "text")
     items = t.benchmark.select((-F.col("item_id") - 1).alias("request_id"), F.concat(F.lit("Overview: "), "text").alias("text"))
     mode = F.when(F.col("request_id") % 7 == 0, "full_file").otherwise("auto")
     asked = turns.unionByName(items).withColumns({"mode": mode, "requested_top_k": F.lit(5), "n": F.abs(F.col("request_id") % 20).cast("int")})
@@ -264,7 +264,7 @@ def requests_of(t: Tables) -> DataFrame:
 
 
 REQUESTS_SQL = f"""{CHUNKS_SQL}, sizes AS (SELECT CAST(substr(source, 4) AS INTEGER) AS n, count(*) AS expected_chunks FROM chunks GROUP BY 1),
-  asked AS (SELECT conv_id * 1000 + turn AS request_id, substr(text, 1, 40) AS text FROM conversations
+  asked AS (SELECT conv_id * 1000 + turn AS request_id, text FROM conversations
     UNION ALL SELECT -item_id - 1, 'Overview: ' || text FROM benchmark),
   requests AS (SELECT request_id, text, CASE WHEN request_id % 7 = 0 THEN 'full_file' ELSE 'auto' END AS mode, coalesce(expected_chunks, 0) AS expected
     FROM asked LEFT JOIN sizes ON n = abs(request_id % 20)),

@@ -10,20 +10,20 @@ from granary.plans.g_retrieval import HITS_SQL, hits_of, row_groups_of
 from granary.plans.registry import Tables, query
 
 GROUPS_SQL = """groups AS (SELECT l_suppkey AS file_id, 'file' || l_suppkey AS filename, l_returnflag AS sheet_name, l_orderkey AS s,
-    CAST(l_orderkey + l_quantity AS BIGINT) AS e, l_linenumber AS chunk_index FROM lineitem WHERE l_quantity < 20),
+    CAST(l_orderkey + l_quantity AS BIGINT) AS e, l_linenumber AS chunk_index FROM lineitem),
   flagged AS (SELECT *, CASE WHEN s > coalesce(max(e) OVER w, s - 2) + 1 THEN 1 ELSE 0 END AS new FROM groups
     WINDOW w AS (PARTITION BY file_id, sheet_name ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   islands AS (SELECT *, sum(new) OVER (PARTITION BY file_id, sheet_name ORDER BY s, e) AS island FROM flagged),
   merged AS (SELECT file_id, filename, sheet_name, min(s) AS row_start, max(e) AS row_end FROM islands GROUP BY 1, 2, 3, island)"""
 
 
-def short_groups(t: Tables) -> DataFrame:
-    return row_groups_of(t).filter("l_quantity < 20")
+def all_groups(t: Tables) -> DataFrame:
+    return row_groups_of(t)
 
 
 @query("H01_merge_ranges", f"WITH {GROUPS_SQL} SELECT file_id, sheet_name, row_start, row_end FROM merged")
 def _(t):
-    return coverage.merge_ranges(short_groups(t), ["file_id", "sheet_name"])
+    return coverage.merge_ranges(all_groups(t), ["file_id", "sheet_name"])
 
 
 ROWS_SQL = f"""{GROUPS_SQL}, want AS (SELECT file_id, sheet_name, greatest(max(e), 15000) AS rows_expected FROM groups GROUP BY 1, 2),
@@ -37,7 +37,7 @@ ROWS_SQL = f"""{GROUPS_SQL}, want AS (SELECT file_id, sheet_name, greatest(max(e
         round(sum(rows_retrieved) / sum(rows_expected), 6) AS row_coverage_ratio FROM rows_""",
 )
 def _(t):
-    return coverage.row_coverage(short_groups(t))
+    return coverage.row_coverage(all_groups(t))
 
 
 CHUNK_COVER_SQL = f"""{CHUNKS_SQL}, cover AS (SELECT source, count(*) AS expected_chunks,
@@ -65,7 +65,7 @@ LOSS_SQL = f"""{CHUNK_COVER_SQL}, {ROWS_SQL}, per_file AS (SELECT 'src' || file_
 
 
 def loss_of(t: Tables) -> DataFrame:
-    rows = coverage.row_coverage_by(short_groups(t)).groupBy(F.concat(F.lit("src"), F.col("file_id")).alias("source")).agg(
+    rows = coverage.row_coverage_by(all_groups(t)).groupBy(F.concat(F.lit("src"), F.col("file_id")).alias("source")).agg(
         F.sum("rows_expected").alias("rows_expected"), F.sum("rows_retrieved").alias("rows_retrieved")
     )
     return coverage.silent_row_loss(chunk_cover(t), rows, "source")
@@ -85,7 +85,7 @@ def _(t):
         FROM r GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 8""",
 )
 def _(t):
-    return coverage.coverage_sources(short_groups(t))
+    return coverage.coverage_sources(all_groups(t))
 
 
 @query(

@@ -189,9 +189,9 @@ def _(t):
 
 def dialogue_of(t: Tables) -> DataFrame:
     """User turns of the given conversations; some get the words of a table request or of a refinement."""
-    n = (F.col("conv_id") + F.col("turn") / 2).cast("long") % 4
+    n = (F.col("conv_id") + F.expr("turn div 2")) % 4
     text = (
-        F.when(n == 0, F.concat(F.lit("Show total value by month of "), F.substring("text", 1, 20)))
+        F.when(n == 0, F.concat(F.lit("Show total value by month of "), F.col("text")))
         .when(n == 1, "group by week")
         .when(n == 2, "what about column user_id")
         .otherwise(F.col("text"))
@@ -213,9 +213,9 @@ REFINES_SQL = f"""({LOW} <> '' AND length({LOW}) <= 180 AND {WORDS_SQL} <= 20 AN
 
 @query(
     "J13_followup_link",
-    f"""WITH u AS (SELECT conv_id, turn, CASE CAST(conv_id + turn / 2 AS BIGINT) % 4 WHEN 0 THEN 'Show total value by month of ' || substr(text, 1, 20)
+    f"""WITH u AS (SELECT conv_id, turn, CASE (conv_id + turn // 2) % 4 WHEN 0 THEN 'Show total value by month of ' || text
           WHEN 1 THEN 'group by week' WHEN 2 THEN 'what about column user_id' ELSE text END AS text
-          FROM conversations WHERE role = 'user' AND turn % 2 = 0),
+          FROM conversations WHERE role = 'user'),
         p AS (SELECT *, trim(regexp_replace(lower(text), '[^a-zа-яё0-9]+', ' ', 'g')) AS q, ' ' || {FOLD.format('text')} || ' ' AS w FROM u WHERE trim(text) <> ''),
         f AS (SELECT conv_id, turn, text, {REFINES_SQL} AS refines,
           {ROUTE_SQL} <> 'unknown' OR {OPERATION_SQL} IS NOT NULL OR {GRAIN_SQL.format('w')} IS NOT NULL AS tab FROM p),
@@ -228,7 +228,7 @@ REFINES_SQL = f"""({LOW} <> '' AND length({LOW}) <= 180 AND {WORDS_SQL} <= 20 AN
           || CASE WHEN anchor <> p_turn THEN chr(10) || 'Follow-up refinement: ' || p_text ELSE '' END || chr(10) || 'Follow-up refinement: ' || text ELSE text END AS effective_text FROM j""",
 )
 def _(t):
-    return tagging.followup_links(dialogue_of(t).filter("turn % 2 = 0"), "conv_id", "turn", "text")
+    return tagging.followup_links(dialogue_of(t), "conv_id", "turn", "text")
 
 
 @query(
