@@ -6,8 +6,7 @@ looks at a whole list.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,7 @@ TOKEN_PATTERN = "[A-Za-zА-Яа-яЁё0-9_]+"
 DENSE_WEIGHT, LEXICAL_WEIGHT = 0.75, 0.25
 FUSION_CONSTANT = 60
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
-QUERY_TERMS_PER_SLICE = 2_000_000
+BLOCK_TERMS = 200_000
 SCORE_DIGITS = 6  # equal to six digits counts as a tie, which the document id breaks
 
 
@@ -35,19 +34,23 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def term_counts(texts: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(key, token, tf, length): occurrences per text; all tokens of a text sit in one row, so they combine locally."""
+def term_counts(texts: DataFrame, key: str, tokens: Column, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(key, token, tf, length): occurrences per text, of the words of ``vocabulary`` (token) if one is given.
+
+    Other words are dropped before anything is shuffled where Spark finds the vocabulary small enough to send.
+    """
     listed = spread(texts).select(F.col(key), tokens.alias("_tokens"))
     exploded = listed.select(key, F.size("_tokens").alias("length"), F.explode("_tokens").alias("token"))
+    if vocabulary is not None:
+        exploded = exploded.join(vocabulary, "token", "left_semi")
     return exploded.groupBy(key, "length", "token").agg(F.count("*").alias("tf"))
 
 
 def lexical_terms(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, query_text: str):
     """Document and query sides of the lexical score, whose product is the score."""
-    doc_counts = term_counts(docs, doc, tokenize(F.col(text)))
-    query_counts = term_counts(queries, query, tokenize(F.col(query_text)))
-    vocabulary = query_counts.select("token").distinct()
-    found = settle(doc_counts.join(vocabulary, "token"))  # read twice, tokenised once
+    query_counts = settle(term_counts(queries, query, tokenize(F.col(query_text))))
+    vocabulary = settle(query_counts.select("token").distinct())  # its size is known to the join that follows
+    found = settle(term_counts(docs, doc, tokenize(F.col(text)), vocabulary))  # read twice, tokenised once
     df = found.groupBy("token").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("n"))
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -83,65 +86,50 @@ def bm25_terms(docs: DataFrame, doc: str, text: str, queries: DataFrame, query:
 def sparse_topk(doc_terms: DataFrame, doc: str, query_terms: DataFrame, query: str, k: int) -> DataFrame:
     """The k best documents of each query by the product of term weights: query, doc, score, rank.
 
-    The weights of the queries travel to the tasks in slices of bounded size; each task scores its
-    documents against them and keeps k per query, so a word that stands in a third of all documents
-    costs a scan and not a list of pairs.
+    Documents are dealt over blocks of about ``BLOCK_TERMS`` terms, the terms of the queries go to every block, and a
+    block brings k rows back per query.  A word that stands in a third of all documents costs a scan of its weights and
+    not a list of pairs, and neither side passes the driver.
     """
-    query_terms = settle(query_terms)
-    terms = query_terms.count()
-    parts = max(1, math.ceil(terms / QUERY_TERMS_PER_SLICE))
-    part = F.pmod(F.xxhash64(query), F.lit(parts))
-    found = None
-    for number in range(parts):
-        table = query_terms.filter(part == number).orderBy(query, "token").toArrow().to_pandas()
-        hits = _score(doc_terms, doc, table, query, doc_terms.sparkSession, k, query_terms.schema[query].dataType)
-        found = hits if found is None else found.unionByName(hits)
+    blocks = doc_terms.agg(F.greatest(F.ceil(F.count("*") / BLOCK_TERMS), F.lit(1)).cast("int").alias("_blocks"))
+    block = F.pmod(F.xxhash64(doc), F.col("_blocks")).cast("int").alias("_block")
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")
+    dealt = doc_terms.crossJoin(F.broadcast(blocks)).select(block, doc, "token", "weight")  # one row
+    sent = query_terms.crossJoin(F.broadcast(blocks)).select(every, query, "token", "weight")  # one row
+    schema = T.StructType(
+        [query_terms.schema[query], doc_terms.schema[doc], T.StructField("score", T.DoubleType())]
+    )
+    found = dealt.groupBy("_block").cogroup(sent.groupBy("_block")).applyInPandas(_best_in_block(doc, query, k), schema)
     order = [F.col("score").desc(), F.col(doc).asc()]
     best = first_per_group(found, [query], order, k)
     rank = Window.partitionBy(query).orderBy(*order)  # at most k rows per query
     return best.withColumn("rank", F.row_number().over(rank))
 
 
-def _score(doc_terms, doc, table: pd.DataFrame, query, spark, k, query_type) -> DataFrame:
-    vocabulary = sorted(table["token"].unique())
-    number = {token: i for i, token in enumerate(vocabulary)}
-    queries = list(table[query].unique())
-    per_query = []
-    for one in queries:
-        mine = table[table[query] == one]
-        per_query.append((np.array([number[x] for x in mine["token"]], dtype="int64"), mine["weight"].to_numpy("float64")))
-    size = len(vocabulary)
-    known = spark.createDataFrame(pd.DataFrame({"token": vocabulary, "_id": range(size)}), "token string, _id int")
-    rows = (
-        doc_terms.join(known, "token")
-        .groupBy(doc)
-        .agg(F.collect_list(F.struct("_id", "weight")).alias("_terms"))  # at most one per query word
-        .select(doc, F.col("_terms._id").alias("_ids"), F.col("_terms.weight").alias("_weights"))
-    )
-    schema = T.StructType(
-        [T.StructField(query, query_type), doc_terms.schema[doc], T.StructField("score", T.DoubleType())]
-    )
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            lengths = pdf["_ids"].map(len).to_numpy()
-            owner = np.repeat(np.arange(len(pdf)), lengths)
-            ids = np.concatenate(pdf["_ids"].to_numpy()).astype("int64")
-            weights = np.concatenate(pdf["_weights"].to_numpy()).astype("float64")
-            keys = pdf[doc].to_numpy()
-            out = []
-            for one, (tokens, values) in zip(queries, per_query):
-                dense = np.zeros(size)
-                dense[tokens] = values
-                scores = np.round(np.bincount(owner, weights * dense[ids], len(pdf)), SCORE_DIGITS)
-                hit = np.flatnonzero(scores > 0)
-                best = hit[np.lexsort((keys[hit], -scores[hit]))[:k]]
-                out.append(pd.DataFrame({query: one, doc: keys[best], "score": scores[best]}))
-            yield pd.concat(out, ignore_index=True)
-
-    return rows.mapInPandas(search, schema)
+def _best_in_block(doc: str, query: str, k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def search(terms: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        number = {token: i for i, token in enumerate(asked["token"].unique())}
+        terms = terms[terms["token"].isin(number)]
+        if terms.empty:
+            return pd.DataFrame({query: [], doc: [], "score": []})
+        ids = terms["token"].map(number).to_numpy("int64")
+        keys, owner = np.unique(terms[doc].to_numpy(), return_inverse=True)
+        weights = terms["weight"].to_numpy("float64")
+        order = np.argsort(ids, kind="stable")  # rows of a word stand together
+        ids, owner, weights = ids[order], owner[order], weights[order]
+        starts = np.searchsorted(ids, np.arange(len(number) + 1))
+        parts = []
+        for one, mine in asked.sort_values([query, "token"]).groupby(query, sort=False):
+            scores = np.zeros(len(keys))
+            for word, value in zip(mine["token"].map(number), mine["weight"]):
+                rows = slice(starts[word], starts[word + 1])
+                scores[owner[rows]] += value * weights[rows]  # a word stands once per document
+            scores = np.round(scores, SCORE_DIGITS)
+            hit = np.flatnonzero(scores > 0)
+            best = hit[np.lexsort((keys[hit], -scores[hit]))[:k]]
+            parts.append(pd.DataFrame({query: one, doc: keys[best], "score": scores[best]}))
+        return pd.concat(parts, ignore_index=True)
+
+    return search
 
 
 def relative(ranked: DataFrame, query: str) -> DataFrame:
