@@ -20,7 +20,7 @@ TOKEN_PATTERN = "[A-Za-zА-Яа-яЁё0-9_]+"
 DENSE_WEIGHT, LEXICAL_WEIGHT = 0.75, 0.25
 FUSION_CONSTANT = 60
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
-BLOCK_TERMS = 200_000
+BLOCKS_PER_PARTITION = 2
 SCORE_DIGITS = 6  # equal to six digits counts as a tie, which the document id breaks
 
 
@@ -86,15 +86,15 @@ def bm25_terms(docs: DataFrame, doc: str, text: str, queries: DataFrame, query:
 def sparse_topk(doc_terms: DataFrame, doc: str, query_terms: DataFrame, query: str, k: int) -> DataFrame:
     """The k best documents of each query by the product of term weights: query, doc, score, rank.
 
-    Documents are dealt over blocks of about ``BLOCK_TERMS`` terms, the terms of the queries go to every block, and a
-    block brings k rows back per query.  A word that stands in a third of all documents costs a scan of its weights and
-    not a list of pairs, and neither side passes the driver.
+    Documents are dealt over ``BLOCKS_PER_PARTITION`` blocks per shuffle partition, so a block is a fraction of what the
+    session lets a task hold; the terms of the queries go to every block, and a block brings k rows back per query.  A word
+    that stands in a third of all documents costs a scan of its weights and not a list of pairs, and neither side passes
+    the driver.
     """
-    blocks = doc_terms.agg(F.greatest(F.ceil(F.count("*") / BLOCK_TERMS), F.lit(1)).cast("int").alias("_blocks"))
-    block = F.pmod(F.xxhash64(doc), F.col("_blocks")).cast("int").alias("_block")
-    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")
-    dealt = doc_terms.crossJoin(F.broadcast(blocks)).select(block, doc, "token", "weight")  # one row
-    sent = query_terms.crossJoin(F.broadcast(blocks)).select(every, query, "token", "weight")  # one row
+    blocks = BLOCKS_PER_PARTITION * int(doc_terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = doc_terms.select(F.pmod(F.xxhash64(doc), F.lit(blocks)).cast("int").alias("_block"), doc, "token", "weight")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")
+    sent = settle(query_terms).select(every, query, "token", "weight")
     schema = T.StructType(
         [query_terms.schema[query], doc_terms.schema[doc], T.StructField("score", T.DoubleType())]
     )
