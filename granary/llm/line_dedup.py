@@ -94,19 +94,22 @@ def remove_repeated(docs: DataFrame, min_words: int = MIN_WORDS, one_in: int = B
     repeated = found.groupBy("chunk").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1")
     repeated = settle(repeated)
 
-    texts = keyed(docs).select(*KEY, "text")
+    # both joins take whole rows by key, so that Spark shuffles the texts once and reads that shuffle twice
+    rows = keyed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")).select("_row", *KEY)
     firsts = repeated.select("chunk", "first.*").groupBy(*KEY).agg(F.collect_list(F.struct("chunk", "start", "n")).alias("at"))
-    told = with_lines(f"transform(at, c -> struct(c.chunk as chunk, c.start as first_start, {chunk_text('c')} as passage))")
-    # repeated rows tell the same passage twice
-    passages = texts.dropDuplicates(list(KEY)).join(firsts, list(KEY)).select(
-        F.col("_id").alias("first_id"), F.col("_hash").alias("first_hash"), F.explode(told).alias("p")
+    told = with_lines(f"transform(at, c -> struct(c.chunk as chunk, c.start as first_start, {chunk_text('c')} as passage))", "_row.text")
+    owners = rows.join(firsts, list(KEY)).select(
+        F.col("_id").alias("first_id"), F.col("_hash").alias("first_hash"), F.xxhash64("_row").alias("whole"), told.alias("told")
+    )
+    passages = owners.select("first_id", "first_hash", "whole", F.explode("told").alias("p")).select(
+        "first_id", "first_hash", "whole", "p.*"
     )
-    passages = passages.select("first_id", "first_hash", "p.*")
     itself = (F.col("_id") == F.col("first_id")) & (F.col("_hash") == F.col("first_hash")) & (F.col("start") == F.col("first_start"))
     later = found.join(passages, "chunk").where(~itself)
 
-    marks = later.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "n", "passage"))).alias("at"))
-    rows = keyed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")).select("_row", *KEY)
+    marks = later.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "n", "whole", "passage"))).alias("at"))
+    # repeated rows tell the same passage twice; the first of them counts
+    marks = marks.withColumn("at", F.expr("filter(at, (c, i) -> i = 0 or c.start <> at[i - 1].start)"))
     same = "filter(coalesce(at, array()), c -> " + chunk_text("c") + " = c.passage)"
     edited = rows.join(marks, list(KEY), "left").select(
         "_row", with_lines(rest_of(same), "_row.text").alias("_new")
