@@ -40,18 +40,23 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * total > count).tobytes(), "big")
 
 
-def with_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(doc_id, bits)`` for every row of ``docs``; bits is the fingerprint as a signed 64-bit number."""
+def with_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, bits)`` for every row of ``docs``; bits is the fingerprint as a signed 64-bit number.
+
+    ``also`` names further columns of 64-bit numbers that are passed on.
+    """
+    passed = ("doc_id", *also)
 
     def make():
         def run(columns):
             prints = [fingerprint(t) for t in columns["text"]]
-            return {"doc_id": columns["doc_id"], "bits": [p - (1 << 64) if p >> 63 else p for p in prints]}
+            bits = [p - (1 << 64) if p >> 63 else p for p in prints]
+            return {c: columns[c] for c in passed} | {"bits": bits}
 
         return run
 
-    narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return map_rows(narrow, make, "doc_id long, bits long")
+    narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), *also, F.col(text_column).alias("text"))
+    return map_rows(narrow, make, ", ".join(f"{c} long" for c in (*passed, "bits")))
 
 
 def as_hex(bits: str) -> Column:
@@ -162,6 +167,12 @@ def links(prints: DataFrame, distance: int = MAX_DISTANCE, hot: int = HOT_CLASS)
     return pairs(calm, distance).unionByName(stars(busy, distance))
 
 
+def with_roots(classes: DataFrame, distance: int, hot: int) -> DataFrame:
+    """``classes``, one row per fingerprint (``bits``), with the smallest fingerprint each reaches over links as ``root``."""
+    roots = connected(links(classes.select("bits"), distance, hot))
+    return classes.join(roots, classes["bits"] == roots["node"], "left").select(*classes.columns, F.coalesce("root", "bits").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE, hot: int = HOT_CLASS) -> DataFrame:
     """``(doc_id, bits, component_id)``: each row's fingerprint and the smallest doc_id it reaches over links.
 
@@ -172,25 +183,31 @@ def near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE, hot: int = HO
     """
     prints = settle(with_fingerprints(docs))
     classes = settle(prints.groupBy("bits").agg(F.min("doc_id").alias("first_id")))
-    roots = connected(links(classes.select("bits"), distance, hot))
-    rooted = classes.join(roots, classes["bits"] == roots["node"], "left").select(
-        "bits", "first_id", F.coalesce("root", "bits").alias("root")
-    )
+    rooted = with_roots(classes, distance, hot)
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     placed = rooted.join(named, "root").select("bits", "component_id")
     return prints.join(placed, "bits").select("doc_id", "bits", "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each group of near-duplicates does: that with the smallest id.
+def keep_one_per_group(docs: DataFrame, distance: int = MAX_DISTANCE, hot: int = HOT_CLASS) -> DataFrame:
+    """The rows of ``docs`` that stay when one row of each group of near-duplicates does: that with the smallest id.
 
-    Rows that share the kept id (repeated rows, rows without an id in a group without ids) stay once: that with the
-    smallest hash of text, then of the whole row.  Columns are those of ``docs``.
+    Every group keeps exactly one row, whatever the ids: a row without an id only where no row of its group has one, and
+    of rows that share the kept id within a group that with the smallest hash of text, then of the whole row.  One id
+    over texts of several groups stays once in each of them that it is the smallest id of.  Columns are those of ``docs``.
     """
     names = docs.columns
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    marked = near_duplicates(docs, distance)
-    first = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(own.alias("_own")).distinct()
-    order = F.struct(F.xxhash64("text"), F.xxhash64(*names))
-    kept = docs.select(F.struct(*names).alias("_row"), own.alias("_own"), order.alias("_order")).join(first, "_own", "left_semi")
-    return kept.groupBy("_own").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
+    key = {
+        "_own": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
+        "_text": F.xxhash64("text"),
+        "_whole": F.xxhash64(*names),
+    }
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "_own", "_text", "_whole")
+    keyed = docs.select("doc_id", "text", *[c.alias(k) for k, c in key.items()])
+    # the first row of each fingerprint, then of each component, by key only; texts are met once, by the rows kept
+    prints = with_fingerprints(keyed, also=tuple(key))
+    classes = settle(prints.groupBy("bits").agg(F.min(order).alias("first")))
+    firsts = with_roots(classes, distance, hot).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    rows = docs.select(F.struct(*names).alias("_row"), *[c.alias(k) for k, c in key.items()])
+    kept = rows.join(settle(firsts.drop("no_id")), list(key), "left_semi")
+    return kept.groupBy(*key).agg(F.first("_row").alias("_row")).select("_row.*")

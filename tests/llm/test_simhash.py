@@ -74,6 +74,23 @@ def test_odd_rows(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one_per_group(none).count() == 0
 
 
+def unlike(seed):
+    r = random.Random(seed)
+    return " ".join(f"w{r.randrange(10_000)}" for _ in range(80))
+
+
+def test_every_group_keeps_one_row(documents):
+    a, b, c, d, e, f = map(unlike, range(6))
+    rows = [
+        (None, a), (None, a), (None, b), (None, None),  # groups without ids
+        (1, c), (1, d), (1, d), (2, c),  # one id, two texts
+        (5, e), (5, f), (3, f), (None, e),  # in the group of f the smallest id is another one
+    ]
+    assert len(set(brute.components({i: brute.simhash(t) for i, (_, t) in enumerate(rows)}).values())) == 7
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one_per_group(documents(rows)).collect()), key=repr)
+    assert got == sorted([(None, a), (None, b), (None, None), (1, c), (1, d), (5, e), (3, f)], key=repr)
+
+
 def test_chain_is_one_component(spark):
     links = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     got = connected(links.unionByName(links).unionByName(links.select(F.col("a"), F.col("a").alias("b"))))
