@@ -34,7 +34,7 @@ WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 class Disclosure:
     """What is protected and when a term discloses it."""
 
-    #: Words on either side of a mention whose co-occurrence with it is counted.
+    #: Words on either side of a mention among which terms are sought; what is found is counted and marked in whole documents.
     window: int = 20
     #: Different texts in which an entity and a term must meet; copies of a text are no further evidence.
     min_texts: int = 3
@@ -91,27 +91,32 @@ def entity(kind: str, mention: str) -> str:
     return f"{kind}:" + (mention.lower() if kind in ("email", "ip") else "".join(filter(str.isdigit, mention)))
 
 
-def terms_near(text: str, spans: list[tuple[str, int, int]], rules: Disclosure) -> list[tuple[str, str, int, int]]:
-    """``(entity, term, start, end)`` for the words around each mention, other mentions left out."""
+def free_words(text: str, spans: list[tuple[str, int, int]], rules: Disclosure) -> list[re.Match]:
+    """The words of a text with mentions, those inside mentions left out."""
     if not spans:
         return []
-    starts, ends, near = [], [], []
-    words = [m for m in WORD.finditer(text) if m.end() - m.start() >= rules.min_chars]
     merged = sorted((s, e) for _, s, e in spans)
     free, at, reach = [], 0, 0
-    for word in words:
+    for word in WORD.finditer(text):
+        if word.end() - word.start() < rules.min_chars:
+            continue
         while at < len(merged) and merged[at][0] < word.end():
             reach = max(reach, merged[at][1])
             at += 1
         if word.start() >= reach:
             free.append(word)
-            starts.append(word.start())
-            ends.append(word.end())
+    return free
+
+
+def terms_near(text: str, spans: list[tuple[str, int, int]], free: list[re.Match], rules: Disclosure) -> set[tuple[str, str]]:
+    """``(entity, term)`` for the words around each mention."""
+    starts, ends = [w.start() for w in free], [w.end() for w in free]
+    near = set()
     for kind, s, e in spans:
         name = entity(kind, text[s:e])
         left, right = bisect_right(ends, s), bisect_left(starts, e)
         for word in free[max(0, left - rules.window) : left] + free[right : right + rules.window]:
-            near.append((name, word[0].lower(), word.start(), word.end()))
+            near.add((name, word[0].lower()))
     return near
 
 
@@ -123,12 +128,13 @@ def key(*parts: str) -> int:
 
 SCAN = (
     "doc_id long, row long, copy long, kinds array<int>, starts array<long>, ends array<long>, "
-    "entities array<long>, terms array<long>, term_starts array<long>, term_ends array<long>"
+    "mentioned array<long>, entities array<long>, terms array<long>, "
+    "words array<long>, word_starts array<long>, word_ends array<long>"
 )
 
 
 def scan(docs: DataFrame, rules: Disclosure) -> DataFrame:
-    """Base spans of every text, and the terms near them, one row per document."""
+    """Base spans of every text, the terms near them, and all words of texts with spans, one row per document."""
 
     def make():
         from pyspark import TaskContext
@@ -140,17 +146,21 @@ def scan(docs: DataFrame, rules: Disclosure) -> DataFrame:
             for doc, text in zip(columns["doc_id"], columns["text"]):
                 text = text or ""
                 spans = base_spans(text)
-                near = terms_near(text, spans, rules)
+                free = free_words(text, spans, rules)
+                near = terms_near(text, spans, free, rules)
                 out["doc_id"].append(doc)
                 out["row"].append(state["row"])
                 out["copy"].append(key(text) if near else 0)
                 out["kinds"].append([KINDS.index(k) for k, _, _ in spans])
                 out["starts"].append([s for _, s, _ in spans])
                 out["ends"].append([e for _, _, e in spans])
-                out["entities"].append([key(n) for n, _, _, _ in near])
-                out["terms"].append([key(t) for _, t, _, _ in near])
-                out["term_starts"].append([s for _, _, s, _ in near])
-                out["term_ends"].append([e for _, _, _, e in near])
+                out["mentioned"].append([key(n) for n in {entity(k, text[s:e]) for k, s, e in spans}])
+                out["entities"].append([key(n) for n, _ in near])
+                out["terms"].append([key(t) for _, t in near])
+                names = {w: key(w) for w in {m[0].lower() for m in free}}
+                out["words"].append([names[m[0].lower()] for m in free])
+                out["word_starts"].append([m.start() for m in free])
+                out["word_ends"].append([m.end() for m in free])
                 state["row"] += 1
             return out
 
@@ -177,45 +187,60 @@ def term_counts(docs: DataFrame, rules: Disclosure) -> DataFrame:
     return map_rows(docs.select(F.col("text").cast("string").alias("text")), make, schema).groupBy("term").agg(F.sum("texts").alias("texts"))
 
 
+def mentions(scanned: DataFrame) -> DataFrame:
+    """``(row, entity)``: what each document mentions."""
+    return scanned.where("size(mentioned) > 0").select("row", F.explode("mentioned").alias("entity"))
+
+
 def disclosing(scanned: DataFrame, docs: DataFrame, rules: Disclosure) -> DataFrame:
-    """``(entity, term, bits)``: pairs that meet in enough different texts and leave few bits of the entity unknown."""
+    """``(entity, term, bits)``: pairs that meet in enough different texts and leave few bits of the entity unknown.
+
+    Pairs meet within the window; bits compare documents that hold both anywhere with documents that hold the term.
+    """
     pairs = scanned.where("size(entities) > 0").select(
         "copy", F.explode(F.array_distinct(F.arrays_zip("entities", "terms"))).alias("p")
     )
     met = (
         pairs.select("copy", F.col("p.entities").alias("entity"), F.col("p.terms").alias("term"))
-        .groupBy("entity", "term", "copy")
-        .agg(F.count("*").alias("n"))
+        .distinct()
         .groupBy("entity", "term")
-        .agg(F.sum("n").alias("together"), F.count("*").alias("different"))
+        .agg(F.count("*").alias("different"))
         .where(F.col("different") >= rules.min_texts)
     )
-    met = settle(met)
+    met = settle(met.select("entity", "term"))
     wanted = met.select("term").distinct()
     counts = term_counts(docs, rules).join(wanted, "term", "left_semi")
+    # no more documents can hold both than mention the entity, so common words go before pairs are looked up
+    most = mentions(scanned).groupBy("entity").agg(F.count("*").alias("most"))
+    able = F.log2(F.col("texts") / F.col("most")) <= rules.generalise_bits
+    likely = settle(met.join(counts, "term").join(most, "entity").where(able).select("entity", "term", "texts"))
+    words = scanned.where("size(words) > 0").select("row", F.explode(F.array_distinct("words")).alias("term"))
+    together = (
+        words.join(likely, "term").join(mentions(scanned), ["row", "entity"])
+        .groupBy("entity", "term", "texts")
+        .agg(F.count("*").alias("together"))
+    )
     bits = F.log2(F.col("texts") / F.col("together"))
-    return met.join(counts, "term").select("entity", "term", bits.alias("bits")).where(F.col("bits") <= rules.generalise_bits)
+    return together.select("entity", "term", bits.alias("bits")).where(F.col("bits") <= rules.generalise_bits)
 
 
 def find(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
     """``(doc_id, row, spans)``: all spans of every document, as structs ``kind, start, end, bits``.
 
     Kinds are the base kinds and ``term``; bits is set for terms.  Spans are in order of start, then kind.  A term is
-    marked where an entity that it discloses is mentioned in the same document within ``rules.window`` words, so
-    documents without personal data have no spans.  Null and empty texts have none; repeated rows and null ids keep
+    marked wherever it stands in a document that mentions an entity it discloses, so documents without personal data
+    have no spans.  Null and empty texts have none; repeated rows and null ids keep
     a row each; other columns are ignored; an empty table gives an empty table.
     """
     scanned = settle(scan(docs, rules))
     known = settle(disclosing(scanned, docs, rules))
-    near = scanned.where("size(entities) > 0").select(
-        "row",
-        F.explode(F.arrays_zip("entities", "terms", "term_starts", "term_ends")).alias("t"),
+    shown = settle(mentions(scanned).join(known, "entity").groupBy("row", "term").agg(F.min("bits").alias("bits")))
+    words = scanned.where("size(words) > 0").select(
+        "row", F.explode(F.arrays_zip("words", "word_starts", "word_ends")).alias("t")
     )
     marked = (
-        near.select("row", F.col("t.entities").alias("entity"), F.col("t.terms").alias("term"), F.col("t.term_starts").alias("start"), F.col("t.term_ends").alias("end"))
-        .join(known, ["entity", "term"])
-        .groupBy("row", "start", "end")
-        .agg(F.min("bits").alias("bits"))
+        words.select("row", F.col("t.words").alias("term"), F.col("t.word_starts").alias("start"), F.col("t.word_ends").alias("end"))
+        .join(shown, ["row", "term"])
         .groupBy("row")
         .agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", "bits")).alias("more"))
     )

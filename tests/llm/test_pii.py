@@ -69,6 +69,20 @@ def test_disclosing_terms(documents):
     assert not any(s["kind"] == "term" for r in pii.find(documents(same), rules).collect() for s in r["spans"])
 
 
+def test_terms_far_from_the_mention_are_counted_and_marked(documents):
+    mail = "ann@corp.example.com"
+    filler = "the met us today " * 10
+    docs = {d: f"own{letters(d)} the zorblat of {mail} {filler}then Zorblat again" for d in range(3)}
+    docs |= {3 + d: f"zorblat {filler} other{letters(d)} {mail}" for d in range(2)}
+    docs |= {20 + d: f"{filler}x{letters(d)} then again" for d in range(30)}
+    rules = pii.Disclosure(window=4, min_texts=3)
+    rows = {r["doc_id"]: r["spans"] for r in pii.find(documents(list(docs.items())), rules).collect()}
+    for d in range(5):
+        marked = [(docs[d][s["start"] : s["end"]], s["bits"]) for s in rows[d] if s["kind"] == "term"]
+        assert marked == ([("zorblat", 0.0), ("Zorblat", 0.0)] if d < 3 else [("zorblat", 0.0)]), marked
+    assert not any(rows[d] for d in docs if d >= 20)
+
+
 def brute_disclosure(docs, rules):
     """Spans of terms by counting pairs in dictionaries."""
     near, texts, together, different = {}, defaultdict(int), defaultdict(set), defaultdict(set)
