@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from granary.llm import line_dedup, line_rules, mixing, neighbours, packing, pii, rule_ensemble, simhash, spans, toxicity
+from granary.llm import (
+    centroids,
+    line_dedup,
+    line_rules,
+    merkle,
+    mixing,
+    neighbours,
+    packing,
+    pii,
+    rule_ensemble,
+    simhash,
+    spans,
+    toxicity,
+    winnowing,
+)
 from granary.llm.batches import crc_fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +124,18 @@ def op10(spark, folder):
 @query("op5_offset_attribution")
 def op5(spark, folder):
     return spans.attributed_fields(read(spark, folder, "documents"), vocabulary(), ["lang", "source", "text"])
+
+
+@query("op11_scalar_table_clustering", centroids.SQL)
+def op11(spark, folder):
+    return centroids.with_inertia(*centroids.cluster(read(spark, folder, "embeddings")))
+
+
+@query("op12_merkle_manifest", merkle.SQL)
+def op12(spark, folder):
+    return merkle.audited(read(spark, folder, "documents"), merkle.tampered())
+
+
+@query("op13_winnowed_decontamination", winnowing.SQL)
+def op13(spark, folder):
+    return winnowing.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
