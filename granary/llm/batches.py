@@ -21,18 +21,18 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
         for batch in batches:
             for part in pieces(batch):
                 out = function(part.to_pydict())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[field.name], type=field.type) for field in arrow], schema=arrow
-                )
+                made = [pa.array(out.pop(field.name), type=field.type) for field in arrow]
+                del out, part  # Python lists do not wait while Spark takes the rows
+                yield pa.RecordBatch.from_arrays(made, schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 2 << 20
 
 
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about 16 MB, so that very long texts do not pile up as Python objects."""
+    """Slices of a batch of about 2 MB, so that texts do not pile up as Python objects."""
     rows = max(1, min(batch.num_rows, int(batch.num_rows * PIECE_BYTES / max(1, batch.nbytes))))
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import tiktoken
 from tokenizers import Tokenizer
@@ -32,13 +32,17 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        self.slow = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.fast = ordered_ranks(spec) and tiktoken.Encoding(
-            "ranks", pat_str=SPLIT, mergeable_ranks=ordered_ranks(spec), special_tokens=self.special
-        )
+        ranks = ordered_ranks(spec)
+        self.fast = ranks and tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=self.special)
+
+    @cached_property
+    def slow(self) -> Tokenizer:
+        """The general library's tokenizer, built when a text first needs it."""
+        return Tokenizer.from_file(self.path)
 
     def ids(self, text: str) -> list[int]:
         if self.fast and not (len(text) >= LONG_RUN and BLANKS.search(text)):
@@ -48,7 +52,9 @@ class Encoder:
         return self.slow.encode(text, add_special_tokens=False).ids
 
     def token_bytes(self, token: int) -> bytes:
-        """The bytes a token stands for; needs a vocabulary with ordered ranks."""
+        """The bytes a token stands for; a vocabulary without ordered ranks is an error."""
+        if not self.fast:
+            raise ValueError(f"{self.path}: ids do not follow the merges, so tokens have no plain bytes")
         return self.fast.decode_single_token_bytes(token)
 
 

@@ -72,8 +72,16 @@ def named(words: set[str]) -> set[str]:
 
 
 def features(text: str | None, known) -> set[str]:
-    """Those of the text's features that ``known`` holds."""
-    return {f for f in named(words_of(text)) if f in known}
+    """Those of the text's features that ``known`` holds; others are not made up on the way."""
+    found, text = set(), (text or "").lower()
+    for match in WORD.finditer(text):
+        word = match.group()
+        if word in known:
+            found.add(word)
+        for n in STEMS:
+            if len(word) > n and (stem := word[:n] + "-") in known:
+                found.add(stem)
+    return found
 
 
 def swap_table() -> dict[str, list[str]]:
