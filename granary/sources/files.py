@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from granary.operators import catalog, normalize
+from granary.session import settle
+from granary.sources import quoted
 
 # What a delimited file may look like.
 DELIMITERS = (",", ";", "\t", "|")
@@ -75,8 +77,8 @@ def open_delimited(spark: SparkSession, path: str, delimiter: str | None = None)
     """Delimited files as a table of stripped text.
 
     Short rows are filled with '', rows with more fields than the header (or the first row) are skipped and counted;
-    one empty field more is a delimiter at the end and no fault.  Line breaks inside quotes stay: files that have any are read whole, one task per file, others are split.
-    Headerless columns are numbered.
+    one empty field more is a delimiter at the end and no fault.  Line breaks inside quotes stay, and files that have any
+    are split among tasks like others.  Headerless columns are numbered.
     """
     encoding, open_quotes = whole_file_facts(spark, path)
     found, header = guess_format(sample_text(spark, path, encoding))
@@ -84,25 +86,24 @@ def open_delimited(spark: SparkSession, path: str, delimiter: str | None = None)
     charset = SPARK_CHARSETS[encoding]
     if charset == "windows-1251":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    reader = (
-        spark.read.option("sep", dialect.delimiter)
-        .option("header", header)
-        .option("encoding", charset)
-        .option("escape", '"')
-        .option("multiLine", open_quotes)
-    )
-    first = reader.option("inferSchema", False).csv(path).columns
+    options = {"sep": dialect.delimiter, "escape": '"', "mode": "PERMISSIVE", "nullValue": "\u0001", "emptyValue": ""}
+    whole = quoted.read_records(spark, path, dialect.delimiter, settle) if open_quotes else None
+    if whole is None:
+        reader = spark.read.options(**options).option("header", header).option("encoding", charset)
+        first = reader.option("inferSchema", False).csv(path).columns
+    else:
+        text = F.decode("record", charset)
+        head = whole.where("first").select(text.alias("head")).first()
+        first = next(csv.reader([head["head"]], delimiter=dialect.delimiter), []) if head else []
     names = [(c.lstrip("\ufeff").strip() if header else "") or f"col_{i}" for i, c in enumerate(first, start=1)]
     # one field more than there should be, so that a row with too many shows; what a short row lacks is null
     fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(len(names) + 1)]
-    raw = (
-        reader.schema(T.StructType(fields))
-        .option("mode", "PERMISSIVE")
-        .option("nullValue", "\u0001")
-        .option("emptyValue", "")
-        .option("columnPruning", False)
-        .csv(path)
-    )
+    schema = T.StructType(fields)
+    if whole is None:
+        raw = reader.schema(schema).option("columnPruning", False).csv(path)
+    else:
+        body = whole.where("octet_length(record) > 0" + (" and not first" if header else ""))
+        raw = body.select(F.from_csv(text, schema.simpleString()[len("struct<") : -1].replace(":", " "), options).alias("r")).select("r.*")
     extra = F.col(fields[-1].name)
     kept = raw.where(extra.isNull()).drop(fields[-1].name).toDF(*names)
     return Delimited(normalize.normalize_cells(kept), raw.agg(F.count(extra).alias("skipped")), dialect)
