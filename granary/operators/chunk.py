@@ -280,7 +280,8 @@ def column_summary(df: DataFrame, key: str, sheet: str, max_columns: int = 6, pr
 def cap_chunks(chunks: DataFrame, cap: int = MAX_TABLE_CHUNKS) -> DataFrame:
     """At most ``cap`` chunks per file: summaries first, then row groups at even steps from first to last.
 
-    Input: file_id, chunk_type, chunk_order (order of summaries), row_group_index (dense from zero).
+    Input: file_id, chunk_type, chunk_order (order of summaries), row_group_index (dense from zero).  ``left_out`` counts
+    the chunks of the file that the cap leaves out.
     """
     is_group = F.col("chunk_type") == "row_group"
     counts = chunks.groupBy("file_id").agg(
@@ -300,7 +301,11 @@ def cap_chunks(chunks: DataFrame, cap: int = MAX_TABLE_CHUNKS) -> DataFrame:
     over = marked.filter("_over").drop("_over")
     groups = over.filter(is_group).join(picks, ["file_id", "row_group_index"], "left_semi")
     others = first_per_group(over.filter(~is_group), ["file_id"], [F.col("chunk_order").asc()], cap)
-    return untouched.unionByName(groups.select(*untouched.columns)).unionByName(others)
+    kept = untouched.unionByName(groups.select(*untouched.columns)).unionByName(others)
+    left = F.when(F.col("_all") <= cap, 0).otherwise(
+        F.col("_all") - F.least("_others", F.lit(cap)) - F.coalesce(F.size(F.array_distinct(steps)), F.lit(0))
+    )
+    return kept.join(counts.select("file_id", left.cast("long").alias("left_out")), "file_id")
 
 
 def document_summary(parts: DataFrame, file: str, order: str, text: str, n: int = 4, chars: int = 420) -> DataFrame:

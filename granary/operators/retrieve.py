@@ -73,9 +73,9 @@ def escalation(plans: DataFrame) -> DataFrame:
 
 
 def full_document(chunks: DataFrame, scope: Column, cap: int = FULL_CHUNKS) -> DataFrame:
-    """All chunks of the scope in file and chunk order up to the cap, and whether the cap was reached."""
+    """All chunks of the scope in file and chunk order up to the cap, whether it was reached and how many it left out."""
     mine = chunks.filter(scope)
-    reached = mine.limit(cap).agg((F.count("*") >= cap).alias("cap_reached"))
+    reached = mine.agg((F.count("*") >= cap).alias("cap_reached"), F.greatest(F.count("*") - cap, F.lit(0)).alias("left_out"))
     return mine.orderBy("file_id", "chunk_index").limit(cap).crossJoin(F.broadcast(reached))  # one row
 
 

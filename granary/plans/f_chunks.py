@@ -191,11 +191,12 @@ def _(t):
     f"""WITH g AS (SELECT l_suppkey AS file_id, l_orderkey // 10 AS o FROM lineitem GROUP BY 1, 2),
         r AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY o) - 1 AS row_group_index,
                 count(*) OVER (PARTITION BY file_id) AS n FROM g),
-        picks AS (SELECT DISTINCT file_id, CAST(round_even((n - 1) / 61 * i, 0) AS BIGINT) AS row_group_index
-                  FROM (SELECT DISTINCT file_id, n FROM r WHERE n + 2 > 64), range(62) AS s(i))
-        SELECT file_id, 'row_group' AS chunk_type, row_group_index FROM r WHERE n + 2 <= 64
-        UNION ALL SELECT file_id, 'row_group', row_group_index FROM picks
-        UNION ALL SELECT DISTINCT file_id, unnest(['file_summary', 'sheet_summary']), NULL FROM r""",
+        picks AS (SELECT DISTINCT file_id, n, CAST(round_even((n - 1) / 317 * i, 0) AS BIGINT) AS row_group_index
+                  FROM (SELECT DISTINCT file_id, n FROM r WHERE n + 2 > 320), range(318) AS s(i)),
+        kept AS (SELECT file_id, n, 'row_group' AS chunk_type, row_group_index FROM r WHERE n + 2 <= 320
+          UNION ALL SELECT file_id, n, 'row_group', row_group_index FROM picks
+          UNION ALL SELECT DISTINCT file_id, n, unnest(['file_summary', 'sheet_summary']), NULL FROM r)
+        SELECT file_id, chunk_type, row_group_index, n + 2 - count(*) OVER (PARTITION BY file_id) AS left_out FROM kept""",
 )
 def _(t):
     groups = t.lineitem.select(F.col("l_suppkey").alias("file_id"), F.floor(F.col("l_orderkey") / 10).alias("o")).distinct()
@@ -205,7 +206,7 @@ def _(t):
     summaries = groups.select("file_id").distinct().select(
         "file_id", F.posexplode(F.array(F.lit("file_summary"), F.lit("sheet_summary"))).alias("chunk_order", "chunk_type")
     ).withColumn("row_group_index", F.lit(None).cast("long"))
-    return chunk.cap_chunks(placed.unionByName(summaries), 64).select("file_id", "chunk_type", "row_group_index")
+    return chunk.cap_chunks(placed.unionByName(summaries)).select("file_id", "chunk_type", "row_group_index", "left_out")
 
 
 @query(
@@ -238,16 +239,13 @@ def _(t):
 
 @query(
     "F17_near_empty_extraction",
-    """WITH p AS (SELECT doc_id % 50 AS file, length(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN text ELSE substr(text, 1, 3) END, '\\s+', '', 'g')) AS size
-         FROM documents WHERE doc_id % 50 < 40 OR doc_id % 3 > 0)
+    """WITH p AS (SELECT doc_id AS file, length(regexp_replace(unnest(string_split(text, chr(10))), '\\s+', '', 'g')) AS size FROM documents)
        SELECT file, count(*) FILTER (WHERE size > 0) AS pages, max(size) < 24 AND sum(size) < greatest(24, count(*) FILTER (WHERE size > 0) * 16)
          AS near_empty FROM p GROUP BY 1""",
 )
 def _(t):
-    # Pages of scanned files: most carry only a few characters.
-    short = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.substring("text", 1, 3))
-    pages = t.documents.select((F.col("doc_id") % 50).alias("file"), "doc_id", short.alias("text"))
-    return chunk.near_empty(pages.filter("file < 40 OR doc_id % 3 > 0"), "file", "text")
+    pages = t.documents.select(F.col("doc_id").alias("file"), F.explode(F.split("text", "\n", -1)).alias("text"))
+    return chunk.near_empty(pages, "file", "text")
 
 
 @query(

@@ -260,11 +260,13 @@ def _(t):
 
 @query(
     "G13_full_document_retrieval",
-    f"""WITH {CHUNKS_SQL} SELECT file_id, chunk_index, (SELECT count(*) FROM chunks WHERE lang <> 'en') >= 300 AS cap_reached FROM chunks
-        WHERE lang <> 'en' ORDER BY file_id, chunk_index LIMIT 300""",
+    f"""WITH {CHUNKS_SQL}, mine AS (SELECT * FROM chunks WHERE lang <> 'en'), n AS (SELECT count(*) AS n FROM mine)
+        SELECT file_id, chunk_index, n >= 800 AS cap_reached, greatest(n - 800, 0) AS left_out FROM mine, n
+        ORDER BY file_id, chunk_index LIMIT 800""",
 )
 def _(t):
-    return retrieve.full_document(chunks_of(t), F.col("lang") != "en", 300).select("file_id", "chunk_index", "cap_reached")
+    found = retrieve.full_document(chunks_of(t), F.col("lang") != "en")
+    return found.select("file_id", "chunk_index", "cap_reached", "left_out")
 
 
 def requests_of(t: Tables) -> DataFrame:

@@ -55,23 +55,25 @@ def _(t):
 @query(
     "K03_citation_faithfulness",
     r"""WITH c AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-        j AS (SELECT *, lower(trim(substr(text, 1, 30))) AS claim, CASE WHEN doc_id % 3 = 0 THEN lower(array_to_string(lines[1:2], ' '))
-          WHEN doc_id % 3 = 1 THEN lower(coalesce(lines[2], '')) ELSE lower(array_to_string(lines, ' ')) END AS sources FROM c)
-        SELECT doc_id AS case_id, 0 AS claim_id, claim <> '' AND CASE WHEN doc_id % 2 = 0 THEN contains(trim(sources), lower(trim(substr(text, 5, 12))))
+        j AS (SELECT *, lower(trim(lines[len(lines)])) AS claim, CASE WHEN doc_id % 3 = 0 THEN lower(array_to_string(lines[1:2], ' '))
+          WHEN doc_id % 3 = 1 THEN lower(lines[len(lines)]) ELSE lower(array_to_string(lines, ' ')) END AS sources FROM c)
+        SELECT doc_id AS case_id, 0 AS claim_id, claim <> '' AND CASE WHEN doc_id % 2 = 0 THEN contains(trim(sources), lower(trim(lines[1])))
           ELSE contains(trim(sources), claim) END AS passed FROM j""",
 )
 def _(t):
+    """A claim is a document's last line, its evidence the first, its passages two lines, the last or all."""
     docs = t.documents.withColumn("lines", F.split("text", "\n", -1))
     passages = docs.select(F.col("doc_id").alias("case_id"), F.posexplode("lines").alias("passage_id", "passage"))
     n = F.col("doc_id")
     none = F.array().cast("array<int>")
+    last = F.size("lines") - 1
     claims = docs.select(
         F.col("doc_id").alias("case_id"),
         F.lit(0).alias("claim_id"),
-        F.substring("text", 1, 30).alias("claim"),
+        F.element_at("lines", -1).alias("claim"),
         F.col("text").alias("response"),
-        F.when(n % 3 == 0, F.array(F.lit(0), F.lit(1))).when(n % 3 == 1, F.array(F.lit(1))).otherwise(none).alias("citations"),
-        F.when(n % 2 == 0, F.array(F.substring("text", 5, 12))).otherwise(F.array().cast("array<string>")).alias("evidence"),
+        F.when(n % 3 == 0, F.array(F.lit(0), F.lit(1))).when(n % 3 == 1, F.array(last)).otherwise(none).alias("citations"),
+        F.when(n % 2 == 0, F.array(F.get("lines", F.lit(0)))).otherwise(F.array().cast("array<string>")).alias("evidence"),
     )
     return evaluate.citation_support(claims, passages)
 

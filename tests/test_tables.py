@@ -139,3 +139,9 @@ def test_wide_table_keeps_the_fullest_columns(spark):
 
 def test_shared_folder_follows_the_session(spark):
     assert shared_folder(spark, "x") != shared_folder(spark, "x")
+
+
+def test_near_empty_files(spark):
+    pages = [("scan", "p. 1"), ("scan", "  "), ("scan", "p. 3"), ("blank", " "), ("text", "x" * 24), ("many", "y" * 23), ("many", "z" * 23)]
+    got = {r["file"]: (r["pages"], r["near_empty"]) for r in chunk.near_empty(spark.createDataFrame(pages, "file string, text string"), "file", "text").collect()}
+    assert got == {"scan": (2, True), "blank": (0, True), "text": (1, False), "many": (2, False)}
