@@ -7,47 +7,53 @@ from collections import defaultdict
 
 import xxhash
 
-PRIME, BASE, ONE_IN, MIN_WORDS = 2147483647, 31, 8, 40
-
-
-def line_hash(line):
-    return int(hashlib.md5(line.encode()).hexdigest()[:15], 16)
+MIN_WORDS = 40
 
 
 def words_in(line):
     return 0 if not line.strip(" ") else line.strip(" ").count(" ") + 1
 
 
-def dedup_lines(docs):
-    """Texts by id after the removal of passages that stand elsewhere already; ``docs``: id to text, None allowed."""
+def least_stretches(lines):
+    """``(first, last)`` of the least stretches of MIN_WORDS words from each line that is not blank, on and back, by line number."""
+    full = [i for i, x in enumerate(lines) if words_in(x)]
+    words = [words_in(lines[i]) for i in full]
+    out = set()
+    for start in range(len(full)):
+        for step in (1, -1):
+            at, total = start, words[start]
+            while total < MIN_WORDS and 0 <= at + step < len(full):
+                at += step
+                total += words[at]
+            if total >= MIN_WORDS:
+                out.add((full[min(start, at)], full[max(start, at)]))
+    return out
+
+
+def text_of(lines, first, last):
+    return tuple(x for x in lines[first : last + 1] if words_in(x))
+
+
+def repeated_lines(docs):
+    """Line numbers by id that stand in a stretch of MIN_WORDS words whose first copy is elsewhere and does not overlap it."""
     lines = {d: t.split("\n") for d, t in docs.items() if t is not None}
-    seen = defaultdict(int)
-    for ls in lines.values():
-        for pair in zip(ls, ls[1:]):
-            seen[pair] += 1
-    passages = defaultdict(list)
+    places = defaultdict(list)
     for d, ls in lines.items():
-        start = 0
-        for i in range(1, len(ls) + 1):
-            tied = i < len(ls) and seen[ls[i - 1], ls[i]] > 1 and words_in(ls[i - 1]) + words_in(ls[i]) > 0
-            if tied:
-                continue
-            if sum(map(words_in, ls[start:i])) >= MIN_WORDS:
-                at = start
-                for j in range(start + 1, i + 1):
-                    cut = j == i
-                    if not cut:
-                        rolled = (line_hash(ls[j - 1]) % PRIME * BASE + line_hash(ls[j]) % PRIME) % PRIME
-                        cut = rolled % ONE_IN == 0 or words_in(ls[j - 1]) >= MIN_WORDS or words_in(ls[j]) >= MIN_WORDS
-                    if cut:
-                        passages["\n".join(ls[at:j])].append((d, at, j))
-                        at = j
-            start = i
+        for first, last in least_stretches(ls):
+            places[text_of(ls, first, last)].append((d, first, last))
     gone = defaultdict(set)
-    for places in passages.values():
-        for d, a, b in sorted(places)[1:]:
-            gone[d] |= set(range(a, b))
-    return {d: None if t is None else "\n".join(x for i, x in enumerate(lines[d]) if i not in gone[d]) for d, t in docs.items()}
+    for copies in places.values():
+        origin, *others = sorted(copies)
+        for d, first, last in others:
+            if d != origin[0] or first > origin[2]:
+                gone[d] |= set(range(first, last + 1))
+    return gone
+
+
+def dedup_lines(docs):
+    """Texts by id after the removal of passages that stand elsewhere already; ``docs``: id to text, None allowed."""
+    gone = repeated_lines(docs)
+    return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in docs.items()}
 
 
 def simhash(text, width=3):

@@ -5,6 +5,7 @@ import random
 import brute
 
 from granary.llm import line_dedup
+from granary.llm.batches import read
 
 
 def sentence(n, random_):
@@ -50,6 +51,40 @@ def test_passages_go_wherever_they_stand(documents):
         assert got[d]["text"].count("\n") == 4
 
 
+def test_neighbours_that_repeat_elsewhere_do_not_hide_a_passage(documents):
+    r = random.Random(4)
+    passage = [sentence(15, r) for _ in range(4)]
+    before, after = [sentence(7, r) for _ in range(3)], [sentence(7, r) for _ in range(3)]
+    docs = [(0, [before[0], *passage, after[0]]), (1, [before[1], "", *passage, after[1]]), (2, [before[0], "x"]), (3, ["y", after[1]])]
+    docs += [(4, [before[1], *passage[:2], "", *passage[2:], after[2]]), (5, [before[2], passage[0], "z"]), (6, [passage[3], after[0]])]
+    texts = [(d, "\n".join(t)) for d, t in docs]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.remove_repeated(documents(texts)).select("doc_id", "text").collect()}
+    assert got[0] == texts[0][1] and got[1] == f"{before[1]}\n\n{after[1]}"
+    assert got[4] == after[2]  # blank lines aside, the line before the passage stands before it in document 1 as well
+    assert all(got[d] == texts[d][1] for d in (2, 3, 5, 6))
+
+
+def test_periodic_document_keeps_its_first_passage(documents):
+    lines = [f"{'lorem ' * 8}{i}" for i in range(3)]
+    text = "\n".join(lines * 20)
+    got = line_dedup.remove_repeated(documents([(1, text)])).first()["text"].split("\n")
+    assert got[:5] == (lines * 2)[:5] and len(got) < 12
+
+
+def test_nothing_of_forty_words_stands_twice(spark):
+    docs = {r["doc_id"]: r["text"] for r in read(spark, "/root/testdata/sf0.01", "documents").collect()}
+    frame = line_dedup.remove_repeated(read(spark, "/root/testdata/sf0.01", "documents"))
+    got = {r["doc_id"]: r["text"] for r in frame.collect()}
+    gone = brute.repeated_lines(docs)
+    assert sum(map(len, gone.values())) > 100
+    for d, text in docs.items():  # only lines of passages that stand elsewhere go
+        kept = iter(text.split("\n"))
+        left = got[d].split("\n") if got[d] else []
+        assert all(line in kept for line in left)
+        assert len(text.split("\n")) - len(left) <= len(gone[d]) or not left
+    assert not any(brute.repeated_lines(got).values())
+
+
 def test_short_or_lone_lines_stay(documents):
     docs = [(d, f"own line number {d}\nshort shared line\nanother own line {d}") for d in range(20)]
     got = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeated(documents(docs)).collect()}
