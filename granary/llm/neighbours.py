@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass
 
@@ -12,24 +13,34 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from granary.llm.batches import map_rows
 from granary.session import settle
 
-#: Rows of an index block, the unit that one task compares with the queries that visit it.
-BLOCK_ROWS = 4096
-#: Rows and queries the scale is fitted on, the smallest by hash of their ids.
+#: Rows of an index block and visits of a slice: the unit of work is a block that is compared with a slice of the visits.
+BLOCK_ROWS = 1024
+SLICE_VISITS = 2048
+#: Rows and queries the index is fitted on, the smallest by hash of their ids; fewer queries weigh the shapes tried.
 SAMPLE_ROWS = 4000
 SAMPLE_QUERIES = 200
+TRIAL_QUERIES = 16
+#: Shapes tried: tables, hashes of a table and widths in units of the reach; a shape that asks a trial query for more
+#: buckets than ``TRIAL_PROBES`` is not taken.
+TABLES = (1, 2, 3)
+HASHES = (2, 3, 4, 6, 8, 12)
+WIDTHS = (0.75, 1.5, 3.0, 6.0)
+TRIAL_PROBES = 1500
+#: Chance that a neighbour at the reach lies in a visited bucket of some table.
+SUCCESS = 0.97
 
 
 @dataclass(frozen=True)
 class Hashing:
     """Tables of p-stable hashes: ``floor((a . x + b) / width)`` for ``hashes`` Gaussian directions a per table."""
 
-    tables: int = 2
+    tables: int = 1
     hashes: int = 3
-    #: Width of a cell, and the distance within which neighbours are sought, both found by :func:`fitted`.
+    #: Width of a cell, and the distance within which neighbours are sought; :func:`fitted` finds the whole shape.
     width: float = 1.5
     reach: float = 1.0
     #: Chance, in one table, that a neighbour at ``reach`` lies in a visited bucket.
-    success: float = 0.8
+    success: float = SUCCESS
     seed: int = 11
 
     def directions(self, table: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,30 +65,60 @@ def usable(rows: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     )
 
 
-def fitted(rows: DataFrame, queries: DataFrame, k: int, shape: Hashing) -> Hashing:
-    """Cell width and reach from bounded samples: the usual distance of a k-th neighbour and the spread of the rows.
+def fitted(rows: DataFrame, queries: DataFrame, k: int, seed: int = Hashing.seed) -> Hashing:
+    """The shape of the index, from bounded samples: the one of those tried that compares queries with fewest rows.
 
-    Among a sample of the rows neighbours lie farther off than among all, so the reach errs to the wide side.
+    The reach is a usual distance of a k-th neighbour; among a sample of the rows neighbours lie farther off than
+    among all, so it errs to the wide side.  Where neighbours are much nearer than other rows, many narrow hashes
+    exclude most of the table; where all rows are about equally far, no shape excludes much, and one table with few
+    probes is the cheapest.
     """
 
     def sample(df: DataFrame, count: int) -> list:
         chosen = df.withColumn("_h", F.xxhash64("vec_id")).orderBy("_h", "vec_id").limit(count)
         return [(r["vec_id"], r["size"], np.array(r["x"])) for r in chosen.collect()]
 
-    near, spread = [], []
+    near, trials = [], []
     base = sample(rows, SAMPLE_ROWS)
-    by_size = {s: (np.array([i for i, t, _ in base if t == s]), np.array([x for _, t, x in base if t == s])) for s in {b[1] for b in base}}
+    sized = {s: (np.array([i for i, t, _ in base if t == s]), np.array([x for _, t, x in base if t == s])) for s in {b[1] for b in base}}
     for own, size, q in sample(queries, SAMPLE_QUERIES):
-        if size in by_size:
-            ids, xs = by_size[size]
+        if size in sized:
+            ids, xs = sized[size]
             away = np.sort(np.sqrt(((xs - q) ** 2).sum(axis=1))[ids != own])
             if len(away):
                 near.append(away[min(k, len(away)) - 1])
-                spread.append(np.median(away))
+                trials.append((size, q))
     if not near or not max(near) > 0:
-        return shape
+        return Hashing(seed=seed)
     reach = float(np.quantile(near, 0.75)) or float(max(near))
-    return Hashing(shape.tables, shape.hashes, 1.05 * float(np.median(spread)) or reach, reach, shape.success, shape.seed)
+    best, least = None, np.inf
+    for tables in TABLES:
+        for hashes in HASHES:
+            for width in WIDTHS:
+                shape = Hashing(tables, hashes, width * reach, reach, 1 - (1 - SUCCESS) ** (1 / tables), seed)
+                cost = compared(shape, sized, trials[:TRIAL_QUERIES], least)
+                if cost < least:
+                    best, least = shape, cost
+    return best or Hashing(TABLES[0], HASHES[0], WIDTHS[-1] * reach, reach, SUCCESS, seed)
+
+
+def compared(shape: Hashing, sized: dict, trials: list, limit: float) -> float:
+    """Share of the sampled rows that a trial query meets, in all tables together; infinite if beyond ``limit`` or too many probes."""
+    met = 0.0
+    for size in {s for s, _ in trials}:
+        _, xs = sized[size]
+        for table in range(shape.tables):
+            cells, counts = np.unique(shape.cells(shape.projected(xs, table)), axis=0, return_counts=True)
+            held = {c.tobytes(): n for c, n in zip(cells, counts)}
+            for s, q in trials:
+                if s == size:
+                    visited = probed(shape, shape.projected(q[None, :], table)[0], TRIAL_PROBES)
+                    if visited is None:
+                        return np.inf
+                    met += sum(held.get(c.tobytes(), 0) for c in visited) / len(xs) / len(trials)
+                    if met >= limit:
+                        return np.inf
+    return met
 
 
 def bucket(size: int, table: int, cells: np.ndarray) -> list[str]:
@@ -121,20 +162,35 @@ def chances(shape: Hashing, projected: np.ndarray, cells: np.ndarray) -> np.ndar
     return (NORMAL(high) - NORMAL(low)).astype(np.float64)
 
 
-def probed(shape: Hashing, projected: np.ndarray) -> np.ndarray:
+def probed(shape: Hashing, projected: np.ndarray, limit: int | None = None) -> np.ndarray | None:
     """Cells to visit around a query, likeliest first, until they hold a neighbour with the chance ``success``.
 
     Per hash the cells within four times the reach are weighed, so what is enumerated does not depend on the data.
+    Each step visits the likeliest cell left and puts up the cells that differ from it by the next choice of one hash.
+    None if more than ``limit`` would be visited.
     """
-    chance, cells = np.ones(1), np.zeros((1, 0), dtype=np.int64)
+    axes, odds = [], []
     for at in projected:
         low, high = np.floor((at + np.array([-4, 4]) * shape.reach) / shape.width).astype(np.int64)
         axis = np.arange(low, high + 1)
-        chance = np.outer(chance, chances(shape, at, axis)).ravel()
-        cells = np.column_stack([np.repeat(cells, len(axis), axis=0), np.tile(axis, len(cells))])
-    order = np.argsort(-chance, kind="stable")
-    covered = np.cumsum(chance[order])
-    return cells[order[: int(np.searchsorted(covered, min(shape.success, covered[-1] * 0.999))) + 1]]
+        chance = chances(shape, at, axis)
+        order = np.argsort(-chance, kind="stable")
+        axes.append(axis[order].tolist())
+        odds.append(np.maximum(chance[order], 1e-300).tolist())
+    goal = min(shape.success, math.prod(sum(o) for o in odds) * 0.999)
+    first = (0,) * len(axes)
+    waiting, covered, out = [(-math.prod(o[0] for o in odds), first, 0)], 0.0, []
+    while waiting and covered < goal:
+        if limit is not None and len(out) >= limit:
+            return None
+        chance, choice, last = heapq.heappop(waiting)
+        covered -= chance
+        out.append([axis[c] for axis, c in zip(axes, choice)])
+        for j in range(last, len(axes)):  # only from the last changed hash on, so no cell comes up twice
+            if choice[j] + 1 < len(axes[j]):
+                after = chance / odds[j][choice[j]] * odds[j][choice[j] + 1]
+                heapq.heappush(waiting, (after, (*choice[:j], choice[j] + 1, *choice[j + 1 :]), j))
+    return np.array(out, dtype=np.int64)
 
 
 def visits(queries: DataFrame, shape: Hashing) -> DataFrame:
@@ -187,15 +243,20 @@ def nearest_in_block(k: int):
 
 
 def dealt(index: DataFrame, counts: DataFrame, asking: DataFrame, k: int) -> DataFrame:
-    """Meet visits and index blocks: a bucket is dealt over blocks of bounded rows, its visits go to each of them."""
-    blocks = counts.select("bucket", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))
-    left = index.join(blocks, "bucket").select(
-        "bucket", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "x"
-    )
-    right = asking.join(blocks, "bucket").select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "q"
-    )
-    return left.groupBy("bucket", "block").cogroup(right.groupBy("bucket", "block")).applyInPandas(nearest_in_block(k), HITS)
+    """Meet visits and index: a bucket's rows are dealt over blocks, its visits over slices, and each block meets each slice."""
+    slices = asking.groupBy("bucket").agg(F.ceil(F.count("*") / SLICE_VISITS).cast("int").alias("slices"))
+    parts = settle(counts.select("bucket", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")).join(slices, "bucket"))
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def one(key: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+
+    left = index.join(parts, "bucket").select("bucket", one("vec_id", "blocks").alias("block"), every("slices").alias("slice"), "vec_id", "x")
+    right = asking.join(parts, "bucket").select("bucket", every("blocks").alias("block"), one("query_id", "slices").alias("slice"), "query_id", "q")
+    place = ("bucket", "block", "slice")
+    return left.groupBy(*place).cogroup(right.groupBy(*place)).applyInPandas(nearest_in_block(k), HITS)
 
 
 def best(hits: DataFrame, k: int) -> DataFrame:
@@ -213,7 +274,7 @@ def search(
     rows: DataFrame,
     is_query: Column,
     k: int = 10,
-    shape: Hashing = Hashing(),
+    shape: Hashing | None = None,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
 ) -> DataFrame:
@@ -223,14 +284,15 @@ def search(
     zero or hold a null or non-finite part take no part, nor do rows without an id; vectors meet only those of their
     own dimension.  Rows that repeat an id and vector count once; a row never meets its own id.  A query of which the
     visited buckets gave fewer than k rows is compared with all rows, in blocks, so it gets all there are if they
-    are fewer.  An empty table gives an empty table; other columns are ignored.
+    are fewer.  An empty table gives an empty table; other columns are ignored.  ``shape`` is fitted to samples if
+    it is not given.
     """
     base = settle(usable(rows, id_column, vector_column))
     queries = base.where(is_query).groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("size", F.size("x"))
-    shape = fitted(base, queries, k, shape)
+    shape = shape or fitted(base, queries, k)
     index = settle(indexed(base, shape))
     counts = settle(index.groupBy("bucket", "table").agg(F.count("*").alias("rows")))
-    found = settle(best(dealt(index, counts, visits(queries, shape), k), k))
+    found = settle(best(dealt(index, counts, settle(visits(queries, shape)), k), k))
 
     full = found.groupBy("query_id").count().where(F.col("count") >= k)
     short = settle(queries.join(full, queries["vec_id"] == full["query_id"], "left_anti"))

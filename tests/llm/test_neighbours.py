@@ -42,6 +42,32 @@ def test_recall_and_scores(spark):
             assert abs(exact - score) < 1e-12
 
 
+def test_index_leaves_most_rows_out_where_neighbours_are_near(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SLICE_VISITS", 8)
+    random = np.random.default_rng(8)
+    centres = 4 * random.standard_normal((150, 24))
+    rows = [(i, centres[i % 150] + 0.3 * random.standard_normal(24)) for i in range(9000)]
+    base = neighbours.usable(table(spark, rows), "vec_id", "embedding").cache()
+    queries = base.where("vec_id % 100 = 0")
+    shape = neighbours.fitted(base, queries, 10)
+    counts = neighbours.indexed(base, shape).groupBy("bucket", "table").count()
+    met = neighbours.visits(queries, shape).join(counts, "bucket").agg(F.sum("count")).first()[0]
+    assert met / 90 <= 0.1 * len(rows)
+    got = neighbours.search(table(spark, rows), F.col("vec_id") % 100 == 0, k=10).collect()
+    want = brute(rows, [r for r in rows if r[0] % 100 == 0], 10)
+    assert len(got) == 900
+    assert sum(r["vec_id"] in {i for _, i in want[r["query_id"]]} for r in got) >= 0.9 * 900
+
+
+def test_cells_are_visited_in_order_of_success():
+    shape = neighbours.Hashing(1, 3, 1.0, 1.0, 0.9)
+    place = np.array([0.2, 3.9, -1.5])
+    cells = neighbours.probed(shape, place)
+    chance = [np.prod([neighbours.chances(shape, p, np.array([c]))[0] for p, c in zip(place, cell)]) for cell in cells]
+    assert chance == sorted(chance, reverse=True) and len({tuple(c) for c in cells}) == len(cells)
+    assert sum(chance) >= 0.9 > sum(chance[:-1])
+
+
 def test_few_and_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1, 0]), (1, [0, 1]), (2, [100, 100]), (2, [100, 100]), (100, [1, 1]), (3, None), (4, []), (5, [0, 0])]
