@@ -95,8 +95,8 @@ def budgets(totals: DataFrame, exponent: float) -> DataFrame:
 
 
 def permuted(docs: DataFrame, seed: int) -> DataFrame:
-    """Each document's place in the permutation of an epoch: a hash of seed, epoch and id, cut into blocks."""
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    """Each document's place in the permutation of an epoch: a hash of seed, epoch and ``name``, cut into blocks."""
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("name")))
     return docs.withColumn("_order", order).withColumn("block", F.substring("_order", 1, BLOCK_DIGITS))
 
 
@@ -106,7 +106,7 @@ def last_blocks(counted: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     At most 16 ** 3 rows of a source meet in one window, whatever its size.
     """
     part = plan.where("rest > 0").select("source", F.col("full").alias("epoch"), "rest")
-    light = permuted(counted.where("n_tokens > 0").select("source", "doc_id", "n_tokens").join(part, "source"), seed)
+    light = permuted(counted.where("n_tokens > 0").select("source", "name", "n_tokens").join(part, "source"), seed)
     ahead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = light.groupBy("source", "rest", "block").agg(F.sum("n_tokens").alias("size"))
     sums = sizes.withColumn("before", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
@@ -124,17 +124,20 @@ def mix(
 
     A source's budget is spent on whole passes (epochs 0, 1, ...) and one last pass in part, each a new permutation of
     its documents in 16 ** 3 blocks of hashed order.  Of the last pass, blocks are taken whole while they fit, and
-    of the block that does not fit the documents, in order, whose running sum of tokens does.  Only that block,
-    a four-thousandth of the source, is ordered in one task.
+    of the block that does not fit the documents, in order, whose running sum of tokens does.  That block is ordered in
+    one task; it is a four-thousandth of the source unless rows share an id.  The rows come
+    placed: range-partitioned and sorted by epoch, block and order, so that passes follow each other over all sources
+    and the copies of a document lie a pass apart.
 
     A null source is a source of its own; documents without tokens, and so sources without any, are taken once (epoch
-    0); null ids and texts are allowed; repeated rows are taken as often as they come.  Other columns are passed on.
-    An empty table gives an empty table.
+    0); null texts are allowed, rows without an id are ordered by their text; repeated rows are taken as often as they
+    come.  Other columns are passed on.  An empty table gives an empty table.
     """
     names = docs.columns
     counted = docs.select(
         F.struct(*names).alias("_row"),
-        F.col("doc_id"),
+        # what the permutation is drawn by: rows without an id must not all fall in one block
+        F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.md5(F.coalesce("text", F.lit("")).cast("binary")))).alias("name"),
         F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source").cast("string"))).alias("source"),
         (text_tokens() if tokens is None else tokens).alias("n_tokens"),
     )
@@ -151,17 +154,20 @@ def mix(
     )
     taken = permuted(taken, seed)
     last = (F.col("n_tokens") > 0) & (F.col("epoch") == F.col("full"))
-    out = [F.col("_row"), F.col("n_tokens"), F.col("weight"), F.col("epoch"), F.col("block")]
+    out = [F.col("_row"), F.col("n_tokens"), F.col("weight"), F.col("epoch"), F.col("block"), F.col("_order")]
     whole = taken.where(~F.coalesce(last, F.lit(False)) | (F.col("block") < F.col("cut_block"))).select(*out)
-    order = Window.partitionBy("source").orderBy("_order", "doc_id", "n_tokens", F.xxhash64("_row")).rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source").orderBy("_order", "name", "n_tokens", F.xxhash64("_row")).rowsBetween(Window.unboundedPreceding, 0)
     some = taken.where(last & (F.col("block") == F.col("cut_block"))).withColumn("_sum", F.sum("n_tokens").over(order))
     every = whole.unionByName(some.where("before + _sum <= rest").select(*out))
+    place = ("epoch", "block", "_order")
+    every = every.repartitionByRange(*place).sortWithinPartitions(*place)
     return every.select("_row.*", *[F.col(c).alias(c) for c in ("n_tokens", "weight", "epoch", "block") if c not in names])
 
 
 SQL = f"""
 WITH RECURSIVE counted AS (
-  SELECT doc_id, source, CAST(ceil(coalesce(strlen(text), 0) / 4.0) AS BIGINT) AS n_tokens FROM documents
+  SELECT doc_id, source, CAST(ceil(coalesce(strlen(text), 0) / 4.0) AS BIGINT) AS n_tokens,
+         coalesce(CAST(doc_id AS VARCHAR), 'null ' || md5(coalesce(text, ''))) AS name FROM documents
 ), totals AS (
   SELECT source, sum(n_tokens)::BIGINT AS total FROM counted GROUP BY source HAVING sum(n_tokens) > 0
 ), ends AS (
@@ -184,9 +190,9 @@ WITH RECURSIVE counted AS (
   SELECT c.*, p.weight, p.whole, p.rest, unnest(CASE WHEN n_tokens = 0 OR p.source IS NULL THEN [0] ELSE range(0, whole + 1) END) AS epoch
   FROM counted c LEFT JOIN passes p ON c.source IS NOT DISTINCT FROM p.source
 ), ordered AS (
-  SELECT *, md5(concat_ws('|', '{SEED}', CAST(epoch AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS place FROM taken
+  SELECT *, md5(concat_ws('|', '{SEED}', CAST(epoch AS VARCHAR), name)) AS place FROM taken
 ), summed AS (
-  SELECT *, sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) AS running FROM ordered
+  SELECT *, sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY place, name ROWS UNBOUNDED PRECEDING) AS running FROM ordered
 )
 SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, CAST(epoch AS BIGINT) AS epoch, substr(place, 1, {BLOCK_DIGITS}) AS block
 FROM summed WHERE n_tokens = 0 OR whole IS NULL OR epoch < whole OR running <= rest

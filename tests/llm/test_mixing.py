@@ -50,3 +50,21 @@ def test_odd_rows(odd, none):
     assert mixing.mix(none).count() == 0
     blank = odd.where("doc_id in (1, 2)")
     assert sorted(r["doc_id"] for r in mixing.mix(blank).collect()) == [1, 2]
+
+
+def test_rows_are_placed_by_the_permutation(documents):
+    docs = [(d, "x" * 40, "big") for d in range(900)] + [(1000 + d, "y" * 40, "small") for d in range(100)]
+    rows = mixing.mix(documents(docs), 4.0).select("doc_id", "epoch", "block", F.monotonically_increasing_id().alias("at")).collect()
+    rows.sort(key=lambda r: r["at"])
+    places = [(r["epoch"], r["block"]) for r in rows]
+    assert places == sorted(places)
+    ids = [r["doc_id"] for r in rows]
+    assert not any(a == b for a, b in zip(ids, ids[1:])) and ids[:50] != sorted(ids[:50])
+    first = [r["doc_id"] < 1000 for r in rows if r["epoch"] == 0]
+    assert 0.8 < sum(first[:250]) / 250 < 1  # sources lie mixed
+
+
+def test_rows_without_an_id_spread_over_blocks(documents):
+    docs = [(None, f"text {i} " + "x" * 40, "a") for i in range(600)] + [(i, "y" * 48, "a") for i in range(1200)] + [(5000, "z" * 9000, "b")]
+    blocks = [r["block"] for r in mixing.mix(documents(docs)).where("doc_id is null").collect()]
+    assert len(blocks) >= 600 and max(map(blocks.count, set(blocks))) < 10
