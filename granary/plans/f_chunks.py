@@ -10,7 +10,7 @@ from granary.plans.a_sources import CATALOG_SQL, catalog_of
 from granary.plans.registry import Tables, query
 from granary.plans.shapes import SQL_KIND, TABLE_COLUMNS, sql_placed, sql_plain
 from granary.session import shared_folder
-from granary.sources import artifacts
+from granary.sources import artifacts, stores
 
 SIZE, OVERLAP = 2_000, 400
 STEP = SIZE - OVERLAP
@@ -297,6 +297,53 @@ def _(t):
     return t.embeddings.groupBy(name.alias("collection")).agg(F.count("*").alias("vectors"))
 
 
+def vector_store(t: Tables) -> stores.Store:
+    """The embeddings as stored collections: one per label, as if each came from a model of its own."""
+    rows = t.embeddings.select(
+        "vec_id", "embedding", F.size("embedding").alias("dim"), F.lit("local").alias("embedding_mode"),
+        F.concat(F.lit("m"), "label").alias("embedding_model"), F.lit(1).alias("version"),
+    )
+    return stores.create(rows, shared_folder(t.spark, "vectors"), "vec_id", ("version",), stores.VECTOR_PARTS, 4)
+
+
+@query(
+    "F21_collection_search",
+    """SELECT item_id, vec_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, vec_id) AS rank FROM (
+         SELECT b.item_id, e.vec_id, round(pow(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 2), 6) AS distance
+         FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id JOIN embeddings e ON e.label = 1)) WHERE rank <= 5""",
+)
+def _(t):
+    points = t.embeddings.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("point"))
+    asked = t.benchmark.select("item_id", F.lit("local").alias("embedding_mode"), F.lit("m1").alias("embedding_model")).join(points, "item_id")
+    return stores.nearest(vector_store(t), "embedding", asked, "item_id", "point", 5)
+
+
+@query(
+    "F22_upsert_stored",
+    """SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(event_id) AS event_id,
+         (SELECT count(DISTINCT user_id) FROM events WHERE event_type = 'view') AS before FROM events GROUP BY 1""",
+)
+def _(t):
+    rows = t.events.select("user_id", "event_type", "ts", "event_id")
+    store = stores.create(rows.filter("event_type = 'view'"), shared_folder(t.spark, "users"), "user_id", ("ts", "event_id"))
+    before = store.rows().count()
+    stores.upsert(store, rows.filter("event_type <> 'view'"))
+    stores.upsert(store, rows.filter("event_type = 'error'"))  # old news changes nothing
+    return store.rows().select("user_id", "event_type", "event_id", F.lit(before).alias("before"))
+
+
+@query(
+    "F23_delete_stored",
+    f"""WITH {CHUNKS_SQL} SELECT lang, count(*) AS kept, (SELECT count(*) FROM chunks WHERE lang = 'de') AS deleted FROM chunks
+        WHERE lang <> 'de' GROUP BY 1""",
+)
+def _(t):
+    chunks = chunks_of(t).select(F.concat_ws("_", "file_id", "chunk_index").alias("chunk_id"), "lang", "content", F.lit(1).alias("version"))
+    store = stores.create(chunks, shared_folder(t.spark, "chunks"), "chunk_id", ("version",))
+    deleted = stores.delete_where(store, F.col("lang") == "de")
+    return store.rows().groupBy("lang").agg(F.count("*").alias("kept"), F.lit(deleted).cast("long").alias("deleted"))
+
+
 @query(
     "F22_upsert_by_id",
     """SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1""",
