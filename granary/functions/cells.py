@@ -45,7 +45,8 @@ def plain_number(number: Column) -> Column:
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
     sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
     spelled = F.concat(sign, F.when(power >= 0, large).otherwise(small))
-    return F.when(F.contains(text, F.lit("E")), spelled).otherwise(F.regexp_replace(text, r"\.0$", ""))
+    bare = F.when(F.endswith(text, F.lit(".0")), F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
+    return F.when(F.contains(text, F.lit("E")), spelled).otherwise(bare)
 
 
 def cell_text(df: DataFrame, column: str) -> Column:
@@ -54,7 +55,9 @@ def cell_text(df: DataFrame, column: str) -> Column:
     dtype = data_type(df, column)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return F.coalesce(plain_number(c), F.lit(""))
-    return stripped(c if isinstance(dtype, T.StringType) else c.cast("string"))
+    if isinstance(dtype, (T.IntegralType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.coalesce(c.cast("string"), F.lit(""))  # no white space to strip
+    return stripped(c.cast("string"))
 
 
 def folded_cell(df: DataFrame, column: str) -> Column:

@@ -92,15 +92,30 @@ def long_cells(df: DataFrame, columns: Sequence[str], key: str | None = None) ->
     return df.select(*keys, F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
 
 
+#: Rows at the head of a table in which the first values of most columns are found.
+HEAD_ROWS = 200
+
+
 def first_values(df: DataFrame, columns: Sequence[str], key: str, n: int) -> DataFrame:
     """The first n non-empty values of each column in key order, numbered.
 
-    One scan for all columns; Spark cuts every map task to n values per column before the shuffle.
+    The rows with the smallest keys hold them but for columns that are mostly empty, and only for those are all rows
+    made text and ranked; Spark cuts every map task to n values per column before the shuffle.
     """
-    numbered = long_cells(df, columns, key).withColumn(
-        "position", F.row_number().over(Window.partitionBy("column_name").orderBy(F.col("_key").asc_nulls_last()))
-    )
-    return numbered.filter(F.col("position") <= n).drop("_key")
+    order = F.col(key).asc_nulls_last()
+    head = settle(df.orderBy(order).limit(HEAD_ROWS))
+
+    def numbered(rows: DataFrame, wanted: Sequence[str]) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("column_name").orderBy(F.col("_key").asc_nulls_last()))
+        return long_cells(rows, wanted, key).withColumn("position", place).filter(F.col("position") <= n).drop("_key")
+
+    filled = head.agg(F.count("*").alias("_rows"), *[F.count_if(cells.non_empty(df, c)).alias(f"_n{i}") for i, c in enumerate(columns)]).first()
+    short = [c for i, c in enumerate(columns) if filled["_rows"] == HEAD_ROWS and filled[f"_n{i}"] < n]
+    found = numbered(head, [c for c in columns if c not in short] or columns[:1])
+    if not short:
+        return found
+    rest = numbered(df, short)
+    return found.unionByName(rest) if len(short) < len(columns) else rest
 
 
 def cell_counts(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:

@@ -145,3 +145,14 @@ def test_near_empty_files(spark):
     pages = [("scan", "p. 1"), ("scan", "  "), ("scan", "p. 3"), ("blank", " "), ("text", "x" * 24), ("many", "y" * 23), ("many", "z" * 23)]
     got = {r["file"]: (r["pages"], r["near_empty"]) for r in chunk.near_empty(spark.createDataFrame(pages, "file string, text string"), "file", "text").collect()}
     assert got == {"scan": (2, True), "blank": (0, True), "text": (1, False), "many": (2, False)}
+
+
+def test_first_values_of_mostly_empty_columns(spark):
+    rows = [(i, f"v{i}", "late" if i in (900, 950) else None, None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, often string, seldom string, never string")
+    got = {}
+    for r in normalize.first_values(df, df.columns, "k", 3).orderBy("position").collect():
+        got.setdefault(r["column_name"], []).append(r["value"])
+    assert got == {"k": ["0", "1", "2"], "often": ["v0", "v1", "v2"], "seldom": ["late", "late"]}
+    assert {r["column_name"] for r in normalize.first_values(df, ["seldom", "never"], "k", 3).collect()} == {"seldom"}
+    assert normalize.first_values(df.limit(0), ["often"], "k", 3).count() == 0
