@@ -51,7 +51,8 @@ def runs(lines: DataFrame, min_words: int) -> DataFrame:
         same = (F.count(side) == F.count("*")) & (F.min(side) == F.max(side))
         return F.when(same, F.min(side)).alias(f"always_{side}")
 
-    repeated = every.groupBy("h").agg(F.count("*").alias("n"), always("after"), always("before")).where("n > 1").drop("n")
+    # written, so that the join below is one of two plain sides, of which Spark can split a hot line's or send a small one
+    repeated = settle(every.groupBy("h").agg(F.count("*").alias("n"), always("after"), always("before")).where("n > 1").drop("n"))
     known = every.select(*KEY, "i", "h").join(repeated, "h").groupBy(*KEY).agg(
         F.array_sort(F.collect_list(F.struct("i", "always_after", "always_before"))).alias("k")
     )
