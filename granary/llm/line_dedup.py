@@ -133,7 +133,7 @@ def remove_repeated(docs: DataFrame, min_words: int = MIN_WORDS, one_in: int = B
     lines = settle(line_table(docs))
     found = settle(stretches(lines, min_words, one_in))
     repeated = found.groupBy("mark").agg(F.count("*").alias("times"), F.min(F.struct(*KEY, "first", "last")).alias("origin"))
-    repeated = repeated.where("times > 1").select("mark", "origin")
+    repeated = settle(repeated.where("times > 1").select("mark", "origin"))  # written for the join, as above
     apart = (F.col("_id") != F.col("origin._id")) | (F.col("_hash") != F.col("origin._hash")) | (F.col("first") > F.col("origin.last"))
     later = found.join(repeated, "mark").where(apart).select(
         *KEY, "first", "last", F.col("origin._id").alias("from_id"), F.col("origin._hash").alias("from_hash"),
