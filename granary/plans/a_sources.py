@@ -8,7 +8,7 @@ from granary.operators import catalog
 from granary.plans.registry import Tables, query
 from granary.plans.shapes import TABLE_COLUMNS
 from granary.session import shared_folder
-from granary.sources import artifacts, files
+from granary.sources import artifacts, commits, files
 
 CATALOG_SQL = "catalog AS (" + " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS row_count, {len(c)} AS column_count"
@@ -105,11 +105,9 @@ def _(t):
 @query("A07_write_dataset_version", "SELECT 2 AS version, * FROM supplier")
 def _(t):
     root = shared_folder(t.spark, "datasets")
-    artifacts.write_version(root, "stock", 1, {"supplier": t.supplier}, "2024-01-01T00:00:00Z")
-    versions = catalog.next_version(t.spark.read.parquet(f"{root}/_catalog"), "dataset_id", "version")
-    version = versions.first()["next_version"]
-    artifacts.write_version(root, "stock", version, {"supplier": t.supplier}, "2024-01-02T00:00:00Z")
-    stored = artifacts.read_version(t.spark, root, "stock", version, "supplier")
+    for created_at in ("2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z"):
+        version = commits.publish(root, "stock", {"supplier": t.supplier}, created_at)
+    stored = commits.open_table(t.spark, root, "stock", "supplier")
     return stored.select(F.lit(version).alias("version"), "*")
 
 
@@ -147,6 +145,23 @@ def _(t):
     return catalog.remove_datasets(datasets, tables, removed)[2]
 
 
+@query(
+    "A10_dataset_cleanup_of_stored_tables",
+    """SELECT 'parties' AS dataset_id, 2 AS datasets_deleted, 3 AS tables_deleted, 3 AS paths_deleted, 0 AS rows_left
+       UNION ALL SELECT 'unknown', 0, 0, 0, 0
+       UNION ALL SELECT 'trade', 0, 0, 0, (SELECT count(*) FROM orders)""",
+)
+def _(t):
+    root = shared_folder(t.spark, "datasets")
+    commits.publish(root, "parties", {"customer": t.customer, "supplier": t.supplier}, "2024-01-01T00:00:00Z")
+    commits.publish(root, "trade", {"orders": t.orders}, "2024-01-01T00:00:00Z")
+    commits.publish(root, "parties", {"customer": t.customer}, "2024-01-02T00:00:00Z")
+    counts = commits.cleanup(t.spark, root, ["parties", "unknown"])
+    left = commits.versions(t.spark, root).select("dataset_id", F.col("row_count").alias("rows_left"))
+    joined = counts.join(left, "dataset_id", "full")
+    return joined.select("dataset_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in joined.columns[1:]])
+
+
 @query(
     "A11_select_table",
     f"WITH {CATALOG_SQL} SELECT table_name, row_count FROM catalog ORDER BY row_count DESC, table_name LIMIT 1",

@@ -1,46 +1,16 @@
-"""Dataset versions, manifests, chart points and retention."""
+"""Manifests, chart points and retention."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from granary.functions import cells
-from granary.operators import catalog
 
 PREVIEW_CHARS = 360
 RETENTION_HOURS = 168
 RETENTION_RUNS = 2_000
 
 
-def write_version(
-    root: str, dataset: str, version: int, tables: dict[str, DataFrame], created_at: str
-) -> DataFrame:
-    """Write each table below root/dataset/v{n} and append its row to the catalog at root/_catalog."""
-    base = f"{root}/{dataset}/v{version}"
-    for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{base}/{name}.parquet")
-    spark = next(iter(tables.values())).sparkSession
-    stored = {name: spark.read.parquet(f"{base}/{name}.parquet") for name in tables}
-    rows = catalog.describe_tables(stored).select(
-        F.lit(dataset).alias("dataset_id"),
-        F.lit(version).alias("version"),
-        "table_name",
-        "row_count",
-        "column_count",
-        "columns",
-        F.concat(F.lit(f"{base}/"), F.col("table_name"), F.lit(".parquet")).alias("path"),
-        catalog.provenance_id(F.lit(dataset), F.lit(version), F.col("table_name"), F.lit(created_at)).alias(
-            "provenance_id"
-        ),
-    )
-    rows.write.mode("append").parquet(f"{root}/_catalog")
-    return rows
-
-
-def read_version(spark: SparkSession, root: str, dataset: str, version: int, table: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{dataset}/v{version}/{table}.parquet")
-
-
 def preview(text: Column, chars: int = PREVIEW_CHARS) -> Column:
     trimmed = F.trim(F.coalesce(text, F.lit("")))
     return F.when(F.length(trimmed) <= chars, trimmed).otherwise(F.concat(F.substring(trimmed, 1, chars), F.lit("...")))
