@@ -1,8 +1,10 @@
 """Personal data: patterns, and terms that would give a redacted entity away by what the corpus says about them.
 
 A term t near mentions of an entity e leaves -log2 P(e | t) bits of e unknown: the information content of e less the
-pointwise mutual information of the two, both counted over the corpus.  Where an entity is redacted, terms that leave
-too few bits are redacted as well, or generalised to their class.
+pointwise mutual information of the two, both counted over the corpus.  P(e | t) is not taken at its face value but at
+the lower end of its confidence interval, so a term that was met once says less than one that was met ten times and
+always with e.  Where an entity is redacted, terms that leave too few bits are redacted as well, or generalised to
+their class.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+# a term is a run of letters and digits, so that keys and numbers of no base kind are terms too
+WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
 
 @dataclass(frozen=True)
@@ -36,8 +39,9 @@ class Disclosure:
 
     #: Words on either side of a mention among which terms are sought; what is found is counted and marked in whole documents.
     window: int = 20
-    #: Different texts in which an entity and a term must meet; copies of a text are no further evidence.
-    min_texts: int = 3
+    #: Standard errors by which P(e | t) is lowered.  At 1 a term of a single text that mentions e leaves 1 bit, and one of
+    #: three such texts 0.42; from 1.1 a single text discloses nothing.  Copies of a text are no further evidence.
+    caution: float = 1.0
     #: A term that leaves at most so many bits of an entity unknown is generalised, and removed from ``remove_bits`` down.
     generalise_bits: float = 1.0
     remove_bits: float = 0.5
@@ -126,15 +130,22 @@ def key(*parts: str) -> int:
     return int.from_bytes(digest, "little", signed=True)
 
 
+def sha256(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8")).hexdigest()
+
+
 SCAN = (
     "doc_id long, row long, copy long, kinds array<int>, starts array<long>, ends array<long>, "
     "mentioned array<long>, entities array<long>, terms array<long>, "
-    "words array<long>, word_starts array<long>, word_ends array<long>"
+    "words array<long>, word_starts array<long>, word_ends array<long>, text string, text_sha256 string"
 )
 
 
 def scan(docs: DataFrame, rules: Disclosure) -> DataFrame:
-    """Base spans of every text, the terms near them, and all words of texts with spans, one row per document."""
+    """Base spans of every text and the terms near them, one row per document.
+
+    Texts with spans come with all their words and the text itself, others with the hash of their text (null: none).
+    """
 
     def make():
         from pyspark import TaskContext
@@ -143,14 +154,16 @@ def scan(docs: DataFrame, rules: Disclosure) -> DataFrame:
 
         def run(columns):
             out = {name.split(" ")[0]: [] for name in SCAN.split(", ")}
-            for doc, text in zip(columns["doc_id"], columns["text"]):
-                text = text or ""
+            for doc, given in zip(columns["doc_id"], columns["text"]):
+                text = given or ""
                 spans = base_spans(text)
+                out["text"].append(text if spans else None)
+                out["text_sha256"].append(None if spans or given is None else sha256(text))
                 free = free_words(text, spans, rules)
                 near = terms_near(text, spans, free, rules)
                 out["doc_id"].append(doc)
                 out["row"].append(state["row"])
-                out["copy"].append(key(text) if near else 0)
+                out["copy"].append(key(text) if spans else 0)
                 out["kinds"].append([KINDS.index(k) for k, _, _ in spans])
                 out["starts"].append([s for _, s, _ in spans])
                 out["ends"].append([e for _, _, e in spans])
@@ -192,45 +205,49 @@ def mentions(scanned: DataFrame) -> DataFrame:
     return scanned.where("size(mentioned) > 0").select("row", F.explode("mentioned").alias("entity"))
 
 
+def bits_left(together: Column, texts: Column, different: Column, caution: float) -> Column:
+    """-log2 of the lower end of Wilson's interval for P(e | t): ``together`` of the ``texts`` that hold t mention e.
+
+    The interval is as wide as ``different`` texts that hold both allow, so copies raise the share but not the trust in it.
+    """
+    share = together / texts
+    size, square = different / share, caution * caution
+    middle = share + square / (2 * size)
+    width = caution * F.sqrt(share * (1 - share) / size + square / (4 * size * size))
+    return F.round(-F.log2((middle - width) / (1 + square / size)), 9)
+
+
 def disclosing(scanned: DataFrame, docs: DataFrame, rules: Disclosure) -> DataFrame:
-    """``(entity, term, bits)``: pairs that meet in enough different texts and leave few bits of the entity unknown.
+    """``(entity, term, bits)``: pairs that leave few bits of the entity unknown.
 
     Pairs meet within the window; bits compare documents that hold both anywhere with documents that hold the term.
     """
-    pairs = scanned.where("size(entities) > 0").select(
-        "copy", F.explode(F.array_distinct(F.arrays_zip("entities", "terms"))).alias("p")
-    )
-    met = (
-        pairs.select("copy", F.col("p.entities").alias("entity"), F.col("p.terms").alias("term"))
-        .distinct()
-        .groupBy("entity", "term")
-        .agg(F.count("*").alias("different"))
-        .where(F.col("different") >= rules.min_texts)
-    )
-    met = settle(met.select("entity", "term"))
+    pairs = scanned.where("size(entities) > 0").select(F.explode(F.array_distinct(F.arrays_zip("entities", "terms"))).alias("p"))
+    met = settle(pairs.select(F.col("p.entities").alias("entity"), F.col("p.terms").alias("term")).distinct())
     wanted = met.select("term").distinct()
     counts = term_counts(docs, rules).join(wanted, "term", "left_semi")
     # no more documents can hold both than mention the entity, so common words go before pairs are looked up
     most = mentions(scanned).groupBy("entity").agg(F.count("*").alias("most"))
     able = F.log2(F.col("texts") / F.col("most")) <= rules.generalise_bits
     likely = settle(met.join(counts, "term").join(most, "entity").where(able).select("entity", "term", "texts"))
-    words = scanned.where("size(words) > 0").select("row", F.explode(F.array_distinct("words")).alias("term"))
+    words = scanned.where("size(words) > 0").select("row", "copy", F.explode(F.array_distinct("words")).alias("term"))
     together = (
         words.join(likely, "term").join(mentions(scanned), ["row", "entity"])
         .groupBy("entity", "term", "texts")
-        .agg(F.count("*").alias("together"))
+        .agg(F.count("*").alias("together"), F.count_distinct("copy").alias("different"))
     )
-    bits = F.log2(F.col("texts") / F.col("together"))
+    bits = bits_left(F.col("together"), F.col("texts"), F.col("different"), rules.caution)
     return together.select("entity", "term", bits.alias("bits")).where(F.col("bits") <= rules.generalise_bits)
 
 
 def find(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
-    """``(doc_id, row, spans)``: all spans of every document, as structs ``kind, start, end, bits``.
+    """``(doc_id, row, spans, text, text_sha256)``: all spans of every document, as structs ``kind, start, end, bits``.
 
     Kinds are the base kinds and ``term``; bits is set for terms.  Spans are in order of start, then kind.  A term is
     marked wherever it stands in a document that mentions an entity it discloses, so documents without personal data
-    have no spans.  Null and empty texts have none; repeated rows and null ids keep
-    a row each; other columns are ignored; an empty table gives an empty table.
+    have no spans.  Documents with spans come with their text, others with its hash.  Null and empty texts have no spans,
+    and null texts no hash; very long texts are read whole; repeated rows and null ids keep a row each; other columns are
+    ignored; an empty table gives an empty table.
     """
     scanned = settle(scan(docs, rules))
     known = settle(disclosing(scanned, docs, rules))
@@ -257,6 +274,8 @@ def find(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
             every,
             lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["bits"].alias("bits")),
         ).alias("spans"),
+        "text",
+        "text_sha256",
     )
 
 
@@ -277,6 +296,19 @@ def replacement(kind: str, mention: str, bits: float | None, rules: Disclosure)
     return "[NAME]" if mention[:1].isupper() else "[WORD]"
 
 
+def cleaned(text: str, spans: list[dict], rules: Disclosure) -> str:
+    """The text with spans replaced; of spans that overlap the one that starts first and reaches farthest counts."""
+    parts, at = [], 0
+    for start, end, kind, bits in sorted((s["start"], -s["end"], s["kind"], s["bits"]) for s in spans or []):
+        end = -end
+        if start >= at:
+            parts += [text[at:start], replacement(kind, text[start:end], bits, rules)]
+            at = end
+        elif end > at:
+            at = end
+    return "".join(parts) + text[at:]
+
+
 def sanitised(texts: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
     """``(doc_id, text)`` with spans replaced; ``texts`` has ``doc_id, text, spans``.
 
@@ -286,22 +318,32 @@ def sanitised(texts: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
 
     def make():
         def run(columns):
-            out = []
-            for text, spans in zip(columns["text"], columns["spans"]):
-                if text is None:
-                    out.append(None)
-                    continue
-                parts, at = [], 0
-                for start, end, kind, bits in sorted((s["start"], -s["end"], s["kind"], s["bits"]) for s in spans or []):
-                    end = -end
-                    if start >= at:
-                        parts += [text[at:start], replacement(kind, text[start:end], bits, rules)]
-                        at = end
-                    elif end > at:
-                        at = end
-                out.append("".join(parts) + text[at:])
+            out = [None if t is None else cleaned(t, s, rules) for t, s in zip(columns["text"], columns["spans"])]
             return {"doc_id": columns["doc_id"], "text": out}
 
         return run
 
     return map_rows(texts.select("doc_id", "text", "spans"), make, "doc_id long, text string")
+
+
+def sanitise(found: DataFrame, rules: Disclosure = Disclosure(), keep: str = "") -> DataFrame:
+    """``(doc_id, row, text, text_sha256)`` of what :func:`find` gave: texts it changed, and the hash of every text as it is now.
+
+    Texts without spans stay as they were and come as their hash alone; null texts have neither.  ``keep`` names columns
+    that pass through, with their types.
+    """
+    schema = "doc_id long, row long, text string, text_sha256 string" + (f", {keep}" if keep else "")
+    passed = [part.split()[0] for part in keep.split(",")] if keep else []
+
+    def make():
+        def run(columns):
+            out = {name: columns[name] for name in ("doc_id", "row", *passed)} | {"text": [], "text_sha256": []}
+            for text, spans, known in zip(columns["text"], columns["spans"], columns["text_sha256"]):
+                now = None if text is None else cleaned(text, spans, rules)
+                out["text"].append(now)
+                out["text_sha256"].append(known if now is None else sha256(now))
+            return out
+
+        return run
+
+    return map_rows(found.select("doc_id", "row", "text", "spans", "text_sha256", *passed), make, schema)

@@ -83,12 +83,13 @@ def op6(spark, folder):
 def op1(spark, folder):
     found = pii.find(read(spark, folder, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "term")
-    return found.select(
-        "doc_id",
-        *[pii.count_of(kind).alias(f"n_{kind}") for kind in pii.KINDS],
-        F.sha2(pii.digest(base), 256).alias("base_sha256"),
-        pii.digest(F.col("spans")).alias("spans"),
+    told = found.withColumns(
+        {f"n_{kind}": pii.count_of(kind) for kind in pii.KINDS}
+        | {"base_sha256": F.sha2(pii.digest(base), 256), "every": pii.digest(F.col("spans"))}
     )
+    counts = [f"n_{kind}" for kind in pii.KINDS]
+    clean = pii.sanitise(told, keep=", ".join([f"{c} long" for c in counts] + ["base_sha256 string", "every string"]))
+    return clean.select("doc_id", *counts, "base_sha256", F.col("every").alias("spans"), F.col("text_sha256").alias("sanitised_sha256"))
 
 
 def held_out(parts: int, part: int):
