@@ -122,7 +122,12 @@ class Ensemble:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, target: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``(doc_id, text, label)`` of at most ``rows`` labelled documents, those with the smallest hash of their id."""
+    """``(doc_id, text, label)`` of at most ``rows`` labelled documents, those with the smallest hash of their id.
+
+    Each id gives one row whatever the rows it stands in: the text of the smallest hash, and the largest of its labels.
+    Ids without a text row give none; null ids and labels other than 0 and 1 are left out; empty tables give an empty
+    sample; very long texts are taken whole; other columns are ignored.
+    """
     chosen = (
         labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -131,7 +136,10 @@ def sample_of(docs: DataFrame, labels: DataFrame, target: str, rows: int = SAMPL
         .limit(rows)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows of two numbers
+    mine = texts.join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows of two numbers
+    # of many rows with one id every map task hands on one
+    one = mine.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    return one.select("doc_id", "least.text", "label")
 
 
 SPLIT = re.compile(r"^( *)(If|Else) \(feature (\d+) (<=|>) ([-\dEe.+]+)\)$")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +14,8 @@ from granary.llm.batches import map_rows, pieces
 from granary.llm.rule_ensemble import sample_of
 from granary.session import settle
 
-# fixed values: terms that name groups of people, each group's terms standing in for one another
+# fixed values: terms that name groups of people in English, German, French and Spanish; a group's terms stand in for one
+# another, and its last is the neutral one
 IDENTITY = (
     ("women", "men", "people"),
     ("woman", "man", "person"),
@@ -26,6 +28,31 @@ IDENTITY = (
     ("immigrants", "refugees", "foreigners", "natives", "citizens"),
     ("mexican", "chinese", "american", "african", "european", "indian"),
     ("blind", "deaf", "disabled", "elderly", "young"),
+    ("frauen", "männer", "menschen"),
+    ("frau", "mann", "mensch"),
+    ("mädchen", "junge", "kind"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten", "gläubige"),
+    ("schwarze", "weiße", "asiaten", "araber"),
+    ("schwule", "lesben", "bisexuelle", "heterosexuelle"),
+    ("ausländer", "flüchtlinge", "einwanderer", "einheimische", "bürger"),
+    ("türken", "polen", "russen", "franzosen", "deutsche"),
+    ("blinde", "gehörlose", "behinderte", "alte"),
+    ("femmes", "hommes", "gens"),
+    ("femme", "homme", "personne"),
+    ("fille", "garçon", "enfant"),
+    ("musulmans", "chrétiens", "juifs", "bouddhistes", "athées", "croyants"),
+    ("noirs", "blancs", "asiatiques", "arabes"),
+    ("homosexuels", "lesbiennes", "bisexuels", "hétérosexuels"),
+    ("étrangers", "réfugiés", "immigrés", "autochtones", "citoyens"),
+    ("aveugles", "sourds", "handicapés", "vieux", "jeunes"),
+    ("mujeres", "hombres", "personas"),
+    ("mujer", "hombre", "persona"),
+    ("niña", "niño", "criatura"),
+    ("musulmanes", "cristianos", "judíos", "budistas", "ateos", "creyentes"),
+    ("negros", "blancos", "asiáticos", "árabes"),
+    ("homosexuales", "lesbianas", "bisexuales", "heterosexuales"),
+    ("extranjeros", "refugiados", "inmigrantes", "nativos", "ciudadanos"),
+    ("ciegos", "sordos", "discapacitados", "ancianos", "jóvenes"),
 )
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
@@ -46,12 +73,28 @@ class Fit:
     ridge: float = 1.0
     swap_penalty: float = 4.0
     steps: int = 30
+    #: Groups of terms that stand in for one another.
+    identity: tuple[tuple[str, ...], ...] = IDENTITY
+    #: Groups found in the sample itself: the commonest words looked at, their letters and rows at least, by how many
+    #: standard errors their rates may differ between the labels, the neighbours they are compared by, and how alike
+    #: (cosine) these must be.
+    mined: int = 200
+    mined_letters: int = 4
+    mined_rows: int = 20
+    mined_z: float = 1.0
+    neighbours: int = 400
+    alike: float = 0.6
 
 
 @dataclass(frozen=True)
 class Model:
     bias: float
     weights: dict[str, float]
+    #: Groups found in the sample, labelled rows and those with a swapped form, and the mean squared change of their logit.
+    groups: tuple[tuple[str, ...], ...] = ()
+    rows: int = 0
+    rows_swapped: int = 0
+    swap_gap: float = 0.0
 
     def score(self, text: str | None) -> float:
         return self.of(features(text, self.weights))
@@ -84,31 +127,28 @@ def features(text: str | None, known) -> set[str]:
     return found
 
 
-def swap_table() -> dict[str, list[str]]:
-    """For each identity term what it is swapped with: the next of its group and the group's last, the neutral one."""
+def swap_table(groups: tuple[tuple[str, ...], ...]) -> dict[str, list[str]]:
+    """For each term what it is swapped with: the next of its group and the group's last, the neutral one."""
     table = {}
-    for group in IDENTITY:
+    for group in groups:
         for i, term in enumerate(group):
             table[term] = [t for t in dict.fromkeys((group[(i + 1) % len(group)], group[-1])) if t != term]
     return table
 
 
-SWAPS = swap_table()
-
-
-def swapped(words: set[str]) -> list[set[str]]:
-    """The words of a text after each of its identity terms was swapped, one set for each way to swap."""
-    terms = words & SWAPS.keys()
+def swapped(words: set[str], swaps: dict[str, list[str]]) -> list[set[str]]:
+    """The words of a text after each of its terms was swapped, one set for each way to swap."""
+    terms = words & swaps.keys()
     if not terms:
         return []
-    ways = max(len(SWAPS[t]) for t in terms)
-    return [(words - terms) | {SWAPS[t][min(i, len(SWAPS[t]) - 1)] for t in terms} for i in range(ways)]
+    ways = max(len(swaps[t]) for t in terms)
+    return [(words - terms) | {swaps[t][min(i, len(swaps[t]) - 1)] for t in terms} for i in range(ways)]
 
 
-def telling_features(sample: DataFrame, how: Fit) -> list[str]:
-    """Features by the difference of their rates among toxic and other rows, over its spread; counted in Spark.
+def feature_rates(sample: DataFrame) -> DataFrame:
+    """``(feature, rows, rate, other, z)``: share of toxic and of other rows with each feature, and their difference over its spread.
 
-    Identity terms are always features, so that the swap penalty bears on them.
+    Counted in Spark; without rows of both labels there are no features.
     """
 
     def make():
@@ -123,25 +163,72 @@ def telling_features(sample: DataFrame, how: Fit) -> list[str]:
         return run
 
     size = sample.agg(F.coalesce(F.sum("label"), F.lit(0.0)).alias("p"), F.count("*").alias("n")).first()
-    toxic, clean = size["p"], size["n"] - size["p"]
-    if not toxic or not clean:
-        return []
+    toxic, clean = float(size["p"]), float(size["n"] - size["p"])
     counts = (
         map_rows(sample.select("text", "label"), make, "feature string, toxic int")
         .groupBy("feature")
-        .agg(F.sum("toxic").alias("p"), F.count("*").alias("n"))
-        .where(F.col("p") >= how.min_rows)
+        .agg(F.sum("toxic").alias("p"), F.count("*").alias("rows"))
+        .where(F.lit(bool(toxic and clean)))
     )
-    rate, other = F.col("p") / F.lit(float(toxic)), (F.col("n") - F.col("p")) / F.lit(float(clean))
-    spread = F.sqrt(rate * (1 - rate) / toxic + other * (1 - other) / clean + 1e-9)
-    clear = (F.col("z") >= how.min_z) & (rate >= how.min_ratio * other)
-    best = counts.withColumn("z", (rate - other) / spread).where(clear).orderBy(F.col("z").desc(), "feature").limit(how.features)
-    chosen = [r["feature"] for r in best.select("feature").collect()]  # at most ``how.features``
-    return sorted({*chosen, *SWAPS})
+    rate, other = F.col("p") / F.lit(toxic or 1.0), (F.col("rows") - F.col("p")) / F.lit(clean or 1.0)
+    spread = F.sqrt(rate * (1 - rate) / (toxic or 1.0) + other * (1 - other) / (clean or 1.0) + 1e-9)
+    return counts.select("feature", "rows", "p", rate.alias("rate"), other.alias("other"), ((rate - other) / spread).alias("z"))
+
+
+def telling_features(rates: DataFrame, how: Fit) -> list[str]:
+    """Features that stand clearly more often in toxic rows, at most ``how.features``."""
+    clear = (F.col("p") >= how.min_rows) & (F.col("z") >= how.min_z) & (F.col("rate") >= how.min_ratio * F.col("other"))
+    best = rates.where(clear).orderBy(F.col("z").desc(), "feature").limit(how.features)
+    return [r["feature"] for r in best.select("feature").collect()]
+
+
+def alike_words(sample: DataFrame, rates: DataFrame, how: Fit) -> tuple[tuple[str, ...], ...]:
+    """Pairs of words without a label signal that stand among the same neighbours, each the other's most alike word.
+
+    They are swapped as identity terms are, so that words that mean nothing for the label cannot move a score.
+    Neighbours are counted in Spark; ``how.mined`` by ``how.neighbours`` numbers reach the driver at most.
+    """
+    known = {t for group in how.identity for t in group}
+    plain = ~F.col("feature").endswith("-") & (F.length("feature") >= how.mined_letters) & ~F.col("feature").isin(*known)
+    neutral = (F.abs("z") < how.mined_z) & (F.col("rows") >= how.mined_rows)
+    common = rates.where(plain & neutral).orderBy(F.col("rows").desc(), "feature").limit(how.mined)
+    words = sorted(r["feature"] for r in common.select("feature").collect())
+    wanted = frozenset(words)
+
+    def make():
+        def run(columns):
+            counts = Counter()
+            for text in columns["text"]:
+                found = WORD.findall((text or "").lower())
+                for left, right in zip(found, found[1:]):
+                    if left in wanted:
+                        counts[left, ">" + right] += 1
+                    if right in wanted:
+                        counts[right, "<" + left] += 1
+            return {"word": [w for w, _ in counts], "near": [n for _, n in counts], "times": list(counts.values())}
 
+        return run
 
-def matrices(sample: DataFrame, names: list[str]) -> tuple[list[list[int]], np.ndarray, list[tuple[list[int], list[int]]]]:
-    """Feature positions and label of each sampled row, and of rows with identity terms also of their swapped forms."""
+    met = map_rows(sample.select("text"), make, "word string, near string, times long")
+    met = settle(met.groupBy("word", "near").agg(F.sum("times").alias("times")))
+    top = met.groupBy("near").agg(F.sum("times").alias("all")).orderBy(F.col("all").desc(), "near").limit(how.neighbours)
+    near = {r["near"]: i for i, r in enumerate(top.select("near").orderBy("near").collect())}
+    if len(words) < 2 or not near:
+        return ()
+    table, at = np.zeros((len(words), len(near))), {w: i for i, w in enumerate(words)}
+    for r in met.where(F.col("near").isin(*near)).collect():
+        table[at[r["word"]], near[r["near"]]] = np.sqrt(r["times"])
+    length = np.sqrt((table**2).sum(axis=1, keepdims=True))
+    cosine = np.round(table @ table.T / np.maximum(length * length.T, 1e-12), 9)
+    np.fill_diagonal(cosine, -1)
+    best = cosine.argmax(axis=1)
+    return tuple((words[i], words[j]) for i, j in enumerate(best) if i < j and best[j] == i and cosine[i, j] >= how.alike)
+
+
+def matrices(
+    sample: DataFrame, names: list[str], swaps: dict[str, list[str]]
+) -> tuple[list[list[int]], np.ndarray, list[tuple[list[int], list[int]]], int]:
+    """Feature positions and label of each sampled row, of rows with terms to swap also of their swapped forms, and the number of these rows."""
     at = {name: i for i, name in enumerate(names)}
     schema = "label double, present array<int>, swaps array<int>"
 
@@ -152,17 +239,18 @@ def matrices(sample: DataFrame, names: list[str]) -> tuple[list[list[int]], np.n
                 words = words_of(text)
                 out["present"].append(sorted(at[f] for f in named(words) if f in at))
                 flat = []
-                for other in swapped(words):
+                for other in swapped(words, swaps):
                     flat += [*sorted(at[f] for f in named(other) if f in at), -1]
                 out["swaps"].append(flat)
             return out
 
         return run
 
-    present, labels, pairs = [], [], []
+    present, labels, pairs, changed = [], [], [], 0
     for row in map_rows(sample.select("label", "text"), make, schema).collect():  # a bounded sample of short lists
         present.append(row["present"])
         labels.append(row["label"])
+        changed += bool(row["swaps"])
         other: list[int] = []
         for i in row["swaps"]:
             if i < 0:
@@ -170,22 +258,27 @@ def matrices(sample: DataFrame, names: list[str]) -> tuple[list[list[int]], np.n
                 other = []
             else:
                 other.append(i)
-    return present, np.array(labels), pairs
+    return present, np.array(labels), pairs, changed
 
 
 def fit(sample: DataFrame, how: Fit = Fit()) -> Model:
     """A logistic model of ``sample`` (``text, label``) by Newton steps.
 
-    What is minimised: the log loss, a ridge penalty, and for every sentence with identity terms the
-    squared change of its logit when they are swapped.  The sample is bounded, and so is what reaches the driver:
-    positions of at most ``how.features`` features per row.  Without both labels the model is a bias.
+    What is minimised: the log loss, a ridge penalty, and for every row with terms to swap the squared change of its
+    logit when they are swapped: identity terms, and words found to be alike and neutral.  Both are always features, so
+    that the penalty bears on them.  The sample is bounded, and so is what reaches the driver: positions of at most
+    ``how.features`` features and the terms per row.  Without rows of both labels the model is a bias.
     """
-    names = telling_features(sample, how)
-    if not names:
+    rates = settle(feature_rates(sample))
+    telling = telling_features(rates, how)
+    if not telling:
         row = sample.agg(F.coalesce(F.avg("label"), F.lit(0.0))).first()
         share = min(max(row[0], 0.01), 0.99)
         return Model(float(np.log(share / (1 - share))), {})
-    present, y, pairs = matrices(sample, names)
+    groups = alike_words(sample, rates, how) if how.mined else ()
+    swaps = swap_table((*how.identity, *groups))
+    names = sorted({*telling, *swaps})
+    present, y, pairs, changed = matrices(sample, names, swaps)
     size = len(names) + 1
     order = sorted(range(len(y)), key=lambda i: (present[i], y[i]))  # sums do not depend on the order rows came in
     x = np.zeros((len(y), size), dtype=np.float32)
@@ -211,7 +304,8 @@ def fit(sample: DataFrame, how: Fit = Fit()) -> Model:
         if np.abs(step).max() < 1e-6:
             break
     w = np.round(w, 9)
-    return Model(float(w[-1]), {n: float(v) for n, v in zip(names, w[:-1]) if v})
+    gap = float(np.mean((change @ w) ** 2)) if len(pairs) else 0.0
+    return Model(float(w[-1]), {n: float(v) for n, v in zip(names, w[:-1]) if v}, groups, len(y), changed, gap)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -231,7 +325,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_harmless(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with their columns unchanged."""
+    """The rows of ``docs`` that score below ``threshold``, with their columns unchanged.
+
+    Null and empty texts score as a text without features; very long texts are read whole; repeated rows are judged
+    each; an empty table gives an empty table.
+    """
     names = docs.columns
 
     def run(batches):
@@ -244,5 +342,5 @@ def keep_harmless(docs: DataFrame, model: Model, threshold: float = 0.3) -> Data
 
 
 def trained(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), rows: int = SAMPLE_ROWS) -> Model:
-    """A model of the labelled rows given; at most ``rows`` of them are used."""
+    """A model of the labelled rows given; at most ``rows`` of them are used, one per id.  Without rows it is a bias."""
     return fit(settle(sample_of(docs, labels, "toxic", rows)), how)

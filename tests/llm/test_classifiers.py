@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from granary.llm import line_rules, rule_ensemble, toxicity
-from granary.llm.queries import QUERIES
+from granary.llm.queries import QUERIES, held_out
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -85,9 +85,91 @@ def test_swaps_are_penalised(spark):
 
 
 def test_swaps():
-    assert toxicity.swapped({"plain", "words"}) == []
-    assert toxicity.swapped({"women", "x"}) == [{"men", "x"}, {"people", "x"}]
-    assert all(t not in toxicity.SWAPS[t] for t in toxicity.SWAPS)
+    table = toxicity.swap_table(toxicity.IDENTITY)
+    assert toxicity.swapped({"plain", "words"}, table) == []
+    assert toxicity.swapped({"women", "x"}, table) == [{"men", "x"}, {"people", "x"}]
+    assert all(t not in table[t] for t in table)
+    assert len(table) == sum(map(len, toxicity.IDENTITY))  # no term stands in two groups
+
+
+def test_alike_words_are_found_and_swapped(spark):
+    """Two words of one context and no label signal form a group; a word that marks toxic rows does not."""
+    rows = []
+    for d in range(600):
+        toxic = float(d % 3 == 0)
+        place = f"we went {('northward', 'southward')[d // 3 % 2]} by train and saw the {('harbour', 'museum')[d // 6 % 2]} there"
+        rows.append((place + (" you idiot" if toxic else " my friend"), toxic))
+    sample = spark.createDataFrame(rows, "text string, label double")
+    model = toxicity.fit(sample)
+    assert {("northward", "southward"), ("harbour", "museum")} <= set(model.groups)
+    assert not any("idiot" in g for g in model.groups) and model.rows_swapped == model.rows == 600
+    assert model.score("you idiot") > 0.5 > model.score("saw the museum")
+
+
+def test_swaps_bear_on_the_given_documents(spark):
+    """Over the labelled rows the registered query learns from, most have a swapped form, and the penalty closes their gap."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    labels = labels.where(~held_out(4, 2))
+    bound = toxicity.trained(docs, labels)
+    free = toxicity.trained(docs, labels, toxicity.Fit(swap_penalty=0.0))
+    assert bound.groups == free.groups and bound.groups
+    assert bound.rows_swapped >= 0.5 * bound.rows
+    assert 0 < bound.swap_gap < 0.2 * free.swap_gap
+
+
+def plain_loss(rows, bias, weights, how, swaps):
+    """What the fit minimises, text by text."""
+    def logit(found):
+        return bias + sum(w for f, w in weights.items() if f in found)
+
+    total = how.ridge / 2 * sum(w * w for w in weights.values())
+    for _, text, label in rows:
+        words = toxicity.words_of(text)
+        z = logit(toxicity.named(words))
+        total += math.log1p(math.exp(-z if label else z))
+        for other in toxicity.swapped(words, swaps):
+            total += how.swap_penalty / 2 * (z - logit(toxicity.named(other))) ** 2
+    return total
+
+
+def test_fit_is_the_least_loss(spark):
+    rows = sentences(300)
+    how = toxicity.Fit(mined=40)
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label double"), how)
+    swaps = toxicity.swap_table((*how.identity, *model.groups))
+    least = plain_loss(rows, model.bias, model.weights, how, swaps)
+    for name in ("", *sorted(model.weights)[:25], "idiot", "women"):
+        for step in (-0.02, 0.02):
+            moved = model.weights if not name else {**model.weights, name: model.weights.get(name, 0.0) + step}
+            assert plain_loss(rows, model.bias + (0 if name else step), moved, how, swaps) > least
+
+
+def test_sample_is_bounded_in_rows(documents, spark):
+    """A third of all rows under one id give one row, conflicting labels the larger one, whatever the order of rows."""
+    docs = documents([(1, f"text {i}") for i in range(300)] + [(i, f"own {i}") for i in range(2, 300)] + [(None, "x"), (5, None)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 300)] + [(2, 1), (None, 1), (3, None), (4, 7)], "doc_id long, toxic int")
+    got = rule_ensemble.sample_of(docs, labels, "toxic", 250).collect()
+    assert len(got) == 250 == len({r["doc_id"] for r in got})
+    every = {r["doc_id"]: r for r in rule_ensemble.sample_of(docs, labels, "toxic").collect()}
+    assert len(every) == 299 and every[2]["label"] == 1.0 and every[3]["label"] == 1.0 and every[4]["label"] == 0.0
+    again = {r["doc_id"]: r for r in rule_ensemble.sample_of(docs.orderBy(F.rand(3)), labels, "toxic").collect()}
+    assert every == again
+    for a, b in ((docs.limit(0), labels), (docs, labels.limit(0))):
+        assert rule_ensemble.sample_of(a, b, "toxic").count() == 0
+
+
+def test_ensemble_matches_rules_row_by_row(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    model = rule_ensemble.fit(rule_ensemble.sample_of(docs, labels.where(~held_out(3, 1)), "quality"))
+    assert model.weights
+    got = {r["doc_id"]: r["score"] for r in rule_ensemble.score(docs, model).collect()}
+    rows = rule_ensemble.with_statistics(docs).collect()
+    assert len(rows) == len(got)
+    for r in rows:
+        total = model.bias
+        for rule, weight in model.weights:
+            total += weight * all((r[n] <= t) if at_most else (r[n] > t) for n, at_most, t in rule.parts)
+        assert math.isclose(got[r["doc_id"]], 1 / (1 + math.exp(-total)), rel_tol=1e-9)
 
 
 def test_one_label_or_no_rows(spark):
