@@ -91,7 +91,20 @@ def _(t):
     return chunk.row_group_chunks(order_lines(t, 20_000), 40, 20_000)
 
 
-@query("F06_row_group_chunks_by_chars")
+# A group ends where its lines and the breaks between them would pass the size; every row knows where a group that starts
+# at it would end, and the groups are the starts reached from the first row.
+@query(
+    "F06_row_group_chunks_by_chars",
+    f"""WITH RECURSIVE {ROW_SQL}, lines AS (SELECT n, 'Row ' || n || ': ' || body AS line FROM rows_),
+       placed AS (SELECT n, length(line) AS size, sum(length(line) + 1) OVER (ORDER BY n) AS upto FROM lines),
+       ends AS (SELECT a.n AS first, max(b.n) AS last FROM placed a JOIN placed b ON b.n BETWEEN a.n AND a.n + {chunk.ROW_CHUNK_ROWS - 1}
+          WHERE b.n = a.n OR b.upto - a.upto + a.size <= {chunk.ROW_CHUNK_CHARS} GROUP BY 1),
+       groups AS (SELECT 0 AS row_group_index, first, last FROM ends WHERE first = 1
+          UNION ALL SELECT row_group_index + 1, e.first, e.last FROM groups g JOIN ends e ON e.first = g.last + 1)
+       SELECT 'orders' AS sheet_name, row_group_index, first AS row_start, last AS row_end, (SELECT count(*) FROM orders) AS total_rows,
+         'sheet=orders rows=' || first || '-' || last || '/' || (SELECT count(*) FROM orders) || chr(10) || string_agg(line, chr(10) ORDER BY n) AS content
+       FROM groups JOIN lines ON n BETWEEN first AND last GROUP BY row_group_index, first, last""",
+)
 def _(t):
     return chunk.row_group_chunks(order_lines(t, chunk.ROW_CHUNK_CHARS), 40)
 
@@ -106,7 +119,21 @@ def _(t):
     return catalog_of(t).select("table_name", shown).withColumn("row_group_size", chunk.row_group_size(F.col("columns"), 80))
 
 
-@query("F08_long_row_continuation")
+# Only the text of a document can pass the size of a line here: what stands before it is the first line, its slices follow.
+@query(
+    "F08_long_row_continuation",
+    """WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS row_number, doc_id, lang, source, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS body FROM documents),
+       p AS (SELECT row_number, 'Row ' || row_number || ': ' AS head, 'Row ' || row_number || ' (cont): ' AS cont,
+          concat_ws(' | ', 'doc_id: ' || doc_id, 'lang: ' || nullif(trim(lang), ''), 'source: ' || nullif(trim(source), '')) AS few,
+          CASE WHEN body = '' THEN '' ELSE 'text: ' || substr(body, 1, 2000) || CASE WHEN length(body) > 2000 THEN '...' ELSE '' END END AS long FROM d),
+       s AS (SELECT *, 992 - length(cont) AS step, concat_ws(' | ', few, nullif(long, '')) AS whole FROM p),
+       k AS (SELECT *, CAST(greatest(0, ceil((length(long) + length(cont) - 1000) / step)) AS INTEGER) AS slices FROM s),
+       l AS (SELECT row_number, CASE WHEN length(head || whole) <= 1000 THEN [head || whole] ELSE list_concat([head || few],
+          list_transform(list_filter(range(0, slices + 1), lambda i: substr(long, CAST(i * step + 1 AS BIGINT)) <> ''),
+            lambda i: cont || CASE WHEN i < slices THEN substr(long, CAST(i * step + 1 AS BIGINT), step) ELSE substr(long, CAST(i * step + 1 AS BIGINT)) END)) END AS lines FROM k),
+       u AS (SELECT row_number, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS line_number FROM l)
+       SELECT row_number, line_number, line, length(line) AS line_chars FROM u""",
+)
 def _(t):
     lines = chunk.table_lines(t.documents, ["doc_id"], ["doc_id", "lang", "source", "text"], F.lit("documents"), 1_000)
     return lines.select("row_number", "line_number", "line", "line_chars")

@@ -122,7 +122,19 @@ def _(t):
     return asked.select("doc_id", "wanted", (~tagging.matches_language(F.col("text"), F.col("wanted"))).alias("mismatch"))
 
 
-@query("J07_file_mentions")
+# What each kind of request should give: the named table; the quoted workbook, unless its name holds a wildcard, and what of
+# it could stand unquoted; the notes but no code and no attribute; the unquoted part of a name whose ending no list holds.
+@query(
+    "J07_file_mentions",
+    """WITH p AS (SELECT page_id, page_id % 4 AS kind, string_split(url, '/')[-1] AS tail FROM pages),
+       b AS (SELECT *, regexp_extract(tail, '[A-Za-z0-9._-]*$') AS bare FROM p),
+       c AS (SELECT page_id, 'report_' || page_id || '.csv' AS candidate FROM b WHERE kind = 0
+          UNION SELECT page_id, tail || '.XLSX' FROM b WHERE kind = 1 AND tail <> '' AND NOT contains(tail, '?')
+          UNION SELECT page_id, bare || '.XLSX' FROM b WHERE kind = 1 AND bare <> ''
+          UNION SELECT page_id, 'notes' || page_id || '.md' FROM b WHERE kind = 2
+          UNION SELECT page_id, bare || '.v2' FROM b WHERE kind = 3 AND bare <> '')
+       SELECT page_id, candidate, lower(candidate) AS name FROM c""",
+)
 def _(t):
     tail = F.element_at(F.split("url", "/"), -1)
     phrase = (
