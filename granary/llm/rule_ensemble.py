@@ -188,7 +188,10 @@ def fit(sample: DataFrame, how: Fit = Fit()) -> Ensemble:
     train = settle(known.coalesce(PARTITIONS).withColumn("weight", F.when(F.col("label") == 1, F.lit(count / (2 * positive))).otherwise(F.lit(count / (2 * (count - positive))))))
     vectors = VectorAssembler(inputCols=STATISTICS, outputCol="features").transform(train)
     forest = RandomForestClassifier(numTrees=how.trees, maxDepth=how.depth, featureSubsetStrategy="onethird", minInstancesPerNode=5, seed=how.seed, weightCol="weight")
-    rules = sorted(tree_rules(forest.fit(vectors).toDebugString), key=str)
+    grown = forest.fit(vectors)
+    rules = sorted(tree_rules(grown.toDebugString), key=str)
+    if not rules and grown.totalNumNodes > how.trees:
+        raise RuntimeError("the forest has splits, but none could be read from its description")
     rules = telling(train, rules, how.rules)
     held = train.select("label", *[r.column().cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
     names = [f"r{i}" for i in range(len(rules))]
