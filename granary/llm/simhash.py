@@ -122,11 +122,14 @@ def hot_keys(prints: DataFrame, limit: int) -> DataFrame:
 
 
 def pairs(rows: DataFrame, distance: int) -> DataFrame:
-    """Pairs of fingerprints that meet at a key and are within ``distance`` bits, each found once per half at most."""
+    """Pairs of fingerprints that meet at a key and are within ``distance`` bits, each found once per half at most.
+
+    Spark takes a side for as small as the fingerprints it was exploded from and would send it whole, so the join is by sorting.
+    """
     left = rows.where("bit <= 0").select("key", "position", F.col("bits").alias("a"))
     right = rows.where("bit <> 0").select("key", F.col("bits").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    return left.join(right, "key").where(((F.col("position") < SEGMENT) | (F.col("a") < F.col("b"))) & near).select("a", "b")
+    return left.join(right.hint("merge"), "key").where(((F.col("position") < SEGMENT) | (F.col("a") < F.col("b"))) & near).select("a", "b")
 
 
 def masks(spark, distance: int) -> DataFrame:
