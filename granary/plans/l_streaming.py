@@ -17,7 +17,8 @@ FILES_PER_TRIGGER = 256
 
 
 def stream_of(t: Tables, table: str) -> DataFrame:
-    return sinks.file_stream(t.spark, t.folder, getattr(t, table).schema, f"{table}.parquet", FILES_PER_TRIGGER)
+    """A table as a stream, be it one file or a folder of files: a pattern may stand for either, a plain path for a folder only."""
+    return sinks.file_stream(t.spark, f"{t.folder}/{{{table}.parquet}}", getattr(t, table).schema, "*", FILES_PER_TRIGGER)
 
 
 def events_stream(t: Tables) -> DataFrame:

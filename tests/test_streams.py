@@ -1,11 +1,15 @@
 """Streams over several micro-batches against the same rows in one batch."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from granary.operators import operations
+from granary.plans import load_all
+from granary.plans.registry import REGISTRY, Tables
 from granary.session import shared_folder
 from granary.streaming import live, sinks
 
+load_all()
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
 
@@ -62,3 +66,17 @@ def test_missing_fields(spark):
     df = spark.createDataFrame(rows, "event string, fields map<string,string>")
     got = operations.lifecycle_violations(df).collect()
     assert [r["missing"] for r in got] == [["file_id", "upload_id", "storage_key"]]
+
+
+@pytest.mark.parametrize("parts", [None, 3])
+def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path, parts):
+    rows = spark.createDataFrame([(i, "word " * (i * 100 + 1), "en", "a", 1) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    target = f"{tmp_path}/documents.parquet"
+    if parts:
+        rows.repartition(parts).write.parquet(target)
+    else:
+        rows.toPandas().to_parquet(target)
+    rows.toPandas().to_parquet(f"{tmp_path}/labels.parquet")
+    got = REGISTRY["L07_stream_ingest"].plan(Tables(spark, str(tmp_path))).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(9))
+    assert all(r["chars"] >= len("word " * (r["doc_id"] * 100 + 1)) for r in got)
