@@ -287,25 +287,19 @@ def cap_chunks(chunks: DataFrame, cap: int = MAX_TABLE_CHUNKS) -> DataFrame:
     counts = chunks.groupBy("file_id").agg(
         F.count("*").alias("_all"), F.count_if(is_group).alias("_groups"), F.count_if(~is_group).alias("_others")
     )
-    room = F.greatest(F.lit(0), F.lit(cap) - F.col("_others"))
-    steps = F.when(
-        (F.col("_all") > cap) & (F.col("_groups") > room) & (room > 1),
-        F.transform(
-            F.sequence(F.lit(0), (room - 1).cast("int")),
-            lambda i: F.bround((F.col("_groups") - 1) / (room - 1) * i).cast("long"),
-        ),
-    ).when((F.col("_all") > cap) & (room == 1), F.array(F.lit(0).cast("long")))
-    picks = counts.filter(F.col("_all") > cap).select("file_id", F.explode(F.array_distinct(steps)).alias("row_group_index"))
-    marked = chunks.join(counts.select("file_id", (F.col("_all") > cap).alias("_over")), "file_id")
-    untouched = marked.filter(~F.col("_over")).drop("_over")
-    over = marked.filter("_over").drop("_over")
-    groups = over.filter(is_group).join(picks, ["file_id", "row_group_index"], "left_semi")
-    others = first_per_group(over.filter(~is_group), ["file_id"], [F.col("chunk_order").asc()], cap)
-    kept = untouched.unionByName(groups.select(*untouched.columns)).unionByName(others)
-    left = F.when(F.col("_all") <= cap, 0).otherwise(
-        F.col("_all") - F.least("_others", F.lit(cap)) - F.coalesce(F.size(F.array_distinct(steps)), F.lit(0))
-    )
-    return kept.join(counts.select("file_id", left.cast("long").alias("left_out")), "file_id")
+    over, room = F.col("_all") > cap, F.greatest(F.lit(0), F.lit(cap) - F.col("_others"))
+    left = F.when(~over, 0).otherwise(F.col("_all") - F.least("_others", F.lit(cap)) - room)
+    names = ["file_id", *[c for c in chunks.columns if c != "file_id"], "left_out"]
+    facts = counts.select("file_id", over.alias("_over"), room.alias("_room"), "_groups", left.cast("long").alias("left_out"))
+    marked = chunks.join(facts, "file_id")
+    # steps are longer than one, so a row group can only be the one at the step nearest to it
+    step = (F.col("_groups") - 1) / F.nullif(F.col("_room") - 1, F.lit(0))
+    nearest = F.bround(F.col("row_group_index") / step).cast("long")
+    at_step = nearest.between(0, F.col("_room") - 1) & (F.bround(step * nearest).cast("long") == F.col("row_group_index"))
+    picked = F.when(F.col("_room") > 1, at_step).otherwise((F.col("_room") == 1) & (F.col("row_group_index") == 0))
+    kept = marked.filter(~F.col("_over") | (is_group & picked)).select(*names)
+    others = marked.filter(F.col("_over") & ~is_group).select(*names)
+    return kept.unionByName(first_per_group(others, ["file_id"], [F.col("chunk_order").asc()], cap))
 
 
 def document_summary(parts: DataFrame, file: str, order: str, text: str, n: int = 4, chars: int = 420) -> DataFrame:

@@ -173,3 +173,27 @@ def test_file_mentions(spark):
     got = sorted((r["i"], r["name"]) for r in tagging.file_mentions(df, "i", "text").collect())
     assert (1, "report.csv") in got and (3, "data.v2") in got and (5, "my sheet.xlsx") in got
     assert not [g for g in got if g[0] in (2, 4)]
+
+
+@pytest.mark.parametrize("cap", [1, 2, 3, 5, 64, 320])
+def test_capped_files_keep_the_row_groups_at_even_steps(spark, cap):
+    """Against the steps listed one by one; nothing is exploded, which Spark would take for small and send whole."""
+    sizes = {"a": 0, "b": 1, "c": 63, "d": 318, "e": 319, "f": 777, "g": 2000}
+    rows = [(f, "row_group", i, i) for f, n in sizes.items() for i in range(n)]
+    rows += [(f, kind, i, None) for f in sizes for i, kind in enumerate(("file_summary", "sheet_summary"))] + [("f", "row_group", 5, 5)]
+    df = spark.createDataFrame(rows, "file_id string, chunk_type string, chunk_order long, row_group_index long")
+    capped = chunk.cap_chunks(df, cap)
+    assert "Generate" not in capped._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for f, n in sizes.items():
+        groups = list(range(n)) + ([5] if f == "f" else [])
+        room = max(0, cap - 2)
+        if len(groups) + 2 > cap:
+            steps = {round((len(groups) - 1) / (room - 1) * i) for i in range(room)} if room > 1 else {0} if room == 1 else set()
+            left = len(groups) + 2 - min(2, cap) - len(steps)
+            kept = [(f, "row_group", i, left) for i in groups if i in steps]
+            want += kept + [(f, k, None, left) for k in ("file_summary", "sheet_summary")[:cap]]
+        else:
+            want += [(f, "row_group", i, 0) for i in groups] + [(f, k, None, 0) for k in ("file_summary", "sheet_summary")]
+    got = [(r["file_id"], r["chunk_type"], r["row_group_index"], r["left_out"]) for r in capped.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
