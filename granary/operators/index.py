@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from granary.operators import rank
 from granary.operators.ordering import first_per_group
-from granary.session import settle
+from granary.session import settle, spread
 
 #: Documents of a block on average.
 BLOCK_DOCS = 1024
@@ -63,6 +63,19 @@ class Index:
         return self.table("terms").groupBy("token").agg(F.sum("df").alias("df"))
 
 
+def token_lists(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
+    """``(doc, length, class, terms)`` of the texts with tokens: each different token and how often it stands there."""
+    listed = spread(docs).select(F.col(doc), F.sort_array(tokens).alias("s")).where("size(s) > 0")
+    opens = "filter(sequence(0, size(s) - 1), i -> i = 0 or s[i] <> s[i - 1])"
+    counted = "transform(o, (b, r) -> struct(s[b] as token, cast(coalesce(get(o, r + 1), size(s)) - b as long) as tf))"
+    return listed.select(
+        doc,
+        F.size("s").alias("length"),
+        F.floor(F.log2(F.size("s")) * CLASSES_PER_DOUBLING).cast("int").alias("class"),
+        F.expr(f"transform(array({opens}), o -> {counted})[0]").alias("terms"),
+    )
+
+
 def add_segment(docs: DataFrame, doc: str, text: str, how: Scorer, path: str, segment: int = 0) -> Index:
     """Index ``docs`` as a segment of the index at ``path``; ids of one segment do not stand in another.
 
@@ -70,23 +83,28 @@ def add_segment(docs: DataFrame, doc: str, text: str, how: Scorer, path: str, se
     The totals are written last: a segment without them has not been finished.
     """
     spark = docs.sparkSession
-    counts = settle(rank.term_counts(docs, doc, how.tokens(F.coalesce(F.col(text), F.lit("")))))
-    classed = counts.withColumn("class", F.floor(F.log2("length") * CLASSES_PER_DOUBLING).cast("int"))
-    # the shares of its tokens sum to one for every document
-    sizes = classed.groupBy("class").agg(F.ceil(F.sum(F.col("tf") / F.col("length")) / BLOCK_DOCS).cast("int").alias("blocks"))
-    placed = classed.join(F.broadcast(sizes), "class")  # a row per class, of which there are a hundred at most
+    texts = settle(token_lists(docs, doc, how.tokens(F.coalesce(F.col(text), F.lit("")))))
+    sizes = settle(texts.groupBy("class").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks")))
+    tasks = sizes.agg(F.sum("blocks")).first()[0] or 1  # one number
+    placed = texts.join(F.broadcast(sizes), "class")  # a row per class, of which there are a hundred at most
     placed = placed.withColumn("block", F.pmod(F.xxhash64(doc), F.greatest("blocks", F.lit(1))).cast("int"))
-    postings = placed.groupBy("class", "block", "token").agg(
+    # texts are shuffled as they stand, one row each; what follows groups within the blocks
+    counts = placed.repartition(tasks, "class", "block").select("class", "block", doc, "length", F.inline("terms"))
+    counts = counts.groupBy("class", "block", doc, "length", "token").agg(F.sum("tf").alias("tf"))
+    postings = counts.groupBy("class", "block", "token").agg(
         F.sort_array(F.collect_list(F.struct(doc, "tf", "length"))).alias("postings"),
         F.max(F.col("tf") / F.col("length")).alias("max_share"),
         F.max("tf").alias("max_tf"),
         F.min("length").alias("min_length"),
         F.max("length").alias("max_length"),
+        F.count("*").alias("df"),
+        F.sum("tf").alias("tf"),
     )
     target = f"{path}/postings/segment={segment}"
-    postings.repartitionByRange("class", "token", "block").sortWithinPartitions("token", "block").write.partitionBy("class").parquet(target)
-    terms = counts.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-    terms.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}/terms/segment={segment}")
+    postings.sortWithinPartitions("class", "token", "block").write.partitionBy("class").parquet(target)
+    heads = spark.read.schema(postings.schema).parquet(target)
+    terms = heads.groupBy("token").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+    terms.sortWithinPartitions("token").write.parquet(f"{path}/terms/segment={segment}")
     tokens = spark.read.parquet(f"{path}/terms/segment={segment}").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
     docs.agg(F.count("*").alias("docs")).crossJoin(tokens).write.parquet(f"{path}/totals/segment={segment}")  # one row each
     return Index(spark, path, doc)
@@ -165,7 +183,9 @@ def scored(index: Index, asked: Question, query: str, wanted: DataFrame, k: int)
     asking = wanted.select(query, *BLOCK).join(asked.terms, query)
     asking = asking.withColumn("slice", F.pmod(F.xxhash64(query), F.lit(slices)).cast("int"))
     tokens = settle(asking.select(*BLOCK, "token", "slice").distinct())
-    rows = postings.join(tokens, [*BLOCK, "token"]).select(
+    # the tokens of all blocks are many rows however few bytes they fill, so they are not sent whole
+    asked_for = postings.join(asked.terms.select("token").distinct(), "token", "left_semi")
+    rows = asked_for.join(tokens.hint("merge"), [*BLOCK, "token"]).select(
         *BLOCK,
         "slice",
         "token",

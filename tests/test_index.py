@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from granary.operators import index, rank
 from granary.session import shared_folder
@@ -75,3 +76,18 @@ def test_empty(spark, queries):
     docs = spark.createDataFrame([], "d long, text string")
     stored = index.add_segment(docs, "d", "text", index.LEXICAL, shared_folder(spark, "index"))
     assert stored.totals() == (0, 0)
+
+
+def test_tokens_are_counted_where_their_text_is(spark):
+    """Counting shuffles nothing, and rows that share an id and a length still count as one text."""
+    docs = corpus(spark, np.random.default_rng(4), 80)
+    docs = docs.unionByName(docs.where("d < 30")).unionByName(spark.createDataFrame([(None, "w1 w2 w1"), (None, "w2 w3 w4")], "d long, text string"))
+    lists = index.token_lists(docs, "d", rank.tokenize(F.coalesce("text", F.lit(""))))
+    assert "Aggregate" not in lists._jdf.queryExecution().optimizedPlan().toString()
+    stored = index.add_segment(docs, "d", "text", index.LEXICAL, shared_folder(spark, "index"))
+    kept = stored.table("postings").select("token", F.inline("postings")).select("token", "d", "tf", "length")
+    want = rank.term_counts(docs, "d", rank.tokenize(F.coalesce("text", F.lit("")))).select("token", "d", "tf", F.col("length"))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert sorted(map(tuple, stored.table("terms").select("token", "df", "tf").collect())) == sorted(
+        map(tuple, want.groupBy("token").agg(F.count("*"), F.sum("tf")).collect())
+    )
