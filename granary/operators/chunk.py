@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from granary.functions import cells, splitting
@@ -27,6 +27,20 @@ BATCH = 32
 SUMMARY_TYPES = ("file_summary", "sheet_summary", "column_summary")
 
 
+SLICE_BYTES = 2 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about 2 MB, so that texts and chunks do not pile up as Python objects."""
+    start = 0
+    while start < batch.num_rows:
+        rows = batch.num_rows - start
+        while rows > 1 and batch.slice(start, rows).nbytes > SLICE_BYTES:
+            rows = rows // 2
+        yield batch.slice(start, rows)
+        start += rows
+
+
 def split_documents(
     docs: DataFrame, key: str, text: str, kind: str | None = None, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
 ) -> DataFrame:
@@ -42,19 +56,23 @@ def split_documents(
         ]
     )
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for one, body, form in zip(pdf[key], pdf["_text"], pdf["_kind"]):
-                separators = splitting.separators_for(form)
-                table = separators is splitting.TABLE_SEPARATORS
-                chunks = splitting.split_text(
-                    body or "", size, min(overlap, splitting.TABLE_OVERLAP) if table else overlap, separators
-                )
-                rows += [(one, i, chunk, len(chunks)) for i, chunk in enumerate(chunks)]
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    return slim.mapInPandas(split, schema).withColumn("chunk_size", F.length("content"))
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                rows = []
+                for one, body, form in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    separators = splitting.separators_for(form)
+                    table = separators is splitting.TABLE_SEPARATORS
+                    chunks = splitting.split_text(
+                        body or "", size, min(overlap, splitting.TABLE_OVERLAP) if table else overlap, separators
+                    )
+                    rows += [(one, i, chunk, len(chunks)) for i, chunk in enumerate(chunks)]
+                types = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.int32()]
+                columns = [pa.array(c, type=t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)]
+                del rows
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return slim.mapInArrow(split, schema).withColumn("chunk_size", F.length("content"))
 
 
 def window_segments(docs: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +198,14 @@ def test_capped_files_keep_the_row_groups_at_even_steps(spark, cap):
             want += [(f, "row_group", i, 0) for i in groups] + [(f, k, None, 0) for k in ("file_summary", "sheet_summary")]
     got = [(r["file_id"], r["chunk_type"], r["row_group_index"], r["left_out"]) for r in capped.collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_texts_are_split_a_few_megabytes_at_a_time(spark):
+    texts = ["x"] * 50 + ["word " * 60_000] * 20 + [None, "y" * (chunk.SLICE_BYTES * 2)] + ["z"] * 50
+    parts = list(chunk.slices(pa.record_batch({"t": pa.array(texts)})))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == texts
+    assert all(p.num_rows == 1 or p.nbytes <= chunk.SLICE_BYTES for p in parts) and len(parts) > 3
+    df = spark.createDataFrame([(i, t, "txt") for i, t in enumerate(texts[:70])] + [(None, "alone", None)], "i long, t string, k string")
+    got = chunk.split_documents(df, "i", "t", "k").collect()
+    want = [(i, n, c) for i, t in enumerate(texts[:70]) for n, c in enumerate(splitting.split_text(t, 2000, 400))] + [(None, 0, "alone")]
+    assert sorted(((r["i"], r["chunk_index"], r["content"]) for r in got), key=repr) == sorted(want, key=repr)
