@@ -12,7 +12,7 @@ from granary.functions import cells, splitting
 from granary.operators import normalize
 from granary.operators.ordering import first_per_group, with_position
 from granary.operators.packing import packed
-from granary.session import spread
+from granary.session import settle, spread
 
 # Chunk sizes and table limits.
 CHUNK_SIZE = 2_000
@@ -118,12 +118,14 @@ def row_group_size(columns: Column, hard_cap: int = ROW_CHUNK_ROWS) -> Column:
 
 def row_parts(df: DataFrame, columns: Sequence[str], cell_chars: int = CELL_CHARS) -> Column:
     """'column: cell' for each filled cell; a long cell is cut and marked."""
-    parts = []
-    for c in columns:
-        text = cells.cell_text(df, c)
+    # each text stands once in the expression: code made of several copies of it is too long for Java to compile
+    texts = F.array(*[cells.cell_text(df, c) for c in columns])
+
+    def part(text: Column, name: Column) -> Column:
         short = F.when(F.length(text) > cell_chars, F.concat(F.substring(text, 1, cell_chars), F.lit("..."))).otherwise(text)
-        parts.append(F.when(text != "", F.concat(F.lit(f"{c}: "), short)))
-    return F.filter(F.array(*parts), lambda p: p.isNotNull())
+        return F.when(text != "", F.concat(name, short))
+
+    return F.filter(F.zip_with(texts, F.array(*[F.lit(f"{c}: ") for c in columns]), part), lambda p: p.isNotNull())
 
 
 def row_lines(parts: Column, row_number: Column, max_chars: int) -> Column:
@@ -181,7 +183,7 @@ def table_lines(
     rows = rows.select("sheet_name", "row_number", row_lines(F.col("_parts"), F.col("row_number"), max_chars).alias("_lines"))
     sized = rows.withColumn(
         "row_chars",
-        F.aggregate("_lines", F.lit(0), lambda n, line: n + F.length(line)) + F.size("_lines") - 1,
+        F.length(F.array_join("_lines", "\n")),
     )
     return sized.select(
         "sheet_name", "row_number", "row_chars", F.size("_lines").alias("_count"), F.posexplode("_lines").alias("line_number", "line")
@@ -199,25 +201,30 @@ def table_lines(
 def row_group_chunks(lines: DataFrame, group_size: int, max_chars: int = ROW_CHUNK_CHARS) -> DataFrame:
     """Row groups packed by rows and characters, with a header line that names the rows."""
 
-    def reach(v: dict[str, np.ndarray], start: int) -> int:
-        chars = rows = 0
-        at = start
-        while at < len(v["line_chars"]):
-            if at > start:
-                new_row = v["line_number"][at] == 0
-                if new_row and (rows + 1 > group_size or chars + v["row_chars"][at] > max_chars):
-                    break
-                if chars + v["line_chars"][at] + 1 > max_chars:
-                    break
-                chars += 1
-            chars += v["line_chars"][at]
-            rows += bool(v["is_last"][at])
-            at += 1
-        return at
+    def ends(v: dict[str, np.ndarray]) -> np.ndarray:
+        """For each line, the one after the last of a group that starts at it."""
+        count = len(v["line_chars"])
+        starts = np.arange(count)
+        # characters and finished rows before each line; each line but a group's first has a line break before it
+        chars = np.concatenate(([0], np.cumsum(v["line_chars"].astype("int64") + 1)))
+        done = np.concatenate(([0], np.cumsum(v["is_last"].astype("int64"))))
+        limit = chars[:-1] + max_chars + 1
+        out = np.searchsorted(chars, limit, "right") - 1
+        # a row begins only where it fits whole and the group has rows left; what rows reach to grows along the table
+        heads = np.flatnonzero(v["line_number"] == 0)
+        after = np.searchsorted(heads, starts, "right")
+        full = np.searchsorted(done[heads], done[:-1] + group_size, "left")
+        long = np.searchsorted(chars[heads] + v["row_chars"][heads].astype("int64"), limit, "right")
+        barred = np.maximum(after, np.minimum(full, long))
+        return np.maximum(starts + 1, np.minimum(out, np.concatenate((heads, [count]))[barred]))
 
     columns = ["line_number", "row_chars", "line_chars", "is_last"]
     bound = 2 * group_size + 4
-    placed = packed(lines, ["sheet_name"], ["row_number", "line_number"], columns, reach, bound, "row_group_index")
+    lines = settle(lines)
+    narrow = lines.select("sheet_name", "row_number", *columns)
+    packs = packed(narrow, ["sheet_name"], ["row_number", "line_number"], columns, None, bound, "row_group_index", ends=ends)
+    at = ["sheet_name", "row_number", "line_number"]
+    placed = lines.select(*at, "line").join(packs.select(*at, "row_group_index"), at)
     totals = lines.groupBy("sheet_name").agg(F.max("row_number").alias("total_rows"))
     text = F.array_join(
         F.transform(F.sort_array(F.collect_list(F.struct("row_number", "line_number", "line"))), lambda s: s["line"]), "\n"

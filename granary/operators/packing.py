@@ -10,6 +10,7 @@ numbers the rows.  No group is read by one task.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ from granary.operators.ordering import with_position
 
 BLOCK_ROWS = 50_000
 Reach = Callable[[dict[str, np.ndarray], int], int]
+Ends = Callable[[dict[str, np.ndarray]], np.ndarray]
 
 
 def packed(
@@ -26,15 +28,17 @@ def packed(
     group: Sequence[str],
     order: Sequence[str],
     columns: Sequence[str],
-    reach: Reach,
+    reach: Reach | None,
     bound: int,
     name: str = "pack",
     block_rows: int = BLOCK_ROWS,
+    ends: Ends | None = None,
 ) -> DataFrame:
     """Number the packs of each group from zero.
 
     ``reach(columns, start)`` returns the index after the last row of the pack that starts at ``start``;
-    it may look at most ``bound`` rows ahead.  Group columns must not be null.
+    it may look at most ``bound`` rows ahead.  ``ends(columns)`` may be given in its place and returns these for all
+    starts at once; in the rows that only look ahead they are not used.  Group columns must not be null.
     """
     if block_rows < bound:
         raise ValueError("a block must hold at least one pack")
@@ -56,22 +60,26 @@ def packed(
         first = int(pdf["_block"].iloc[0]) * block_rows
         return {c: pdf[c].to_numpy() for c in columns}, int((pdf["_at"] <= first + block_rows).sum())
 
+    def steps(values: dict[str, np.ndarray]) -> Callable[[int], int]:
+        return partial(reach, values) if ends is None else ends(values).tolist().__getitem__
+
     def explore(pdf: pd.DataFrame) -> pd.DataFrame:
         values, size = arrays(pdf)
-        ends: dict[int, tuple[int, int]] = {}
+        step = steps(values)
+        known: dict[int, tuple[int, int]] = {}
         for entry in range(min(bound + 1, size)):
             path, at = [], entry
-            while at < size and at not in ends:
+            while at < size and at not in known:
                 path.append(at)
-                at = reach(values, at)
-            end, count = ends.get(at, (at, 0))
+                at = step(at)
+            end, count = known.get(at, (at, 0))
             for start in reversed(path):
                 count += 1
-                ends[start] = (end, count)
+                known[start] = (end, count)
         entries = range(min(bound + 1, size))
         out = {k: [pdf[k].iloc[0]] for k in keys}
-        out["_exits"] = [[max(0, ends[e][0] - block_rows) for e in entries]]
-        out["_counts"] = [[ends[e][1] for e in entries]]
+        out["_exits"] = [[max(0, known[e][0] - block_rows) for e in entries]]
+        out["_counts"] = [[known[e][1] for e in entries]]
         return pd.DataFrame(out)
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -85,12 +93,13 @@ def packed(
                 entry = int(exits[entry])
         return pdf[keys].assign(_entry=entries, _base=bases)
 
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+    def number(pdf: pd.DataFrame, entered: pd.DataFrame) -> pd.DataFrame:
         values, size = arrays(pdf)
-        at, pack = int(pdf["_entry"].iloc[0]), int(pdf["_base"].iloc[0])
+        step = steps(values)
+        at, pack = int(entered["_entry"].iloc[0]), int(entered["_base"].iloc[0])
         packs = np.full(size, pack - 1, dtype="int64")
         while at < size:
-            end = reach(values, at)
+            end = step(at)
             packs[at:end] = pack
             at, pack = end, pack + 1
         return pdf.iloc[:size][[*group, "_at"]].assign(**{name: packs})
@@ -103,5 +112,6 @@ def packed(
     )
     explored = rows.groupBy(*keys).applyInPandas(explore, tables)
     entered = explored.groupBy(*group).applyInPandas(chain, starts)
-    result = rows.join(entered, keys).groupBy(*keys).applyInPandas(number, numbered)
+    # both passes read the rows as dealt over blocks once
+    result = rows.groupBy(*keys).cogroup(entered.groupBy(*keys)).applyInPandas(number, numbered)
     return placed.join(result, [*group, "_at"]).drop("_at")

@@ -3,6 +3,7 @@
 import random
 
 import pyarrow as pa
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,45 @@ def test_packing_equals_sequential_packing(spark, block):
     assert {r["i"]: r["pack"] for r in got} == want
 
 
+@pytest.mark.parametrize("block", [12, 40])
+def test_packing_by_all_ends_at_once(spark, block):
+    """Packs by a function that gives the ends of all starts of a block equal those by one start at a time."""
+    _, df = skewed(spark, 300)
+
+    def reach(v, start):
+        size, at = 0, start
+        while at < len(v["v"]) and at - start < 12 and (at == start or size + v["v"][at] <= 120):
+            size += v["v"][at]
+            at += 1
+        return at
+
+    def ends(v):
+        return np.array([reach(v, start) for start in range(len(v["v"]))])
+
+    one = packing.packed(df, ["k"], ["i"], ["v"], reach, 12, "pack", block).collect()
+    all_ = packing.packed(df, ["k"], ["i"], ["v"], None, 12, "pack", block, ends=ends).collect()
+    assert sorted(one) == sorted(all_) and len(one) == 300
+
+
+@pytest.mark.parametrize("size, chars", [(3, 400), (40, 900), (2, 5000)])
+def test_row_groups_end_where_they_would_line_by_line(spark, size, chars):
+    rng = random.Random(size)
+    rows = [(i, "ab " * rng.choice([0, 1, 9, 40, 90, 400]), "x" * rng.choice([0, 5, 300])) for i in range(160)]
+    lines = chunk.table_lines(spark.createDataFrame(rows, "k long, v string, w string"), ["k"], ["v", "w"], F.lit("s"), chars)
+    want, body, done = [], [], 0
+    for r in sorted(lines.collect(), key=lambda r: (r["row_number"], r["line_number"])):
+        used = len("\n".join(body))
+        new = r["line_number"] == 0 and (done + 1 > size or used + r["row_chars"] > chars)
+        if body and (new or used + len(r["line"]) + 1 > chars):
+            want, body, done = [*want, "\n".join(body)], [], 0
+        body.append(r["line"])
+        done += r["is_last"]
+    want.append("\n".join(body))
+    got = sorted(chunk.row_group_chunks(lines, size, chars).collect(), key=lambda r: r["row_group_index"])
+    assert [r["row_group_index"] for r in got] == list(range(len(want)))
+    assert [r["content"].split("\n", 1)[1] for r in got] == want
+
+
 def test_batches_are_bounded_and_ordered(spark):
     docs = spark.createDataFrame([("r", i, "x" * (i % 9 * 100)) for i in range(60)], "r string, i long, text string")
     rows = sorted(coverage.batch_context(docs, "r", ["i"], "text", 5, 1500).collect(), key=lambda r: r["i"])
