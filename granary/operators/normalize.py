@@ -6,7 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from granary.functions import cells
 from granary.session import settle
@@ -203,33 +203,88 @@ def canonical_dtype(type_text: Column) -> Column:
     )
 
 
+def folded_cells(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+    """Non-empty cells as ``(_key, ordinal, value, folded, sample)``: white space as single blanks, in lower case, and its head.
+
+    ``sample`` is the folded head of a value whose folded text is longer than a sample, else null: the folded text itself.
+
+    The text of a cell is a long expression and stands once per column, in an array of its own: compiled into one method
+    with the steps that follow it passes the length up to which Java optimises a method.
+    """
+
+    def single(text: Column) -> Column:
+        # few cells hold more than single blanks, and looking for that is cheaper than the pattern
+        spaced = cells.any_of([F.contains(text, F.lit(mark)) for mark in ("  ", *"\t\n\x0b\f\r")])
+        return F.when(spaced, F.trim(F.regexp_replace(text, r"\s+", " "))).when(text != "", text)
+
+    texts = df.select(F.col(key).alias("_key"), F.array(*[cells.cell_text(df, c) for c in columns]).alias("_texts"))
+    rows = texts.select("_key", F.posexplode(F.transform("_texts", single)).alias("_at", "value")).filter("value IS NOT NULL")
+    head = F.lower(F.rtrim(F.substring("value", 1, SAMPLE_CHARS)))
+    return rows.select(
+        "_key",
+        (F.col("_at") + 1).alias("ordinal"),
+        "value",
+        F.lower("value").alias("folded"),
+        F.when(F.length(F.lower("value")) > SAMPLE_CHARS, head).alias("sample"),
+    )
+
+
+#: Shares of a column's samples whose first places bound that of its last sample shown.
+SAMPLE_SHARES = 64
+
+
+def first_samples(df: DataFrame, columns: Sequence[str], key: str, counts: DataFrame) -> DataFrame:
+    """``(ordinal, sample_values)``: the first distinct sample values of each column, by the smallest key they stand at.
+
+    ``counts`` has ordinal, folded, sample and first.  Samples of different shares differ, so none of the first
+    ``MAX_SAMPLES`` stands after the share that comes that late; what stands after it is left out before samples are made
+    distinct.  Their text is read from the rows they stand at.
+    """
+    found = counts.select("ordinal", F.coalesce("sample", "folded").alias("folded"), "first")
+    shares = found.groupBy("ordinal", F.pmod(F.xxhash64("folded"), F.lit(SAMPLE_SHARES))).agg(F.min("first").alias("first"))
+    last = shares.groupBy("ordinal").agg(F.get(F.sort_array(F.collect_list("first")), F.lit(MAX_SAMPLES - 1)).alias("last"))
+    early = found.join(F.broadcast(last), "ordinal").where("last IS NULL OR first IS NULL OR first <= last")
+    distinct = early.groupBy("ordinal", "folded").agg(F.min("first").alias("first"))
+    rank = Window.partitionBy("ordinal").orderBy("first", "folded")
+    top = settle(distinct.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= MAX_SAMPLES))
+    rows = df.join(F.broadcast(top.select(F.col("first").alias(key)).distinct()), key, "left_semi")
+    texts = folded_cells(rows, columns, key).select(
+        "ordinal",
+        F.coalesce("sample", "folded").alias("folded"),
+        F.col("_key").alias("first"),
+        F.rtrim(F.substring("value", 1, SAMPLE_CHARS)).alias("text"),
+    )
+    texts = texts.groupBy("ordinal", "folded", "first").agg(F.min("text").alias("text"))
+    # a value that stands at null keys only has no first row to show
+    shown = top.join(texts, ["ordinal", "folded", "first"], "left")
+    listed = shown.groupBy("ordinal").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("_samples"))
+    return listed.select("ordinal", F.transform("_samples", lambda s: s["text"]).alias("sample_values"))
+
+
 def column_metadata(
     df: DataFrame, key: str, columns: Sequence[str] | None = None, aliases: dict[str, str] | None = None
 ) -> DataFrame:
-    """Names, aliases, dtype, cardinality hint and the first distinct sample values of each column."""
+    """Names, aliases, dtype, cardinality hint and the first distinct sample values of each column.
+
+    Cells are folded before they are counted, so all values are shuffled once.
+    """
     columns = list(columns or df.columns)
     raw = {c: (aliases or {}).get(c, c) for c in columns}
-    values = settle(cell_counts(df, columns, key).withColumn("value", F.trim(F.regexp_replace("value", r"\s+", " "))))
-    folded = values.groupBy("column_name", F.lower("value")).agg(F.sum("n").alias("n"))
-    profile = folded.groupBy("column_name").agg(F.count("*").alias("unique_count"), F.sum("n").alias("value_count"))
-    kinds = values.groupBy("column_name").agg(_kind().alias("kind"))
-    short = F.rtrim(F.substring("value", 1, SAMPLE_CHARS))
-    distinct = (
-        values.withColumn("sample", short)
-        .groupBy("column_name", F.lower("sample").alias("_folded"))
-        .agg(F.min_by("sample", "first").alias("sample"), F.min("first").alias("position"))
+    counts = settle(
+        folded_cells(df, columns, key)
+        .groupBy("ordinal", "folded", "sample")
+        .agg(F.count("*").alias("n"), F.min("_key").alias("first"))
     )
-    rank = Window.partitionBy("column_name").orderBy("position")
-    samples = (
-        distinct.withColumn("_rank", F.row_number().over(rank))
-        .groupBy("column_name")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.when(F.col("_rank") <= MAX_SAMPLES, F.struct("_rank", "sample")))
-            ).alias("_samples"),
-        )
-        .select("column_name", F.transform("_samples", lambda s: s["sample"]).alias("sample_values"))
+    values = counts.select("ordinal", F.col("folded").alias("value"), "n", (F.length("folded") > SAMPLE_CHARS).alias("_long"))
+    # only of long values may one folded text have several samples
+    longer = values.where("_long").groupBy("ordinal", "value").count().groupBy("ordinal").agg(F.count("*").alias("_longer"))
+    profile = (
+        values.groupBy("ordinal")
+        .agg(F.count_if(~F.col("_long")).alias("_shorter"), F.sum("n").alias("value_count"), _kind().alias("kind"))
+        .join(F.broadcast(longer), "ordinal", "left")
+        .withColumn("unique_count", F.col("_shorter") + F.coalesce("_longer", F.lit(0)))
     )
+    samples = first_samples(df, columns, key, counts)
     names = column_list(df, columns).select("ordinal", "column_name")
     raw_name = F.element_at(F.create_map(*[F.lit(x) for pair in raw.items() for x in pair]), F.col("column_name"))
     display = F.substring(F.trim(F.regexp_replace(raw_name, r"\s+", " ")), 1, ALIAS_CHARS)
@@ -238,9 +293,8 @@ def column_metadata(
     dtype_of = F.create_map(*[F.lit(x) for pair in KIND_DTYPES.items() for x in pair])
     zero = F.lit(0)
     return (
-        names.join(F.broadcast(profile), "column_name", "left")
-        .join(F.broadcast(kinds), "column_name", "left")
-        .join(F.broadcast(samples), "column_name", "left")
+        names.join(F.broadcast(profile), "ordinal", "left")
+        .join(F.broadcast(samples), "ordinal", "left")
         .select(
             "ordinal",
             display.alias("raw_name"),

@@ -156,3 +156,25 @@ def test_first_values_of_mostly_empty_columns(spark):
     assert got == {"k": ["0", "1", "2"], "often": ["v0", "v1", "v2"], "seldom": ["late", "late"]}
     assert {r["column_name"] for r in normalize.first_values(df, ["seldom", "never"], "k", 3).collect()} == {"seldom"}
     assert normalize.first_values(df.limit(0), ["often"], "k", 3).count() == 0
+
+
+def test_metadata_samples_by_first_place(spark):
+    """Samples differ without case and beyond their head, in order of the first key; all values count as unique."""
+    long = "y" * 79 + " "
+    cells = ["b  B", None, "B b", long + "tail", long, (long + "other").upper(), " a", "A", "c", "d", "e", "f", "K\u0130" * 45]
+    rows = [(100 - i, text, i % 3) for i, text in enumerate(cells)]
+    df = spark.createDataFrame(rows, "k long, v string, n int").repartition(5)
+    got = {r["normalized_name"]: r for r in normalize.column_metadata(df, "k").collect()}
+    assert got["v"]["sample_values"] == [("K\u0130" * 45)[:80], "f", "e", "d", "c"]
+    assert got["n"]["sample_values"] == ["0", "2", "1"] and got["n"]["cardinality_hint"] == "low"
+    few = normalize.column_metadata(df.where("k >= 93"), "k", ["v"]).first()
+    assert few["sample_values"] == ["A", "Y" * 79, "B b"]
+    assert normalize.column_metadata(df.where("k > 200"), "k", ["v"]).first()["sample_values"] == []
+
+
+def test_metadata_ranks_no_whole_column(spark, capsys):
+    """Only the first values of a column are put in order, and its values are not shuffled a second time."""
+    df = spark.range(2000).selectExpr("id AS k", "'Value ' || id AS v")
+    normalize.column_metadata(df, "k").explain()
+    text = capsys.readouterr().out
+    assert "min_by" not in text and "Window" not in text
