@@ -212,5 +212,6 @@ def keep_one_per_group(docs: DataFrame, distance: int = MAX_DISTANCE, hot: int =
     classes = settle(prints.groupBy("bits").agg(F.min(order).alias("first")))
     firsts = with_roots(classes, distance, hot).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
     rows = docs.select(F.struct(*names).alias("_row"), *[c.alias(k) for k, c in key.items()])
-    kept = rows.join(settle(firsts.drop("no_id")), list(key), "left_semi")
+    # as many keys as groups: met by sorting, since the rows are shuffled by key anyway and the driver need not hold the keys
+    kept = rows.join(settle(firsts.drop("no_id")).hint("merge"), list(key), "left_semi")
     return kept.groupBy(*key).agg(F.first("_row").alias("_row")).select("_row.*")

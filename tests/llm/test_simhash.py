@@ -102,3 +102,11 @@ def test_pairs_are_not_sent_whole(spark):
     rows = simhash.variants(simhash.settle(spark.range(100).select(F.col("id").alias("bits"))))
     plan = simhash.pairs(rows, 3)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_kept_keys_are_not_sent_whole(spark, documents):
+    """Every group has a key, so their number grows with the documents; the driver must not hold them for a broadcast."""
+    kept = simhash.keep_one_per_group(documents([(i, unlike(i)) for i in range(20)]))
+    assert kept.count() == 20
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
